@@ -32,6 +32,27 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def printable() -> list[str]:
+    """The character of a byte-level vocabulary for each byte: printable ones stand for themselves, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (chr(k) for k in range(256, 512))
+    return [chr(b) if b in plain else next(rest) for b in range(256)]
+
+
+class Remembered(dict):
+    """Answers of a function, worked out on demand; drops the older half when it holds too many."""
+
+    def __init__(self, find, most: int = TABLE):
+        self.find, self.most = find, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            for old in list(islice(self, self.most // 2)):
+                del self[old]
+        found = self[key] = self.find(key)
+        return found
+
+
 class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library."""
 
@@ -41,37 +62,21 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.table: dict[str, bytes] = {}
+        tokenize, chars = self.library.model.tokenize, dict(enumerate(printable()))
+        #: ids of a piece, by the library's model, as bytes of 32-bit integers
+        self.table = Remembered(lambda p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(chars))]).tobytes())
 
     def whole(self, text: str) -> bool:
         """The library must see this text as a whole."""
         return _ODD.search(text) is not None or any(s in text for s in self.special)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Adds what the table lacks of the pieces."""
-        table = self.table
-        rest = [p for p in pieces if p not in table]
-        if len(table) + len(rest) > TABLE:
-            for old in list(islice(table, len(table) // 2)):
-                del table[old]
-            rest = [p for p in pieces if p not in table]
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                table[p] = array("I", e.ids).tobytes()
-
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
         if self.whole(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        pieces = PIECES.findall(text)
-        try:
-            found = b"".join([self.table[p] for p in pieces])
-        except KeyError:
-            self.learn(set(pieces))
-            found = b"".join([self.table[p] for p in pieces])
-        return np.frombuffer(found, dtype=np.uint32)
+        table = self.table
+        return np.frombuffer(b"".join([table[p] for p in PIECES.findall(text)]), dtype=np.uint32)
 
 
 @lru_cache(maxsize=4)
