@@ -14,13 +14,12 @@ as many as the total size asks for, so neither grows with the input.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import kernel
 
@@ -89,25 +88,28 @@ def _by_hash(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return h[new], doc[new]
 
 
-def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, spans) for each row of docs(doc_id, text, ...).
 
     Words are runs of bytes outside 0x20 and 0x09-0x0D.  A word goes if a
     window of ``width`` words over it has a word sequence that also starts in a
     row with a smaller doc_id; windows are those of the input.  kept_text: the
     other words, joined by one space.  spans: the maximal intervals (from, to)
-    of removed words.
+    of removed words.  carry: further columns of docs, returned as c0, c1 and so
+    on; kept_text is then the text as it was if nothing goes from it.
 
     Null or empty text: no words, kept_text is empty.  Null doc_id: the row is
     kept whole and takes nothing from others.  Rows that repeat a doc_id take
     nothing from each other.  Sequences are compared by 64-bit hashes: of n
     different windows a pair agrees by chance with probability n * n / 2**65.
     """
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    carried = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])]
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks, n_shards = 1 + total // chunk_bytes, 1 + total // shard_bytes
     dealt = base.withColumn("row", F.xxhash64("text")).withColumn("chunk", F.when(F.col("doc_id").isNull(), F.pmod("row", F.lit(n_chunks))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))))
     per_shard = -(-(1 << 64) // n_shards)
+    extra = base.select(*(f"c{k}" for k in range(len(carry or [])))).schema
 
     def send(key, table):
         _, ids, data, offsets = _chunk(table)
@@ -190,16 +192,28 @@ def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int = CHUNK_
                     spans.append([{"from": int(x), "to": int(y)} for x, y in zip(*runs(cut), strict=True)])
                 else:
                     spans.append([])
-                texts.append(b" ".join(own))
+                texts.append(data[offsets[r] : offsets[r + 1]].tobytes() if carry is not None and not n else b" ".join(own))
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         return pa.table(
-            [ids.cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, kind)],
-            names=["doc_id", "n_words", "n_removed", "kept_text", "spans"],
+            [ids.cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, kind)]
+            + [table[c] for c in extra.names],
+            names=["doc_id", "n_words", "n_removed", "kept_text", "spans", *extra.names],
         )
 
     both = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return both.applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<from:long,to:long>>")
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<from:long,to:long>>"
+    return both.applyInArrow(remove, StructType([*StructType.fromDDL(schema).fields, *extra.fields]))
+
 
+def without_repeats(docs: DataFrame, **how) -> DataFrame:
+    """docs without the words that deduplicated() removes; same columns.
 
-def sha256(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
+    A row that loses nothing keeps its text, one that loses all goes.  n_chars,
+    if there is such a column, is that of the new text.  A null text becomes empty.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = deduplicated(docs, carry=others, **how).where("n_removed = 0 or n_removed < n_words")
+    back = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")} | {c: F.col(f"c{k}") for k, c in enumerate(others)}
+    if "n_chars" in others:
+        back["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*(back[c].alias(c) for c in docs.columns))
