@@ -1,5 +1,6 @@
-"""The catalogue of named queries."""
+"""The catalogue of named queries; importing its modules fills it."""
 
+from . import episodes  # noqa: F401
 from .catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
