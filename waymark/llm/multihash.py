@@ -123,7 +123,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         cuts = rank.agg(F.percentile_approx("x", [k / n for k in range(1, n)], 50 * n)).first()[0]
         inner = sorted(set(cuts or []))
     splits = [float("-inf"), *inner, float("inf")]
-    rank = Bucketizer(splits=splits, inputCol="x", outputCol="p").transform(rank).select("doc_id", "text", F.col("p").cast("int").alias("part"), F.xxhash64("text").alias("h"))
+    rank = Bucketizer(splits=splits, inputCol="x", outputCol="p").transform(rank) if inner else rank.withColumn("p", F.lit(0))
+    rank = rank.select("doc_id", "text", F.col("p").cast("int").alias("part"), F.xxhash64("text").alias("h"))
     heads = rank.groupBy("part").agg(F.max_by("text", F.struct("doc_id", "h")).alias("text"))
     all_ = Window.partitionBy(F.lit(0)).orderBy("part")  # at most PARTS rows
     last = F.last("text").over(all_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
