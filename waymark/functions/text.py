@@ -142,7 +142,7 @@ NEXT_ACTION = {"MOVE_FORWARD": "move forward 0.35 meter", "TURN_LEFT": "turn lef
 def text_command(text: Column) -> Column:
     """struct<vx, yaw_rate, duration_s, stop> of a free-text action."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    number = lambda unit: F.try_cast(F.nullif(F.regexp_extract(t, r"(\d+\.?\d*)\s*(?:" + unit + ")", 1), F.lit("")), "double")
+    number = lambda unit: F.nullif(F.regexp_extract(t, r"(\d+\.?\d*)\s*(?:" + unit + ")", 1), F.lit("")).try_cast("double")
     stop = any_of(t, STOP_WORDS)
     ahead = F.when(any_of(t, FORWARD_WORDS), F.coalesce(F.least(number("meter|metre|m|step"), F.lit(0.5)), F.lit(0.3))).otherwise(0.0)
     turn = F.radians(F.coalesce(number("degree|deg|°"), F.lit(30.0)))
@@ -174,7 +174,7 @@ def action_of(text: Column) -> Column:
 def numbered_action(text: Column) -> Column:
     """struct<action, value> of a text such as "turn left 30": 0 stop, 1 forward, 2 left, 3 right, null if unknown."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    number = F.try_cast(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(-?\d+)", 1), F.lit("")), "double")
+    number = F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(-?\d+)", 1), F.lit("")).try_cast("double")
     action = F.when(t.contains("stop"), 0).when(t.contains("forward"), 1).when(t.contains("left"), 2).when(t.contains("right"), 3)
     value = F.when(action == 1, F.coalesce(number, F.lit(50.0))).when(action > 1, F.coalesce(number, F.lit(30.0)))
     return F.struct(action.alias("action"), value.alias("value"))
