@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def any_of(text: Column, words: list[str]) -> Column:
     found = F.lit(False)
     for w in words:
@@ -74,9 +79,17 @@ def json_candidates(text: Column) -> list[Column]:
     return [text, *fenced, *between]
 
 
+def whole_json(text: Column) -> Column:
+    """The VARIANT of a text that is one JSON value; null if it is none or something follows it, which the parser itself lets pass."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    items = F.try_variant_get(listed, "$", "array<variant>")
+    return F.when((F.size(items) == 1) & named.isNotNull(), F.get(items, F.lit(0)))
+
+
 def robust_json(text: Column) -> Column:
     """The answer's JSON as VARIANT: the whole text, a fenced block, from { to the last }, or from [ to the last ]; else null."""
-    return F.coalesce(*(F.try_parse_json(c) for c in json_candidates(text)))
+    return F.coalesce(*(whole_json(c) for c in json_candidates(text)))
 
 
 def _is_list(json: Column) -> Column:
@@ -123,7 +136,7 @@ def has_valid(instruction_list: Column) -> Column:
 
 def normalised_instruction(raw: Column) -> Column:
     """The instruction struct of a JSON object, or of a bare text."""
-    json = F.try_parse_json(raw)
+    json = whole_json(raw)
     is_object = F.coalesce(F.schema_of_variant(json).startswith("OBJECT"), F.lit(False))
     get = lambda k: F.when(is_object, F.try_variant_get(json, f"$.{k}", "string"))
     bare = F.when(~is_object, F.coalesce(F.try_variant_get(json, "$", "string"), raw))
@@ -144,7 +157,8 @@ def text_command(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     number = lambda unit: F.nullif(F.regexp_extract(t, r"(\d+\.?\d*)\s*(?:" + unit + ")", 1), F.lit("")).try_cast("double")
     stop = any_of(t, STOP_WORDS)
-    ahead = F.when(any_of(t, FORWARD_WORDS), F.coalesce(F.least(number("meter|metre|m|step"), F.lit(0.5)), F.lit(0.3))).otherwise(0.0)
+    metres = number("meter|metre|m|step")
+    ahead = F.when(any_of(t, FORWARD_WORDS), F.when(metres.isNull(), 0.3).otherwise(F.least(metres, F.lit(0.5)))).otherwise(0.0)
     turn = F.radians(F.coalesce(number("degree|deg|°"), F.lit(30.0)))
     rate = F.when(t.contains("left"), turn).when(t.contains("right"), -turn).otherwise(0.0)
     return F.struct(
@@ -157,7 +171,7 @@ def text_command(text: Column) -> Column:
 
 def answer_text(answer: Column) -> Column:
     """The text of a server's answer under any of its three names; else the answer as it is."""
-    json = F.try_parse_json(answer)
+    json = whole_json(answer)
     return F.coalesce(*(F.try_variant_get(json, f"$.{k}", "string") for k in ("text_response", "text", "result")), answer)
 
 

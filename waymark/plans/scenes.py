@@ -521,7 +521,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("text_commands", """WITH t AS (SELECT conv_id, turn, lower(CASE turn % 6 WHEN 0 THEN 'Move forward ' || (conv_id % 9) / 10.0 || ' meter' WHEN 1 THEN 'turn left ' || conv_id || ' degrees' WHEN 2 THEN 'Turn right' WHEN 3 THEN 'task done' WHEN 4 THEN 'go back' ELSE text END) AS t FROM conversations),
 n AS (SELECT *, TRY_CAST(nullif(regexp_extract(t, '(\\d+\\.?\\d*)\\s*(?:meter|metre|m|step)', 1), '') AS DOUBLE) AS d, TRY_CAST(nullif(regexp_extract(t, '(\\d+\\.?\\d*)\\s*(?:degree|deg|°)', 1), '') AS DOUBLE) AS g, regexp_matches(t, 'stop|halt|complete|finish|done') AS stop FROM t)
-SELECT conv_id, turn, stop, round(CASE WHEN stop THEN 0 WHEN regexp_matches(t, 'back|reverse') THEN -0.2 WHEN regexp_matches(t, 'forward|ahead|straight|move') THEN COALESCE(least(d, 0.5), 0.3) ELSE 0 END, 6) AS vx,
+SELECT conv_id, turn, stop, round(CASE WHEN stop THEN 0 WHEN regexp_matches(t, 'back|reverse') THEN -0.2 WHEN regexp_matches(t, 'forward|ahead|straight|move') THEN CASE WHEN d IS NULL THEN 0.3 ELSE least(d, 0.5) END ELSE 0 END, 6) AS vx,
   round(CASE WHEN stop THEN 0 WHEN contains(t, 'left') THEN radians(COALESCE(g, 30)) WHEN contains(t, 'right') THEN -radians(COALESCE(g, 30)) ELSE 0 END, 6) AS yaw_rate,
   CASE WHEN regexp_matches(t, 'forward|ahead|move|go') THEN 'MOVE_FORWARD' WHEN contains(t, 'left') THEN 'TURN_LEFT' WHEN contains(t, 'right') THEN 'TURN_RIGHT' WHEN regexp_matches(t, 'stop|halt|done|finish') THEN 'STOP' ELSE 'MOVE_FORWARD' END AS action FROM n""")
 def text_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
