@@ -39,8 +39,14 @@ def word_count(text: Column) -> Column:
 
 
 def two_decimals(v: Column) -> Column:
-    """Text with two decimals, rounded as the nearest decimal of the binary value, half to even on exact ties."""
-    return F.format_number(F.bround(v.cast("decimal(38,18)"), 2), "0.00")
+    """Text with two decimals, as C's printf rounds the exact binary value, which no built-in function does."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def show(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: None if pd.isna(a) else f"{a:.2f}")
+
+    return show(v.cast("double"))
 
 
 def bounds_text(box: Column) -> Column:
