@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, minhash, mixing, multihash, packing, substring, tokcount, tokenbin, warc
+from . import bpe, embed, langid, minhash, mixing, multihash, oracles, packing, substring, tokcount, tokenbin, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,4 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc_revisits": warc.SQL,
     "op2_mixing": mixing.SQL,
+    "op3_minhash_near_dedup": oracles.NEAR_DOCUMENTS,
+    "op4_substring_dedup": oracles.REPEATED_WORDS,
+    "op9_embedding_near_dedup": oracles.NEAR_VECTORS,
 }
