@@ -17,12 +17,14 @@ from itertools import islice
 
 import numpy as np
 
+from . import kernel
+
 #: The piece pattern of byte-level BPE vocabularies, for the characters that _PLAIN lets through.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Anything but ASCII, Latin letters and common punctuation; U+001C-1F and fractions and superscripts class differently.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u024f\\u2010-\\u2027\\u2030-\\u205e]")
 #: Entries of the table of pieces in each Python worker.
-TABLE = 1_000_000
+TABLE = 500_000
 
 
 def public_path(name: str) -> str:
@@ -40,15 +42,15 @@ def printable() -> list[str]:
 
 
 class Remembered(dict):
-    """Answers of a function, worked out on demand; drops the older half when it holds too many."""
+    """Answers of a function, worked out on demand; drops the newer half when it holds too many, as what is frequent comes early."""
 
     def __init__(self, find, most: int = TABLE):
         self.find, self.most = find, most
 
     def __missing__(self, key):
         if len(self) >= self.most:
-            for old in list(islice(self, self.most // 2)):
-                del self[old]
+            for last in list(islice(reversed(self), self.most // 2)):
+                del self[last]
         found = self[key] = self.find(key)
         return found
 
@@ -56,7 +58,7 @@ class Remembered(dict):
 class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = TABLE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,7 +66,7 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         tokenize, chars = self.library.model.tokenize, dict(enumerate(printable()))
         #: ids of a piece, by the library's model, as bytes of 32-bit integers
-        self.table = Remembered(lambda p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(chars))]).tobytes())
+        self.table = Remembered(lambda p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(chars))]).tobytes(), most)
 
     def whole(self, text: str) -> bool:
         """The library must see this text as a whole."""
@@ -80,6 +82,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = TABLE) -> Encoder:
     """One encoder for each file and Python worker."""
-    return Encoder(path)
+    return Encoder(path, most)
+
+
+kernel.FORGET.append(encoder.cache_clear)

@@ -9,6 +9,9 @@ Rabin-Karp polynomial over the word hashes of a window.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,6 +19,8 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 RADIX = 0xD6E8FEB86659FD93 | 1
 MASK = (1 << 64) - 1
+#: Bytes of text that are hashed at once, but for a longer row.
+LOT_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -24,12 +29,32 @@ _LOWER[65:91] += 32
 
 _powers = np.ones(1, dtype=U), np.ones(1, dtype=U)
 
+#: Called when a Python worker turns to another kind of task; they drop what it remembers.
+FORGET: list = []
+_kind = ""
+
+
+def task(kind: str) -> None:
+    """To be called at the start of each task: workers are reused, so memory of earlier ones goes back to the system."""
+    global _kind, _powers
+    if kind != _kind:
+        _powers = _powers[0][:1].copy(), _powers[1][:1].copy()
+        for f in FORGET:
+            f()
+        _kind = kind
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i < n."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         both = []
         for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.full(size, b, dtype=U)
@@ -64,7 +89,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def spans(lengths: np.ndarray, limit: int):
+def spans(lengths: np.ndarray, limit: int = LOT_BYTES):
     """(from, to) of runs of rows with at most limit bytes together, one row at least."""
     ends = np.cumsum(lengths)
     i, n = 0, len(lengths)

@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .shared import small_batches
 
 #: Documents of each language that the statistics are drawn from, about.
 SAMPLE = 2000
 ORDER = 2
 #: Bytes with a symbol of their own, the most frequent ones; the others share one.
 ALPHABET = 94
-LOT_BYTES = 2 << 20
 UNKNOWN = "und"
 
 
@@ -55,7 +55,7 @@ class Model:
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each row under each language (rows, languages)."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for i, j in kernel.spans(np.diff(offsets), LOT_BYTES):
+        for i, j in kernel.spans(np.diff(offsets)):
             own, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             some = np.flatnonzero(np.diff(off))
             if not len(some):
@@ -101,16 +101,17 @@ def unfolded(counts: np.ndarray, equal: np.ndarray) -> np.ndarray:
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the rows of docs(doc_id, text, lang, ...) with text and lang."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    known = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     drawn = known.join(F.broadcast(share), "lang").where(draw).select("lang", "text")
 
     def count(batches):
+        kernel.task("language")
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             data, offsets = kernel.buffers(batch.column(1))
-            for i, j in kernel.spans(np.diff(offsets), LOT_BYTES):
+            for i, j in kernel.spans(np.diff(offsets)):
                 own = kernel._LOWER[data[offsets[i] : offsets[j]]]
                 off = offsets[i : j + 1] - offsets[i]
                 at = contexts(own.astype(np.int64) + 1, off, 257)
@@ -160,11 +161,12 @@ def predicted(docs: DataFrame, trained_on: Model) -> DataFrame:
     Predictions use the text alone.  Columns of docs by the new names go.
     """
     names = ["lang_pred", "score", "bits_per_byte"]
-    rows = docs.drop(*names).withColumn("__letter", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    rows = small_batches(docs).drop(*names).withColumn("__letter", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     at = rows.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(trained_on)
 
     def run(batches):
+        kernel.task("language")
         m = shared.value
         for batch in batches:
             data, offsets = kernel.buffers(batch.column(at).cast(pa.string()))

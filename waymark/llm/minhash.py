@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .graph import components
-from .shared import drop_written, small_or_plain, written
+from .shared import small_batches, small_or_plain, written
 
 K = 32
 #: A true pair of threshold 0.85 has fewer than 14 of 32 retained values in common with a chance under 1e-8.
 LEAST = 14
-CHUNK_BYTES = 4 << 20
 #: Members verified against one copy of a hub's text.
 FAN = 64
 #: From so many members on, a hub's members are matched by their differences from it.
@@ -51,10 +50,11 @@ def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
     """
 
     def run(batches):
+        kernel.task("shingles")
         for batch in batches:
             ids = batch.column(0)
             data, offsets = kernel.buffers(batch.column(1))
-            for i, j in kernel.spans(np.diff(offsets), CHUNK_BYTES):
+            for i, j in kernel.spans(np.diff(offsets)):
                 part = kernel.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
                 h, _, off = part.windows(words, whole=True)
                 sets = kernel.sorted_sets(h, off)
@@ -119,11 +119,12 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     rows = asked.join(texts, "node").repartition("b", "lot").sortWithinPartitions("b", "lot", "role").select("node", "text", "role")
 
     def run(batches):
+        kernel.task("shingles")
         hub, hub_id = None, None
         for batch in batches:
             ids, roles = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             data, offsets = kernel.buffers(batch.column(1))
-            for i, j in kernel.spans(np.diff(offsets), CHUNK_BYTES):
+            for i, j in kernel.spans(np.diff(offsets)):
                 part = kernel.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
                 h, _, off = part.windows(words, whole=True)
                 out = []
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     if num * 100 < 80 * den:
         raise ValueError("the bound on shared retained values holds from 0.8 on")
     threshold = num / den
-    base = docs.select("doc_id", "text")
+    base = small_batches(docs.select("doc_id", "text"))
     sk = written(sketches(base, words, k), "sketches")
     grouped = sk.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = written(grouped, "classes")

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
+from .shared import small_batches
 
 EQUAL, ALIKE = 8, 256
 WORDS = 3
-LOT_BYTES = 4 << 20
 #: Bytes of text in a part, and most parts; a part is streamed, so it may be large.
 PART_BYTES, PARTS = 16 << 20, 4096
 
@@ -38,7 +38,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The EQUAL lanes (n, 8) and the ALIKE lanes (n, 256) of each text; null is empty."""
     data, offsets = kernel.buffers(texts)
     equal, alike = np.zeros((len(offsets) - 1, EQUAL), np.uint64), np.zeros((len(offsets) - 1, ALIKE), np.uint16)
-    for i, j in kernel.spans(np.diff(offsets), LOT_BYTES):
+    for i, j in kernel.spans(np.diff(offsets)):
         own, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         cuts = np.unique(np.concatenate([off, np.flatnonzero(own == 10) + 1, np.flatnonzero(own == 10)]))
         starts, ends = cuts[:-1], cuts[1:]
@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     from pyspark.ml.feature import Bucketizer
 
     low = -(1 << 63)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(min(PARTS, 1 + total // PART_BYTES))
     rank = base.withColumn("x", F.col("doc_id").cast("double"))
@@ -133,10 +133,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.repartitionById(len(splits) - 1, "part").sortWithinPartitions("part", "tail", F.desc("doc_id"), F.desc("h")).select("doc_id", "text", "tail")
 
     def run(batches):
+        kernel.task("paragraphs")
         ids, texts, tails = [], [], []
         for whole in batches:
             data, offsets = kernel.buffers(whole.column(1))
-            for i, j in kernel.spans(np.diff(offsets), LOT_BYTES):
+            for i, j in kernel.spans(np.diff(offsets)):
                 batch = whole.slice(i, j - i)
                 ids += batch.column(0).to_pylist()
                 texts += batch.column(1).to_pylist()

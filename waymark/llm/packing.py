@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bpe
-from .shared import written
+from . import bpe, kernel
+from .shared import small_batches, small_or_plain, written
 
 SIZE = 2048
 OPEN = 16
@@ -100,7 +100,7 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ROW = "part int, kind int, sequence int, offset int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
-def packed(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: int = OPEN, with_ids: bool = True) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: int = OPEN, with_ids: bool = True, table: int = bpe.TABLE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of every piece of docs(doc_id, text, ...).
 
     start: ids of the document before the piece; ids_crc32: of its ids as
@@ -109,17 +109,19 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: in
     from 0.  Each id lies in one piece.  Sequences hold ``size`` ids but for the
     last ones, of power-of-two lengths.  Null text: only ``end``.  Rows with a
     null or repeated doc_id are documents of their own.  ids is null without with_ids.
+    table: pieces of text whose ids each Python worker remembers.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("sequence", pa.int32()), ("offset", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
         from pyspark import TaskContext
 
+        kernel.task("encode")
         part = TaskContext.get().partitionId()
-        encoder, packer = bpe.encoder(tokenizer), Packer(size, most)
+        encoder, packer = bpe.encoder(tokenizer, table), Packer(size, most)
         last = np.array([end], dtype=np.uint32)
         sent = 0
 
@@ -145,10 +147,12 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: in
             yield rows(packer.done, 0)
         if left:
             yield rows([left], 1)
+        kernel.task("encode")
 
     rows = written(base.mapInArrow(run, _ROW), "pieces")
     whole = rows.where("kind = 0").groupBy("part").agg((F.max("sequence") + 1).cast("long").alias("n"))
-    main = rows.where("kind = 0").join(_before(whole, "n"), "part")
+    n_parts = rows.select("part").distinct().count()
+    main = rows.where("kind = 0").join(small_or_plain(_before(whole, "n"), n_parts), "part")
     main = main.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("sequence")).alias("sequence_id"), F.col("offset").cast("long").alias("offset"), "ids")
 
     left = rows.where("kind = 1")
@@ -157,7 +161,7 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: in
     n_left = sums.agg(F.sum("n")).first()[0] or 0
     full = n_left // size
     ends = [full * size + x for x in tail_cuts(n_left - full * size)]
-    placed = left.join(_before(sums, "n"), "part").select("doc_id", "start", "doc_tokens", "ids", (F.col("before") + F.col("offset")).alias("at"))
+    placed = left.join(small_or_plain(_before(sums, "n"), n_parts), "part").select("doc_id", "start", "doc_tokens", "ids", (F.col("before") + F.col("offset")).alias("at"))
 
     def cut(batches):
         for batch in batches:

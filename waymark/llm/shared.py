@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A side with at most this many narrow rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
+#: Texts that go to Python at once.
+BATCH_ROWS = 1000
+
 _own: dict[str, str] = {}
 
 
@@ -51,6 +54,16 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df, after the session's Arrow batches are held to so many rows, as texts may be long."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key, "10000"))
+    if now > rows or now <= 0:
+        conf.set(key, str(rows))
+    return df
+
+
 def small_or_plain(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows stay under the limit."""
     return F.broadcast(df) if rows <= limit else df

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from . import kernel
 
 WINDOW = 13
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of text whose windows meet in one shard.
 SHARD_BYTES = 16 << 20
 
@@ -71,7 +71,7 @@ def _chunk(table: pa.Table):
 
 def _windows(data: np.ndarray, offsets: np.ndarray, width: int):
     """Per lot of rows: (first row, words, window hashes, window's row, window's first word)."""
-    for i, j in kernel.spans(np.diff(offsets), CHUNK_BYTES):
+    for i, j in kernel.spans(np.diff(offsets)):
         words = kernel.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         h, first, off = words.windows(width)
         yield i, j, words, h, np.repeat(np.arange(i, j), np.diff(off)), first
@@ -112,6 +112,7 @@ def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int = CHUNK_
     extra = base.select(*(f"c{k}" for k in range(len(carry or [])))).schema
 
     def send(key, table):
+        kernel.task("windows")
         _, ids, data, offsets = _chunk(table)
         known = len(ids) - ids.null_count  # nulls come last
         h, doc = _by_hash([(h, rows) for _, _, _, h, rows, _ in _windows(data, offsets[: known + 1], width)])
@@ -130,6 +131,7 @@ def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int = CHUNK_
     sent = dealt.groupBy("chunk").applyInArrow(send, "shard long, chunk long, hashes binary, docs binary, ids binary")
 
     def count(key, table):
+        kernel.task("windows")
         rows = table.to_pydict()
         start = np.uint64(key[0].as_py() * per_shard)
         hs, ids, owner = [], [], []
@@ -160,6 +162,7 @@ def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int = CHUNK_
     answers = sent.groupBy("shard").applyInArrow(count, "shard long, chunk long, places binary")
 
     def remove(key, table, told):
+        kernel.task("windows")
         table, ids, data, offsets = _chunk(table)
         known = len(ids) - ids.null_count
         lots = [(h, rows) for _, _, _, h, rows, _ in _windows(data, offsets[: known + 1], width)]

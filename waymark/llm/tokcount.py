@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, kernel
+from .shared import small_batches
 
 #: Prefixes remembered in each Python worker.
 MEMORY = 1_000_000
@@ -180,6 +181,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+kernel.FORGET.append(counter.cache_clear)
+
+
 def counted(docs: DataFrame, tokenizer: str, limit: int = 512, keep: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, ends, counts) for each row of docs(doc_id, text, ...).
 
@@ -187,9 +191,10 @@ def counted(docs: DataFrame, tokenizer: str, limit: int = 512, keep: bool = Fals
     keep: ends and counts hold, for each piece, the byte at which it ends and
     the number of tokens up to there; else they are null.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches):
+        kernel.task("count")
         of = counter(tokenizer)
         kind = pa.list_(pa.int64())
         for batch in batches:

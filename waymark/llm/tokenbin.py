@@ -28,8 +28,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .shared import fresh_path, written
+from . import bpe, kernel
+from .shared import fresh_path, small_batches, written
 
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 32 << 20
@@ -85,7 +85,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, shard_bytes: i
     Null text is empty.  A null doc_id sorts first and is stored as -2**63;
     rows that repeat a doc_id are documents of their own, by their text.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(1 + total // shard_bytes)
     system, path = place(folder)
@@ -95,6 +95,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, shard_bytes: i
     def run(batches):
         from pyspark import TaskContext
 
+        kernel.task("encode")
         k = TaskContext.get().partitionId()
         encoder = bpe.encoder(tokenizer)
         width = 2 if max(encoder.library.get_vocab_size(), end + 1) <= 1 << 16 else 4
