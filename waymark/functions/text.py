@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ def word_count(text: Column) -> Column:
 
 def two_decimals(v: Column) -> Column:
     """Text with two decimals, as C's printf rounds the exact binary value, which no built-in function does."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def show(x: pd.Series) -> pd.Series:
         return x.map(lambda a: None if pd.isna(a) else f"{a:.2f}")

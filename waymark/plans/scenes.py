@@ -546,3 +546,42 @@ def scene_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("a/trajectories_"), (k % 100).cast("string"), F.lit("_"), F.col("o_custkey").cast("string"), F.when(k % 2 == 0, F.concat(F.lit("_part"), (k % 7).cast("string"))).otherwise(""), F.lit("_trans.json"))
     found = text.trajectory_key(path)
     return T(spark, sf_dir, "orders").select("o_orderkey", *(v.alias(n) for n, v in found.items()))
+
+
+@query("physical_map", """WITH l AS (SELECT label AS scene_id, vec_id AS pos, CASE WHEN vec_id % 7 = 0 THEN 'unknown' ELSE 'Chair' END AS name, vec_id % 5 = 1 AS empty, vec_id % 5 = 2 AS missing, embedding AS e FROM embeddings),
+n AS (SELECT *, name || '_' || row_number() OVER (PARTITION BY scene_id, name ORDER BY pos) AS key FROM l WHERE NOT missing)
+SELECT scene_id, pos, key, printf('(%.2f,%.2f,%.2f),(%.2f,%.2f,%.2f)', least(e[1], e[4])::DOUBLE, least(e[2], e[5])::DOUBLE, least(e[3], e[6])::DOUBLE, greatest(e[1], e[4])::DOUBLE, greatest(e[2], e[5])::DOUBLE, greatest(e[3], e[6])::DOUBLE) AS bounds FROM n WHERE NOT empty""")
+def physical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import annotations
+
+    e = lambda k: F.col("embedding")[k].cast("double")
+    corner = lambda k: F.struct(e(k).alias("x"), e(k + 1).alias("y"), e(k + 2).alias("z"))
+    k = F.col("vec_id") % 5
+    box = F.when(k == 1, F.array().cast("array<struct<x:double,y:double,z:double>>")).when(k != 2, F.array(corner(0), corner(3)))
+    labels = T(spark, sf_dir, "embeddings").select(F.col("label").alias("scene_id"), F.col("vec_id").alias("pos"), F.when(F.col("vec_id") % 7 == 0, " ").otherwise(" Chair").alias("label"), box.alias("bounding_box"))
+    return annotations.physical_map(labels).drop("box")
+
+
+@query("skipped_labels", "SELECT label AS scene_id, count(*) AS labels, count(*) FILTER (WHERE vec_id % 5 IN (1, 2)) AS skipped FROM embeddings GROUP BY label")
+def skipped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import annotations
+
+    one = F.array(F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("z")))
+    k = F.col("vec_id") % 5
+    box = F.when(k == 1, F.array().cast("array<struct<x:double,y:double,z:double>>")).when(k != 2, one)
+    return annotations.skipped_labels(T(spark, sf_dir, "embeddings").select(F.col("label").alias("scene_id"), box.alias("bounding_box")))
+
+
+@query("duplicate_pairs", f'WITH {PAIRS} SELECT scene_id, count(*) AS pairs, count(DISTINCT (start, "end")) AS distinct_pairs, round(count(DISTINCT (start, "end")) / count(*), 6) AS ratio, count(DISTINCT (start, "end")) / count(*) < 0.9 AS warned FROM p GROUP BY scene_id')
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import annotations
+
+    return _r(annotations.duplicate_pairs(pairs(spark, sf_dir)), "ratio")
+
+
+@query("budgeted_pairs", f'WITH {PAIRS}, d AS (SELECT DISTINCT scene_id, start, "end" FROM p) SELECT scene_id, least(count(*), 12) AS n FROM d GROUP BY scene_id')
+def budgeted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import annotations
+
+    d = pairs(spark, sf_dir).select("scene_id", "start", "end").distinct()
+    return annotations.budgeted_pairs(d, 12).groupBy("scene_id").agg(F.count("*").alias("n"))
