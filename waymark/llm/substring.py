@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from . import kernel
 
 WINDOW = 13
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of text whose windows meet in one shard.
 SHARD_BYTES = 16 << 20
 
