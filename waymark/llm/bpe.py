@@ -24,7 +24,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 #: Anything but ASCII, Latin letters and common punctuation; U+001C-1F and fractions and superscripts class differently.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u024f\\u2010-\\u2027\\u2030-\\u205e]")
 #: Entries of the table of pieces in each Python worker.
-TABLE = 500_000
+TABLE = 1_000_000
 
 
 def public_path(name: str) -> str:

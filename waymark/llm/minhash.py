@@ -4,7 +4,7 @@
    smallest hashes are its sketch, and a 128-bit sum over the set names its
    class of documents with equal sets.  One document of a class stands for it.
 2. Two sets over the threshold share at least ``least_overlap`` retained values
-   (up to a chance below 1e-8 for the bound used here), so it is enough to keep
+   (up to a chance of about 1e-8 for the bound used here), so it is enough to keep
    for each sketch its rarest values down to that bound: values that many
    unrelated documents hold vanish from the inverted lists.
 3. Inverted lists of what is left give overlaps: each list first pairs its
@@ -32,7 +32,7 @@ from .graph import components
 from .shared import small_batches, small_or_plain, written
 
 K = 32
-#: A true pair of threshold 0.85 has fewer than 14 of 32 retained values in common with a chance under 1e-8.
+#: A true pair of threshold 0.85 has fewer than 14 of 32 retained values in common with a chance of about 1e-8.
 LEAST = 14
 #: Members verified against one copy of a hub's text.
 FAN = 64
