@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most this many narrow rows may be broadcast.
@@ -33,8 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def scratch(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{shared_dir(spark)}/waymark/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; results not yet saved need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,15 +55,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """df, after the session's Arrow batches are held to so many rows, as texts may be long."""
     conf = df.sparkSession.conf
@@ -67,7 +68,3 @@ def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
 def small_or_plain(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows stay under the limit."""
     return F.broadcast(df) if rows <= limit else df
-
-
-def as_long(c: Column) -> Column:
-    return c.cast("long")
