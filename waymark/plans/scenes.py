@@ -477,9 +477,9 @@ def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Column functions
 
 
-@query("aabb", "SELECT vec_id, round(list_min(embedding[1:8]), 6) AS x0, round(list_max(embedding[1:8]), 6) AS x1, round(list_max(embedding[17:24]) - list_min(embedding[17:24]), 6) AS height FROM embeddings")
+@query("aabb", "SELECT vec_id, round(list_min(embedding[1:8])::DOUBLE, 6) AS x0, round(list_max(embedding[1:8])::DOUBLE, 6) AS x1, round(list_max(embedding[17:24])::DOUBLE - list_min(embedding[17:24])::DOUBLE, 6) AS height FROM embeddings")
 def aabb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("embedding")
+    e = F.col("embedding").cast("array<double>")
     corners = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(F.get(e, i).alias("x"), F.get(e, i + 8).alias("y"), F.get(e, i + 16).alias("z")))
     b = geometry.corners_box(corners)
     return T(spark, sf_dir, "embeddings").select("vec_id", b.alias("b")).select("vec_id", F.round("b.x0", 6).alias("x0"), F.round("b.x1", 6).alias("x1"), F.round(F.col("b.z1") - F.col("b.z0"), 6).alias("height"))
