@@ -60,9 +60,8 @@ def corpus(seed, n=120):
     return [(i * 3 + 1, " ".join(t)) for i, t in enumerate(out)]
 
 
-def near(frame, rows, **how):
-    got = minhash.near_duplicates(frame(rows, **how), num=85).collect()
-    return got
+def near(frame, rows, num=85, **how):
+    return minhash.near_duplicates(frame(rows, **how), num=num).collect()
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -76,7 +75,8 @@ def test_near_duplicates_match_brute_force(frame, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_cloud_of_near_copies(frame, monkeypatch):
+@pytest.mark.parametrize("num", [80, 85])
+def test_cloud_of_near_copies(frame, num):
     """One base with many copies at all distances: pairs within it come from the differences from the hub."""
     rng = random.Random(7)
     words = [f"w{i}" for i in range(500)]
@@ -93,7 +93,7 @@ def test_cloud_of_near_copies(frame, monkeypatch):
         t = rows[rng.randrange(1, 151)][1].split()
         t[rng.randrange(len(t))] = "z"
         rows.append((200 + i, " ".join(t)))
-    assert {r.doc_id: r.component_id for r in near(frame, rows)} == brute_components(rows)
+    assert {r.doc_id: r.component_id for r in near(frame, rows, num)} == brute_components(rows, num)
 
 
 def test_copies_share_a_component_without_pairs(frame):
