@@ -17,9 +17,17 @@ H = W = 100
 DISK = "d AS (SELECT i, j FROM (SELECT unnest(range(-4, 5)) AS i), (SELECT unnest(range(-4, 5)) AS j) WHERE i * i + j * j <= 16)"
 
 
+def _cells(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_type").alias("scene_id"), F.get_json_object("props", "$.k").cast("int").alias("row"), F.floor(F.least("value", F.lit(99))).cast("int").alias("col")).distinct()
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 4 = 0")
-    return e.select(F.col("event_type").alias("scene_id"), F.get_json_object("props", "$.k").cast("int").alias("row"), F.floor(F.least("value", F.lit(99))).cast("int").alias("col")).distinct()
+    """The cells of CELLS, which are those of a quarter of the events."""
+    return _cells(table(spark, sf_dir, "events").where("event_id % 4 = 0"))
+
+
+def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(table(spark, sf_dir, "events"))
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +90,17 @@ def mask_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("coords", F.array_join(F.transform("coords", lambda c: F.concat_ws(":", c["row"].cast("string"), c["col"].cast("string"))), ","))
 
 
+def _points(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_type").alias("scene_id"), F.col("event_id").alias("point_id"), (F.col("value") / 10 - 10.05).alias("x"), (F.get_json_object("props", "$.k").cast("double") / 10 - 10.05).alias("y"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 4 = 1")
-    return e.select(F.col("event_type").alias("scene_id"), F.col("event_id").alias("point_id"), (F.col("value") / 10 - 10.05).alias("x"), (F.get_json_object("props", "$.k").cast("double") / 10 - 10.05).alias("y"))
+    """The points of the query's SQL, which are a quarter of the events."""
+    return _points(table(spark, sf_dir, "events").where("event_id % 4 = 1"))
+
+
+def all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(table(spark, sf_dir, "events"))
 
 
 @query("point_collisions", f"""WITH {CELLS}, p AS (SELECT event_type AS scene_id, event_id AS point_id, value / 10 - 10.05 AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10 - 10.05 AS y FROM events WHERE event_id % 4 = 1),
@@ -96,9 +112,9 @@ def point_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("path_collisions")
 def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
+    p = all_points(spark, sf_dir)
     moves = p.select("scene_id", F.col("point_id").alias("move_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 0.5).alias("x2"), (F.col("y") + 0.3).alias("y2"))
-    return grid.path_collisions(moves, cells(spark, sf_dir), extent(spark))
+    return grid.path_collisions(moves, all_cells(spark, sf_dir), extent(spark))
 
 
 @query("collision_info", f"WITH {IMAGE} SELECT scene_id, count(*) FILTER (WHERE v = 1) AS obstacles, count(*) AS cells, round(count(*) FILTER (WHERE v = 1) / count(*), 6) AS ratio FROM g GROUP BY scene_id")
@@ -135,7 +151,7 @@ def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("planned_paths")
 def planned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
+    c = all_cells(spark, sf_dir)
     spot = lambda r, k: F.array(F.struct(F.lit(r).alias("row"), F.lit(k).alias("col")))
     requests = extent(spark).select("scene_id", F.explode(F.array(*(F.lit(k) for k in range(5)))).alias("pair_id"))
     requests = requests.select("scene_id", "pair_id", spot(0, 0).alias("start"), F.array(F.struct((F.col("pair_id") * 10 + 50).alias("row"), F.lit(99).alias("col"))).alias("goal"))
@@ -154,6 +170,6 @@ def connected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("safe_moves")
 def safe_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
+    p = all_points(spark, sf_dir)
     moves = p.select("scene_id", F.col("point_id").alias("move_id"), F.abs("x").alias("x"), F.abs("y").alias("y"), F.lit(0.1).alias("dx"), F.lit(0.1).alias("dy"))
-    return grid.safe_moves(moves, cells(spark, sf_dir), 0.1)
+    return grid.safe_moves(moves, all_cells(spark, sf_dir), 0.1)
