@@ -1,6 +1,11 @@
 """Queries and operators do the whole job."""
 
+import json
+
+from waymark import stages
+from waymark.operators import stats
 from waymark.plans import QUERIES
+from waymark.sources import readers
 
 
 def test_grid_queries_use_every_event(spark, tmp_path):
@@ -13,3 +18,28 @@ def test_grid_queries_use_every_event(spark, tmp_path):
     assert QUERIES["safe_moves"](spark, str(tmp_path)).count() == len(rows)
     paths = {(r.scene_id, r.pair_id): r.cost for r in QUERIES["planned_paths"](spark, str(tmp_path)).collect()}
     assert paths["click", 1] is None and paths["view", 1] is not None
+
+
+def test_written_maps_keep_masks(spark, tmp_path):
+    """Map documents come back whole, and give the bounds of the map."""
+    box = lambda z1: [{"x": x, "y": y, "z": z} for z in (0, z1) for x, y in ((0.0, 0.0), (0.2, 0.0), (0.2, 0.2), (0.0, 0.2))]
+    raw = tmp_path / "raw" / "0001_a"
+    raw.mkdir(parents=True)
+    (raw / "labels.json").write_text(json.dumps([{"label": "rug"}, {"label": "Lamp", "ins_id": "i7", "bounding_box": box(1.5)}, {"label": "chair", "bounding_box": box(1)}]))
+    (raw / "occupancy.json").write_text(json.dumps({"scale": 0.1, "min": [1, 2, 0]}))
+    (raw / "occupancy.pgm").write_bytes(b"P5 5 3 255\n" + bytes([0] * 5 + [255] * 5 + [100] * 5))
+    labels = raw / "labels.json"
+    labels.write_text(labels.read_text().replace('"x": 0.', '"x": 1.').replace('"y": 0.', '"y": 2.'))
+    stages.semantic_map(spark, str(labels), f"{raw}/occupancy.pgm", f"{raw}/occupancy.json", f"{tmp_path}/maps")
+    m = readers.semantic_map(spark, f"{tmp_path}/maps/*")
+    rows = m.orderBy("pos").collect()
+    assert {r.scene_id for r in rows} == {"0001_a"}
+    assert [(r.item_id, r.instance_id, r.category_id, r.height_m, r.min_z_m, r.max_z_m) for r in rows] == [
+        ("chair_1", "", 3, "1.00", "0.00", "1.00"), ("lamp_1", "i7", 13, "1.50", "0.00", "1.50"),
+        ("wall_1", "wall_1", 10, "3.00", "0.00", "3.00"), ("unable_area_1", "unable_area_1", -1, "0.00", "0.00", "0.00"),
+    ]
+    assert all(len(r.mask_coords_m) == r.area for r in rows)
+    assert rows[0].mask_coords_m == [["2.15", "1.35"], ["2.15", "1.45"], ["2.25", "1.35"], ["2.25", "1.45"]]
+    assert rows[0].bbox_m == ["1.30", "2.10", "1.50", "2.30"] and rows[0].bbox_xywh_m == ["1.30", "2.10", "0.20", "0.20"]
+    b = stats.map_bounds(m.withColumnRenamed("mask_coords_m", "coords"), ["scene_id"]).first()
+    assert (b.x0, b.x1, b.y0, b.y1) == (1.05, 1.45, 2.05, 2.25)

@@ -22,6 +22,8 @@ from ..functions.text import normalised_label
 #: Radii in metres, least area of an unusable area, wall height, obstacle labels.
 PLANNER_RADIUS, LEAST_AREA, WALL_HEIGHT, TOLERANCE = 0.2, 5, 3.0, 2
 OBSTACLES = ["wall", "unable area"]
+#: Labels with a fixed category, from 1 on.
+CLASSES = ["door", "window", "chair", "table", "sofa", "bed", "wardrobe", "plant", "floor", "wall", "ceiling"]
 FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -97,7 +99,7 @@ def components(cells: DataFrame, diagonal: bool) -> DataFrame:
 
 
 def area_instances(cells: DataFrame, label: str, height: float, least: int = 1) -> DataFrame:
-    """(scene_id, label, instance_id, item_id, height, area, row0, row1, col0, col1) of the components of cells.
+    """(scene_id, label, instance_id, item_id, height, area, row0, row1, col0, col1, coords) of the components of cells.
 
     instance_id counts all components, item_id those of at least so many cells.
     """
@@ -105,26 +107,46 @@ def area_instances(cells: DataFrame, label: str, height: float, least: int = 1)
     place = F.row_number().over(Window.partitionBy("scene_id").orderBy("component"))
     name = F.lit(label)
     stem = normalised_label(name)
-    return m.select("scene_id", name.alias("label"), F.concat_ws("_", stem, F.col("component").cast("string")).alias("instance_id"), F.concat_ws("_", stem, place.cast("string")).alias("item_id"), F.lit(height).alias("height"), "area", "row0", "row1", "col0", "col1")
+    return m.select("scene_id", name.alias("label"), F.concat_ws("_", stem, F.col("component").cast("string")).alias("instance_id"), F.concat_ws("_", stem, place.cast("string")).alias("item_id"), F.lit(height).alias("height"), "area", "row0", "row1", "col0", "col1", "coords")
 
 
-def semantic_map(objects: DataFrame, grid: DataFrame, extent: DataFrame) -> DataFrame:
+def category_ids(labels: DataFrame) -> DataFrame:
+    """(scene_id, label, category_id) of labels(scene_id, pos, label): fixed ones from 1 on, others after them in the order of their first place."""
+    known = F.create_map(*(F.lit(x) for k, n in enumerate(CLASSES, 1) for x in (n, k)))
+    seen = labels.groupBy("scene_id", "label").agg(F.min("pos").alias("first")).withColumn("known", F.try_element_at(known, F.col("label")))
+    new = F.row_number().over(Window.partitionBy("scene_id", F.col("known").isNull()).orderBy("first", "label")) + len(CLASSES)
+    return seen.select("scene_id", "label", F.coalesce("known", new).alias("category_id"))
+
+
+def semantic_map(objects: DataFrame, grid: DataFrame, extent: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Instances of objects(scene_id, pos, label, ring, z0, z1), walls and unusable areas (value 0) of
-    grid(scene_id, row, col, v), with extent(scene_id, x0, y0, scale, h, w): box in metres, area and height."""
+    grid(scene_id, row, col, v), with extent(scene_id, x0, y0, scale, h, w): category, box in metres, area, heights and
+    coords, the centres [y, x] of its cells in metres.
+
+    labels(scene_id, pos, label): all annotations that categories are numbered by, those without a ring too; else the
+    objects.  ins_id of objects, if there, is their instance_id.
+    """
     e = F.broadcast(extent) if extent.isLocal() else extent
     own = mask_summary(rasterised(objects.join(e, "scene_id")), ["scene_id", "pos", "label"])
     # numbered among those that cover a cell
     place = F.row_number().over(Window.partitionBy("scene_id", "label").orderBy("pos"))
     own = own.withColumn("item_id", F.concat_ws("_", normalised_label(F.col("label")), place.cast("string")))
-    own = own.join(objects.select("scene_id", "pos", (F.col("z1") - F.col("z0")).alias("height")), ["scene_id", "pos"])
-    own = own.select("scene_id", "label", F.lit("").alias("instance_id"), "item_id", "height", "area", "row0", "row1", "col0", "col1")
+    ins = F.coalesce(F.col("ins_id"), F.lit("")) if "ins_id" in objects.columns else F.lit("")
+    own = own.join(objects.select("scene_id", "pos", ins.alias("instance_id"), (F.col("z1") - F.col("z0")).alias("height"), "z0", "z1"), ["scene_id", "pos"])
+    own = own.join(category_ids(labels if labels is not None else objects), ["scene_id", "label"])
+    own = own.select("scene_id", "category_id", "label", "instance_id", "item_id", "height", "z0", "z1", "area", "row0", "row1", "col0", "col1", "coords")
     up = flipped_rows(grid.join(extent.select("scene_id", "h"), "scene_id"))
-    walls = area_instances(up.join(wall_value(grid), "scene_id").where("v = wall"), "wall", WALL_HEIGHT)
-    unable = area_instances(up.where("v = 0"), "Unable Area", 0.0, LEAST_AREA)
+    on_floor = {"z0": F.lit(0.0), "z1": F.col("height")}
+    walls = area_instances(up.join(wall_value(grid), "scene_id").where("v = wall"), "wall", WALL_HEIGHT).withColumns(on_floor | {"category_id": F.lit(CLASSES.index("wall") + 1)})
+    unable = area_instances(up.where("v = 0"), "Unable Area", 0.0, LEAST_AREA).withColumns(on_floor | {"category_id": F.lit(-1)})
+    own = own.withColumn("coords", F.transform("coords", lambda c: F.struct(c["row"].cast("long").alias("row"), c["col"].cast("long").alias("col"))))
     out = own.unionByName(walls).unionByName(unable).join(e, "scene_id")
     x = lambda c, add: F.col("x0") + (F.col(c) + add) * F.col("scale")
     y = lambda c, add: F.col("y0") + (F.col(c) + add) * F.col("scale")
-    return out.select("scene_id", "label", "instance_id", "item_id", "height", "area", F.array(x("col0", 0), y("row0", 0), x("col1", 1), y("row1", 1)).alias("box"))
+    centre = lambda low, c: F.col(low) + (c + 0.5) * F.col("scale")
+    coords = F.transform("coords", lambda c: F.array(centre("y0", c["row"]), centre("x0", c["col"])))
+    box = F.array(x("col0", 0), y("row0", 0), x("col1", 1), y("row1", 1))
+    return out.select("scene_id", "category_id", "label", "instance_id", "item_id", "height", "z0", "z1", "area", box.alias("box"), coords.alias("coords"))
 
 
 def disk(radius: float, scale: float) -> list[tuple[int, int]]:

@@ -58,9 +58,10 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def semantic_map(spark: SparkSession, path: str) -> DataFrame:
-    """Instances with their place in the file; numbers stay texts, see numbers()."""
+    """Instances with their place in the file; numbers stay texts, see numbers().  Folders may be those the stage writes."""
     struct = F.from_json("value", f"array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in _fields(schemas.INSTANCE))}>>")
-    return documents(spark, path).select("scene_id", F.posexplode(struct).alias("pos", "o")).select("scene_id", "pos", "o.*")
+    scene = F.regexp_replace("scene_id", "^scene_id=", "").alias("scene_id")
+    return documents(spark, path).select(scene, F.posexplode(struct).alias("pos", "o")).select("scene_id", "pos", "o.*")
 
 
 def _fields(ddl: str) -> list[str]:

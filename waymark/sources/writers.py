@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.text import two_decimals
 from ..operators.selection import parts_of
 
 
@@ -35,6 +37,29 @@ def append(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("append").format(fmt).save(path)
 
 
+def map_documents(instances: DataFrame) -> DataFrame:
+    """(scene_id, value): the JSON document of each scene's instances, as grid.semantic_map() has them; metres are texts with two decimals."""
+
+    @F.pandas_udf("array<string>")
+    def shown(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: [f"{a:.2f}" for a in v])
+
+    @F.pandas_udf("array<array<string>>")
+    def shown_pairs(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: [[f"{a:.2f}" for a in pair] for pair in v])
+
+    b = F.col("box")
+    texts = instances.select(
+        "scene_id", "category_id", F.col("label").alias("category_label"), "instance_id", "item_id", shown(b).alias("bbox_m"), shown(F.array(b[0], b[1], b[2] - b[0], b[3] - b[1])).alias("bbox_xywh_m"), "area",
+        two_decimals(F.col("height")).alias("height_m"), two_decimals(F.col("z0")).alias("min_z_m"), two_decimals(F.col("z1")).alias("max_z_m"), shown_pairs("coords").alias("mask_coords_m"),
+    )
+    # objects, walls, unusable areas, as they are numbered
+    kind = F.when(F.col("category_id") == -1, 2).when((F.col("category_label") == "wall") & F.col("instance_id").startswith("wall_"), 1).otherwise(0)
+    number = F.regexp_extract("item_id", r"(\d+)$", 1).cast("long")
+    body = F.sort_array(F.collect_list(F.struct(kind.alias("kind"), F.col("category_id").alias("c"), number.alias("k"), F.struct(*texts.columns[1:]).alias("o"))))
+    return texts.groupBy("scene_id").agg(F.to_json(F.transform(body, lambda x: x["o"])).alias("value"))
+
+
 def trajectory_documents(samples: DataFrame) -> DataFrame:
     """(scene_id, value): the JSON document of each scene's samples(scene_id, pos, trajectory_id, instructions, points)."""
     body = F.sort_array(F.collect_list(F.struct("pos", "trajectory_id", "instructions", "points")))

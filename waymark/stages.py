@@ -27,15 +27,16 @@ def physical_map(spark: SparkSession, labels: str, out: str, only: list[str] | N
 
 
 def semantic_map(spark: SparkSession, labels: str, images: str, meta: str, out: str, only: list[str] | None = None, overwrite: bool = False) -> None:
-    """Instances with their boxes on the ground, walls and unusable areas, one folder a scene."""
+    """Instances with their boxes and masks on the ground, walls and unusable areas, one document a scene."""
     image = readers.occupancy(spark, images)
     size = image.groupBy("scene_id").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
     extent = readers.occupancy_meta(spark, meta).join(size, "scene_id")
-    o = readers.labels(spark, labels).where(F.size("bounding_box") >= 4)
+    named = _some(readers.labels(spark, labels), only)
+    o = named.where(F.size("bounding_box") >= 4)
     ring = F.transform(F.slice("bounding_box", 1, 4), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     z = F.transform("bounding_box", lambda p: p["z"])
-    objects = _some(o.select("scene_id", "pos", "label", ring.alias("ring"), F.array_min(z).alias("z0"), F.array_max(z).alias("z1")), only)
-    writers.by_scene(grid.semantic_map(objects, _some(image, only), extent), out, overwrite, fmt="json")
+    objects = o.select("scene_id", "pos", "label", "ins_id", ring.alias("ring"), F.array_min(z).alias("z0"), F.array_max(z).alias("z1"))
+    writers.by_scene(writers.map_documents(grid.semantic_map(objects, _some(image, only), extent, named)), out, overwrite, fmt="text")
 
 
 def to_scene(spark: SparkSession, trajectories: str, bounds: DataFrame, out: str) -> None:
