@@ -13,7 +13,8 @@ with the shortest code wins.
 Training counts come from a bounded sample: about ``sample`` whole documents
 of each language, drawn by a hash of doc_id.  What the driver gathers is one
 row for each language and distinct context with its byte, bounded by the
-alphabet, not by the corpus.
+alphabet, not by the corpus.  Every byte seen in training has its own symbol,
+and a language has a row of code lengths only for the contexts it has seen.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,26 +33,29 @@ from .shared import small_batches
 #: Documents of each language that the statistics are drawn from, about.
 SAMPLE = 2000
 ORDER = 2
-#: Bytes with a symbol of their own, the most frequent ones; the others share one.
-ALPHABET = 94
+#: Contexts whose code lengths are worked out at a time.
+BLOCK = 4096
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
-    """languages; symbol of each byte (0 is the start of a text, 1 other bytes); code lengths in bits by (language, contexts and byte)."""
+    """languages; symbol of each byte (0 is the start of a text, 1 bytes never seen); for each language the row of each two
+    symbols before a byte, and rows of code lengths in bits."""
 
     languages: list[str]
     symbols: np.ndarray
-    bits: np.ndarray
+    where: list[np.ndarray]
+    rows: list[np.ndarray]
 
     @property
     def size(self) -> int:
         return int(self.symbols.max()) + 1
 
-    def codes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Index into ``bits`` for each byte: its context and itself."""
-        return contexts(self.symbols[data], offsets, self.size)
+    @property
+    def bits(self) -> np.ndarray:
+        """Code lengths by (language, contexts and byte), unfolded; only for small alphabets."""
+        return np.array([r[w].reshape(-1) for w, r in zip(self.where, self.rows, strict=True)])
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each row under each language (rows, languages)."""
@@ -60,9 +65,9 @@ class Model:
             some = np.flatnonzero(np.diff(off))
             if not len(some):
                 continue
-            at = self.codes(own, off)
-            for k, bits in enumerate(self.bits):
-                out[i + some, k] = np.add.reduceat(bits[at], off[some], dtype=np.float64)
+            past, this = np.divmod(contexts(self.symbols[own], off, self.size), self.size)
+            for k, (where, rows) in enumerate(zip(self.where, self.rows, strict=True)):
+                out[i + some, k] = np.add.reduceat(rows.reshape(-1)[where[past] * self.size + this], off[some], dtype=np.float64)
         return out
 
 
@@ -78,78 +83,137 @@ def contexts(symbols: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
     return (two * size + one) * size + this
 
 
-def unfolded(counts: np.ndarray, equal: np.ndarray) -> np.ndarray:
-    """Probabilities of each symbol after each two symbols, from counts (size, size, size) of one language.
+def refined(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of each symbol after contexts with these counts, from those after the next shorter contexts."""
+    total, distinct = count.sum(-1, keepdims=True), (count > 0).sum(-1, keepdims=True)
+    fresh = np.where(count > 0, 0.0, shorter)
+    rest = fresh.sum(-1, keepdims=True)
+    # a context that has had every symbol never escapes; one that was never seen is passed over
+    escape = np.where(rest > 0, distinct, 0)
+    found = count / np.maximum(total + escape, 1)
+    lower = np.divide(fresh, rest, out=np.zeros_like(fresh), where=rest > 0) * (escape / np.maximum(total + escape, 1))
+    return np.where(total > 0, found + lower, shorter)
 
-    equal: the probabilities without any statistics.
-    """
 
-    def refined(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, distinct = count.sum(-1, keepdims=True), (count > 0).sum(-1, keepdims=True)
-        fresh = np.where(count > 0, 0.0, shorter)
-        rest = fresh.sum(-1, keepdims=True)
-        # a context that has had every symbol never escapes; one that was never seen is passed over
-        escape = np.where(rest > 0, distinct, 0)
-        found = count / np.maximum(total + escape, 1)
-        lower = np.divide(fresh, rest, out=np.zeros_like(fresh), where=rest > 0) * (escape / np.maximum(total + escape, 1))
-        return np.where(total > 0, found + lower, shorter)
+def unfolded(past: np.ndarray, this: np.ndarray, n: np.ndarray, equal: np.ndarray, others: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where, rows) of one language, from the counts n of a symbol after two symbols.
 
-    p = refined(counts.sum((0, 1)), equal)
-    p = refined(counts.sum(0), np.broadcast_to(p, counts.shape[1:]))
-    return refined(counts, np.broadcast_to(p, counts.shape))
+    equal: the probabilities without any statistics; others: the bytes that share symbol 1.
+    rows: after any context that was never seen, whatever the symbol before; then
+    after each one symbol; then after each two that were seen.
+    """
+    size = len(equal)
+    seen, at = np.unique(past, return_inverse=True)
+    two = np.bincount(at * size + this, weights=n, minlength=len(seen) * size).reshape(-1, size)
+    last = np.bincount(past % size * size + this, weights=n, minlength=size * size).reshape(size, size)
+    one = refined(last, np.broadcast_to(refined(last.sum(0), equal), last.shape))
+    rows = np.empty((size + len(seen), size), dtype=np.float32)
+
+    def put(first: int, p: np.ndarray) -> None:
+        p[:, 1] /= max(others, 1)  # which of the other bytes
+        with np.errstate(divide="ignore"):
+            rows[first : first + len(p)] = np.minimum(-np.log2(p), 64)
 
+    for k in range(0, len(seen), BLOCK):
+        put(size + k, refined(two[k : k + BLOCK], one[seen[k : k + BLOCK] % size]))
+    put(0, one)
+    where = np.tile(np.arange(size), size)
+    where[seen] = size + np.arange(len(seen))
+    return where, rows
 
-def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the rows of docs(doc_id, text, lang, ...) with text and lang."""
+
+def drawn(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, text, half) of about ``sample`` documents of each language, each in one of two halves."""
     known = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    drawn = known.join(F.broadcast(share), "lang").where(draw).select("lang", "text")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"))
+    draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    return known.join(F.broadcast(share), "lang").where(draw).select("lang", "text", F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).cast("int").alias("half"))
+
+
+def counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., code, n): how often a byte follows two in rows(by..., text); by is lang, or lang and half."""
 
     def count(batches):
         kernel.task("language")
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            data, offsets = kernel.buffers(batch.column(1))
+            group = batch.column(0) if len(by) == 1 else pc.binary_join_element_wise(batch.column(0), batch.column(1).cast(pa.string()), "\0")
+            names = np.array(group.to_pylist(), dtype=object)
+            data, offsets = kernel.buffers(batch.column(len(by)))
             for i, j in kernel.spans(np.diff(offsets)):
                 own = kernel._LOWER[data[offsets[i] : offsets[j]]]
                 off = offsets[i : j + 1] - offsets[i]
                 at = contexts(own.astype(np.int64) + 1, off, 257)
-                row = np.repeat(langs[i:j], np.diff(off))
-                for lang in sorted(set(langs[i:j])):
-                    codes, n = np.unique(at[row == lang], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
+                row = np.repeat(names[i:j], np.diff(off))
+                for name in sorted(set(names[i:j])):
+                    codes, n = np.unique(at[row == name], return_counts=True)
+                    lang, half = name.rsplit("\0", 1) if len(by) > 1 else (name, "0")
+                    size = len(codes)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array([int(half)] * size, pa.int32()), pa.array(codes), pa.array(n)], names=["lang", "half", "code", "n"])
+
+    return rows.select(*by, "text").mapInArrow(count, "lang string, half int, code long, n long").groupBy(*by, "code").agg(F.sum("n").alias("n"))
+
 
-    rows = drawn.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()
-    return model([(r.lang, r.code, r.n) for r in rows])
+def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from the rows of docs(doc_id, text, lang, ...) with text and lang."""
+    return model([(r.lang, r.code, r.n) for r in counted(drawn(docs, sample), ["lang"]).collect()])
+
+
+def limited(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> tuple[Model, dict[str, float]]:
+    """The model of trained() and the most bits a byte that a text of each language costs, at least ``least``.
+
+    Each drawn document is coded by a model of the half that it is not in.  No
+    document that this finds to be in its language costs more than the limit; a
+    language none of whose documents are found so is learned from too little to
+    have one: infinity.
+    """
+    some = drawn(docs, sample)
+    rows = counted(some, ["lang", "half"]).collect()
+    total: dict[tuple[str, int], int] = {}
+    for r in rows:
+        total[r.lang, r.code] = total.get((r.lang, r.code), 0) + r.n
+    whole = model([(lang, code, n) for (lang, code), n in total.items()])
+    other = some.sparkSession.sparkContext.broadcast([model([(r.lang, r.code, r.n) for r in rows if r.half != h]) for h in (0, 1)])
+
+    def cost(batches):
+        kernel.task("language")
+        for batch in batches:
+            data, offsets = kernel.buffers(batch.column(1))
+            langs, halves = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(2).to_numpy()
+            best, short = np.full(len(langs), None, dtype=object), np.zeros(len(langs))
+            for h, m in enumerate(other.value):
+                if m.languages and (halves == h).any():
+                    bits = m.lengths(data, offsets)
+                    best = np.where(halves == h, np.array(m.languages, dtype=object)[bits.argmin(axis=1)], best)
+                    short = np.where(halves == h, bits.min(axis=1), short)
+            size = np.diff(offsets)
+            own = (best == langs) & (size > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(langs[own], pa.string()), pa.array(short[own] / size[own], pa.float64())], names=["lang", "bits"])
+
+    found = some.mapInArrow(cost, "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits")).collect()
+    return whole, dict.fromkeys(whole.languages, float("inf")) | {r.lang: max(least, r.bits) for r in found}
 
 
 def model(rows: list[tuple[str, int, int]]) -> Model:
     """The model of counts (language, two contexts and byte, n); bytes count from 1, 0 is the start."""
     if not rows:
-        return Model([], np.ones(256, np.int64), np.zeros((0, 8), np.float32))
+        return Model([], np.ones(256, np.int64), [], [])
     languages = sorted({r[0] for r in rows})
     where = {x: k for k, x in enumerate(languages)}
     lang, code, n = (np.array(x) for x in zip(*((where[a], b, c) for a, b, c in rows), strict=True))
     often = np.bincount(code % 257, weights=n, minlength=257)[1:]
-    own = [int(b) for b in np.lexsort((np.arange(256), -often))[:ALPHABET] if often[b] > 0]
+    own = [int(b) for b in np.lexsort((np.arange(256), -often)) if often[b] > 0]
     symbols = np.ones(256, dtype=np.int64)
     symbols[own] = np.arange(len(own)) + 2
     size = len(own) + 2
     to = np.concatenate([[0], symbols])
-    flat = (to[code // 257**2] * size + to[code // 257 % 257]) * size + to[code % 257]
+    past, this = to[code // 257**2] * size + to[code // 257 % 257], to[code % 257]
     equal = np.full(size, 1 / 256)
     equal[0], equal[1] = 0, (256 - len(own)) / 256
-    bits = np.empty((len(languages), size**3), dtype=np.float32)
-    for k in range(len(languages)):
-        counts = np.bincount(flat[lang == k], weights=n[lang == k], minlength=size**3).reshape(size, size, size)
-        p = unfolded(counts, equal)
-        p[..., 1] /= 256 - len(own)  # which of the other bytes
-        with np.errstate(divide="ignore"):
-            bits[k] = np.minimum(-np.log2(p), 64).reshape(-1)
+    tables = [unfolded(past[lang == k], this[lang == k], n[lang == k], equal, 256 - len(own)) for k in range(len(languages))]
     lower = symbols.copy()
     lower[65:91] = symbols[97:123]
-    return Model(languages, lower, bits)
+    return Model(languages, lower, [w for w, _ in tables], [r for _, r in tables])
 
 
 def predicted(docs: DataFrame, trained_on: Model) -> DataFrame:
