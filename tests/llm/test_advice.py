@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 
-from waymark.llm import kernel, langid
+from waymark.llm import kernel, langid, multihash
 
 
 def scripts():
@@ -40,3 +40,12 @@ def test_limits_hold_what_a_half_has_not_seen(frame):
     m, limits = langid.limited(frame(rows), least=7.0)
     assert limits["en"] == 7.0 and limits["zz"] > 7.0
     assert m.languages == ["en", "zz"] and np.isfinite(m.rows[0]).all()
+
+
+def test_likeness_of_a_line_repeated_often(frame):
+    """Lanes beyond 32,767, of which an edit leaves two thirds."""
+    line = "the same few words in every line of a very long log\n"
+    got = {r.doc_id: r for r in multihash.fingerprints(frame([(2, line * 60_000), (1, line * 40_000)])).collect()}
+    assert got[2].near_edited > 0.99 and got[2].near_next > 0.99 and got[1].near_edited > 0.99
+    one = multihash.decoded(multihash.fingerprint(line.strip()))[1].view(np.int32)
+    assert (multihash.decoded(got[2].fingerprint)[1].view(np.int32) == one * 60_000).all()

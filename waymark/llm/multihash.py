@@ -7,7 +7,7 @@ addition or subtraction:
 
 * EQUAL lanes modulo 2**64, drawn from a 128-bit hash of the paragraph's bytes;
   they agree for equal multisets and else only by chance.
-* ALIKE lanes modulo 2**16, to which each run of three words of the paragraph
+* ALIKE lanes modulo 2**32, to which each run of three words of the paragraph
   adds 1 or subtracts 1 in one lane; the cosine of two documents' lanes
   estimates how much of their wording they share.
 """
@@ -37,7 +37,7 @@ _STEP = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) & kernel.MASK for j in rang
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The EQUAL lanes (n, 8) and the ALIKE lanes (n, 256) of each text; null is empty."""
     data, offsets = kernel.buffers(texts)
-    equal, alike = np.zeros((len(offsets) - 1, EQUAL), np.uint64), np.zeros((len(offsets) - 1, ALIKE), np.uint16)
+    equal, alike = np.zeros((len(offsets) - 1, EQUAL), np.uint64), np.zeros((len(offsets) - 1, ALIKE), np.uint32)
     for i, j in kernel.spans(np.diff(offsets)):
         own, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         cuts = np.unique(np.concatenate([off, np.flatnonzero(own == 10) + 1, np.flatnonzero(own == 10)]))
@@ -58,19 +58,19 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             sign = 1.0 - 2.0 * ((g >> np.uint64(63)).astype(np.float64))
             cell = doc * ALIKE + (g & np.uint64(ALIKE - 1)).astype(np.int64)
             total = np.bincount(cell, weights=sign, minlength=(j - i) * ALIKE)
-            alike[i:j] = total.astype(np.int64).astype(np.uint16).reshape(j - i, ALIKE)
+            alike[i:j] = total.astype(np.int64).astype(np.uint32).reshape(j - i, ALIKE)
     return equal, alike
 
 
 def coded(equal: np.ndarray, alike: np.ndarray) -> list[str]:
     """The fingerprints as text."""
-    both = np.concatenate([equal.astype("<u8").view(np.uint8), alike.astype("<u2").view(np.uint8)], axis=1)
+    both = np.concatenate([equal.astype("<u8").view(np.uint8), alike.astype("<u4").view(np.uint8)], axis=1)
     return [base64.b64encode(x.tobytes()).decode() for x in both]
 
 
 def decoded(code: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(code)
-    return np.frombuffer(raw, "<u8", EQUAL).copy(), np.frombuffer(raw, "<u2", ALIKE, EQUAL * 8).copy()
+    return np.frombuffer(raw, "<u8", EQUAL).copy(), np.frombuffer(raw, "<u4", ALIKE, EQUAL * 8).copy()
 
 
 def fingerprint(text: str | None) -> str:
@@ -83,12 +83,12 @@ def changed(code: str, paragraph: str, times: int = 1) -> str:
         raise ValueError("a paragraph has no line break")
     equal, alike = decoded(code)
     e, a = vectors(pa.array([paragraph], pa.string()))
-    return coded((equal + e[0] * np.uint64(times % (1 << 64)))[None], (alike + a[0] * np.uint16(times % (1 << 16)))[None])[0]
+    return coded((equal + e[0] * np.uint64(times % (1 << 64)))[None], (alike + a[0] * np.uint32(times % (1 << 32)))[None])[0]
 
 
 def likeness(e1: np.ndarray, a1: np.ndarray, e2: np.ndarray, a2: np.ndarray) -> np.ndarray:
     """For each pair of rows 1 if the EQUAL lanes agree, else the cosine of the ALIKE lanes, from 0 to below 1."""
-    x, y = a1.view(np.int16).astype(np.float64), a2.view(np.int16).astype(np.float64)
+    x, y = a1.view(np.int32).astype(np.float64), a2.view(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cos = np.divide((x * y).sum(1), norm, out=np.zeros(len(x)), where=norm > 0)
     return np.where((e1 == e2).all(1), 1.0, np.clip(cos, 0.0, 1.0 - 1e-9))
