@@ -6,7 +6,11 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 
-from waymark.llm import kernel, langid, multihash
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from waymark.llm import bpe, kernel, langid, multihash, tokcount
 
 
 def scripts():
@@ -49,3 +53,53 @@ def test_likeness_of_a_line_repeated_often(frame):
     assert got[2].near_edited > 0.99 and got[2].near_next > 0.99 and got[1].near_edited > 0.99
     one = multihash.decoded(multihash.fingerprint(line.strip()))[1].view(np.int32)
     assert (multihash.decoded(got[2].fingerprint)[1].view(np.int32) == one * 60_000).all()
+
+
+ANY = ["price 5 € and 12٣ <|endoftext|><|endoftext|> done", "Привет, мир! Как дела?", "日本語のテキスト、 二つ  目", "ok \U0001f600\U0001f44d\U0001f3fd go\u0301 on", "a\x1c\x1d b\x85 \u3000 c\u2028d", "<|endoftext|>", "  <|endoftext|>  x"]
+
+
+def same_counts(text, library, vocabulary):
+    of = tokcount.counter(vocabulary)
+    encode = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert of.every_prefix(text).tolist() == [encode(text[:i]) for i in range(len(text) + 1)]
+    pieces, upto = of.pieces(text)
+    assert "".join(pieces) == text and (not text or upto[-1] == encode(text))
+    return pieces, upto
+
+
+@pytest.mark.parametrize("text", ANY)
+def test_prefix_counts_in_any_script(vocabulary, library, text):
+    same_counts(text, library, vocabulary)
+
+
+_any = st.lists(st.one_of(st.text(max_size=6), st.sampled_from(["<|endoftext|>", "<|endof", " ", "  ", "'re", "я", "漢字", "€", "\u0301", "ſ", "٣", "\x1c", "\x85", "\u3000"])), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_any)
+def test_prefix_counts_of_any_characters(text):
+    same_counts(text, *_known)
+
+
+def _vocabulary():
+    from tokenizers import Tokenizer
+
+    path = bpe.public_path("byte_bpe_50k.json")
+    return Tokenizer.from_file(path), path
+
+
+_known = _vocabulary()
+
+
+def test_odd_texts_keep_every_piece(frame, monkeypatch, vocabulary):
+    """Each piece has its count, and a truncation asks the library for no token."""
+    text = "Привет мир € " * 20
+    row = tokcount.counted(frame([(1, text)]), vocabulary, keep=True).first()
+    assert len(row.ends) > 50 and row.ends[-1] == row.n_bytes and row.counts[-1] == row.n_tokens
+    of = tokcount.Counter(vocabulary)
+
+    class Splits:
+        pre_tokenizer = of.encoder.library.pre_tokenizer
+
+    monkeypatch.setattr(of.encoder, "library", Splits())
+    assert of.every_prefix(of.truncated(text, 40))[-1] <= 40

@@ -34,6 +34,11 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def is_space(char: str) -> bool:
+    """White space of the piece pattern, which U+001C-1F are not."""
+    return char.isspace() and not "\x1c" <= char <= "\x1f"
+
+
 def printable() -> list[str]:
     """The character of a byte-level vocabulary for each byte: printable ones stand for themselves, the others from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -68,9 +73,13 @@ class Encoder:
         #: ids of a piece, by the library's model, as bytes of 32-bit integers
         self.table = Remembered(lambda p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(chars))]).tobytes(), most)
 
+    def odd(self, text: str) -> bool:
+        """Only the library can split this text."""
+        return _ODD.search(text) is not None
+
     def whole(self, text: str) -> bool:
         """The library must see this text as a whole."""
-        return _ODD.search(text) is not None or any(s in text for s in self.special)
+        return self.odd(text) or any(s in text for s in self.special)
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:

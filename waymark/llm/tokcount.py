@@ -7,12 +7,15 @@ when u + t is encoded.  So the count of a prefix is one more than the count of a
 shorter one, and each prefix is worked out once, however many pieces begin with
 it.  Sums over pieces then give the count at every piece's end, and with the
 counts inside a piece at every code point.  Truncation and budget questions are
-searches in these counts; nothing is encoded again.
+searches in these counts; nothing is encoded again.  Texts with characters that
+bpe.PIECES is not sure of are split by the library's own pre-tokenizer.  A special
+string is one piece of one token, and what is around it is split by itself.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from itertools import islice
 
@@ -45,6 +48,10 @@ class PrefixCounter:
         for (a, b), k in self.rank.items():
             self.parts.setdefault(a + b, (k, a, b))
         self.longest = max(map(len, self.parts))
+        #: longest token by its last two bytes
+        self.reach: dict[bytes, int] = {}
+        for t in self.parts:
+            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 1))
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         #: prefix: (its last token, its number of tokens)
         self.known: dict[bytes, tuple[bytes, int]] = {b"": (b"", 0)}
@@ -72,7 +79,7 @@ class PrefixCounter:
     def step(self, prefix: bytes, before) -> tuple[bytes, int]:
         """The last token of a prefix and its number of tokens; before(i) answers for its first i bytes."""
         n, parts, apart = len(prefix), self.parts, self.apart
-        for size in range(min(n, self.longest), 0, -1):
+        for size in range(min(n, self.reach.get(prefix[-2:], 1)), 0, -1):
             t = prefix[n - size :]
             if t in parts:
                 u, c = before(n - size)
@@ -125,25 +132,49 @@ class Counter:
         self.encoder, self.prefixes = bpe.encoder(path), PrefixCounter(path)
         count = self.prefixes.count
         self.table = bpe.Remembered(lambda p: count(p.encode()), MEMORY)
+        library = self.encoder.library
+        if library.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in library.get_added_tokens_decoder().values()):
+            raise ValueError("the vocabulary changes texts before it splits them")
+        special = sorted(filter(None, self.encoder.special), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text without special strings."""
+        if not self.encoder.odd(text):
+            return bpe.PIECES.findall(text)
+        return [text[a:b] for _, (a, b) in self.encoder.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def pieces(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The pieces and the number of tokens up to the end of each.
-
-        A text that the library must see as a whole is one piece.
-        """
-        if self.encoder.whole(text):
-            return [text], np.array([len(self.encoder.library.encode(text, add_special_tokens=False).ids)], dtype=np.int64)
-        pieces, table = bpe.PIECES.findall(text), self.table
-        return pieces, np.cumsum([table[p] for p in pieces], dtype=np.int64)
+        """The pieces and the number of tokens up to the end of each; a special string is a piece of one token."""
+        pieces, counts, at, table = [], [], 0, self.table
+        for m in self.special.finditer(text):
+            own = self.split(text[at : m.start()])
+            pieces += [*own, m.group()]
+            counts += [*(table[p] for p in own), 1]
+            at = m.end()
+        own = self.split(text[at:])
+        pieces += own
+        counts += [table[p] for p in own]
+        return pieces, np.cumsum(counts, dtype=np.int64)
 
     def every_prefix(self, text: str) -> np.ndarray:
         """Number of tokens of text[:i] for each i from 0 to its length."""
-        pieces, counts = self.pieces(text)
         out = np.zeros(len(text) + 1, dtype=np.int64)
-        if len(pieces) == 1 and self.encoder.whole(text):
-            for i in range(1, len(text) + 1):
-                out[i] = len(self.encoder.library.encode(text[:i], add_special_tokens=False).ids)
-            return out
+        at, before = 0, 0
+        for m in self.special.finditer(text):
+            # a special string that is cut is a text like others
+            upto = self.every_prefix(text[at : m.end() - 1])
+            out[at : m.end()] = before + upto
+            before += int(upto[m.start() - at]) + 1
+            at = m.end()
+        out[at:] = before + self.plain_prefixes(text[at:])
+        return out
+
+    def plain_prefixes(self, text: str) -> np.ndarray:
+        """every_prefix() of a text without special strings."""
+        pieces, table = self.split(text), self.table
+        counts = np.cumsum([table[p] for p in pieces], dtype=np.int64)
+        out = np.zeros(len(text) + 1, dtype=np.int64)
         at, before = 0, 0
         for p, c in zip(pieces, counts.tolist(), strict=True):
             raw = p.encode()
@@ -159,7 +190,7 @@ class Counter:
         i = 0
         while i < len(text):
             j = i
-            while j < len(text) and text[j].isspace():
+            while j < len(text) and bpe.is_space(text[j]):
                 j += 1
             if j > i:
                 inside = self.prefixes.inside(text[i:j].encode())
