@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waymark.llm import embed, langid, mixing, multihash, warc
+from waymark.llm import embed, kernel, langid, mixing, multihash, warc
 
 # Revisits
 
@@ -147,56 +147,76 @@ def test_mixing_agrees_with_sql(frame):
 
 
 
-def prob(counts, past, s, k, seen, size, equal):
+def probabilities(counts, past, k):
+    """Of each of the 256 bytes (from 1 on) after a context of k symbols."""
     if k < 0:
-        return equal[s]
-    c = counts[k].get(tuple(past[2 - k :]), {})
-    lower = lambda x: prob(counts, past, x, k - 1, seen, size, equal)
+        return dict.fromkeys(range(1, 257), 1 / 256)
+    lower = probabilities(counts, past, k - 1)
+    c = counts[k].get(past[len(past) - k :], {})
     if not c:
-        return lower(s)
-    fresh = sum(lower(x) for x in range(size) if x not in c)
-    escape = len(c) if fresh > 0 else 0
-    if s in c:
-        return c[s] / (sum(c.values()) + escape)
-    return escape / (sum(c.values()) + escape) * lower(s) / fresh
-
-
-def test_code_lengths_are_exact():
-    rng = random.Random(6)
-    train = ["".join(rng.choices("abc ", weights=[4, 2, 1, 1], k=30)) for _ in range(4)]
-    rows, data = [], b""
-    enc = [t.encode() for t in train]
-    off = np.cumsum([0, *(len(e) for e in enc)])
-    data = np.frombuffer(b"".join(enc), np.uint8)
-    codes, n = np.unique(langid.contexts(data.astype(np.int64) + 1, off, 257), return_counts=True)
-    rows = [("x", int(c), int(k)) for c, k in zip(codes, n, strict=True)]
-    m = langid.model(rows)
-    size = m.size
-    counts = [{}, {}, {}]
-    for e in enc:
-        past = [0, 0]
-        for b in e:
-            s = int(m.symbols[b])
-            for k in range(3):
-                c = counts[k].setdefault(tuple(past[2 - k :]), {})
-                c[s] = c.get(s, 0) + 1
-            past = [past[1], s]
-    equal = [1 / 256] * size
-    equal[0], equal[1] = 0.0, (256 - (size - 2)) / 256
-    for t in ("abcab", "a", "cc b", "zab", ""):
-        raw = t.encode()
-        symbols = [int(m.symbols[b]) for b in raw]
-        past, want = [0, 0], 0.0
-        for s in symbols:
-            p = prob(counts, past, s, 2, frozenset(), size, equal)
-            want -= math.log2(p / (256 - (size - 2)) if s == 1 else p)
-            past = [past[1], s]
-        got = m.lengths(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0, 0]
-        assert got == pytest.approx(want, rel=1e-5)
-    table = np.exp2(-m.bits[0].astype(float)).reshape(size, size, size)
-    others = table.copy()
-    others[..., 1] *= 256 - (size - 2)
-    assert np.allclose(others[..., 1:].sum(-1), 1, atol=1e-4)
+        return lower
+    fresh = sum(p for x, p in lower.items() if x not in c)
+    escape = len(c) if len(c) < 256 else 0
+    total = sum(c.values()) + escape
+    return {x: c[x] / total if x in c else escape / total * p / fresh for x, p in lower.items()}
+
+
+def counts_of(texts, order):
+    data, offsets = kernel.buffers(pa.array(texts, pa.string()))
+    return np.unique(langid.codes(data.astype(np.int64) + 1, offsets, order), return_counts=True)
+
+
+def model_of(named, order, **how):
+    parts = [(lang, *counts_of(texts, order)) for lang, texts in named.items()]
+    lang = np.concatenate([np.full(len(c), x, dtype=object) for x, c, _ in parts])
+    return langid.model(lang, np.concatenate([c for _, c, _ in parts]), np.concatenate([n for _, _, n in parts]), order, **how)
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3, 4, 5])
+def test_code_lengths_are_exact(order):
+    rng = random.Random(order)
+    train = {x: ["".join(rng.choices(letters, weights=[4, 2, 1, 1], k=14)) for _ in range(4)] for x, letters in (("x", "abc "), ("y", "cbdé"))}
+    m = model_of(train, order)
+    for k, lang in enumerate(m.languages):
+        counts = [{} for _ in range(order + 1)]
+        for t in train[lang]:
+            past = (0,) * order
+            for b in t.encode():
+                for j in range(order + 1):
+                    c = counts[j].setdefault(past[len(past) - j :], {})
+                    c[b + 1] = c.get(b + 1, 0) + 1
+                past = (*past, b + 1)[1:] if order else ()
+        for t in ("abcab", "a", "cc b", "zab", "", "bdéé日 c", "aaa"):
+            past, want = (0,) * order, 0.0
+            for b in t.encode():
+                want -= math.log2(probabilities(counts, past, order)[b + 1])
+                past = (*past, b + 1)[1:] if order else ()
+            raw = np.frombuffer(t.encode(), np.uint8)
+            assert m.lengths(raw, np.array([0, len(raw)]))[0, k] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_many_languages_stay_within_the_cells():
+    """200 languages, each with an alphabet of its own drawn from all scripts; the rarest grams go, and the rest still tells them apart."""
+    rng = random.Random(3)
+    texts = {}
+    for k in range(200):
+        letters = [chr(rng.choice([0x61, 0x3B1, 0x430, 0x5D0, 0x905, 0x4E00]) + rng.randrange(24)) for _ in range(10)]
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(12)]
+        texts[f"l{k:03d}"] = [" ".join(rng.choices(words, k=40)) for _ in range(8)]
+    m = model_of({x: t[:6] for x, t in texts.items()}, 4, cells=2_000_000)
+    assert m.bits.size <= 2_000_000 + 200 and np.isfinite(m.bits).all() and len({int(s) for s in m.symbols if s >= 0}) > 60
+    data, offsets = kernel.buffers(pa.array([t[7] for t in texts.values()], pa.string()))
+    assert (m.lengths(data, offsets).argmin(1) == np.arange(200)).mean() > 0.98
+
+
+def test_pruned_statistics_are_still_probabilities():
+    train = {"x": ["abracadabra " * 3, "abc cab bac " * 2]}
+    m = model_of(train, 3, cells=40)
+    for head in ("", "a", "abra", "zz", "cab "):
+        both = [np.frombuffer((head.encode() + bytes([b])), np.uint8) for b in range(256) if not 65 <= b <= 90]
+        alone = np.frombuffer(head.encode(), np.uint8)
+        base = m.lengths(alone, np.array([0, len(alone)]))[0, 0] if head else 0.0
+        assert sum(2.0 ** -(m.lengths(x, np.array([0, len(x)]))[0, 0] - base) for x in both) == pytest.approx(1 - 26 * 2.0 ** -(m.lengths(np.append(alone, np.uint8(1)), np.array([0, len(alone) + 1]))[0, 0] - base), abs=1e-3)
 
 
 def test_held_out_accuracy(spark):

@@ -115,6 +115,16 @@ def test_near_duplicates_of_odd_rows(frame):
     assert by[11] == [(1, 11, True)]
 
 
+def test_rows_of_one_id_are_one_document(frame):
+    """Several texts of a doc_id: links of all of them, one component, named by the smallest doc_id."""
+    t = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcde"]
+    rows = [(5, t[0]), (5, t[1]), (5, ""), (3, t[0]), (9, t[1]), (9, t[2]), (4, t[2] + " x"), (7, t[3]), (7, t[3]), (8, t[4]), (8, None), (2, t[4])]
+    got = {}
+    for r in near(frame, rows):
+        got.setdefault(r.doc_id, set()).add((r.component_id, r.kept))
+    assert got == {i: {(c, i == c)} for i, c in brute_components(rows).items()} == {5: {(3, False)}, 3: {(3, True)}, 9: {(3, False)}, 4: {(3, False)}, 7: {(7, True)}, 8: {(2, False)}, 2: {(2, True)}}
+
+
 def test_near_duplicates_of_nothing(frame):
     assert near(frame, []) == []
 

@@ -2,43 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 
+#: Steps that a round follows its hooks for.
+STEPS = 4
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(a, b); component: the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour, follows the hooks for
-    two more steps and replaces the ends of all edges by what they lead to; at
-    least half of the nodes that still have edges vanish in a round.  Only sums
-    and minima meet at a hub, so no list of its neighbours is ever gathered.
-    Edges with a null end or from a node to itself link nothing.
+    In each round every node hooks to its first neighbour in some order, if that
+    comes before it; nodes without a hook are roots.  Nodes that reach a root in
+    STEPS are replaced by it, the others wait.  The first round orders nodes by
+    themselves, as a group's smallest member is often its hub, later ones by a
+    hash, which keeps paths of hooks short whatever the graph.  A node is replaced
+    once, so the rounds' replacements are one forest, as deep as there were
+    rounds.  Only minima meet at a hub; no list of its neighbours is ever
+    gathered.  Edges with a null end or from a node to itself link nothing.
     """
-    e = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    e = written(e, "edges")
-    labels = None
+    e = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", few=True)
+    rounds: list[DataFrame] = []
     while not e.isEmpty():
-        hook = e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up"))
-        hook = written(hook, "hooks")
-        for _ in range(2):
-            above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            hook = hook.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-        hook = written(hook, "jumps")
-        to = lambda c: hook.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: E731, B023
-        if labels is None:
-            labels = hook.select("node", F.col("up").alias("component"))
-        else:
-            up = to("component")
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("component_up", "component").alias("component"))
-            labels = labels.unionByName(hook.select("node", F.col("up").alias("component")).join(labels.select("node"), "node", "left_anti"))
-        labels = written(labels, "labels")
-        moved = e.join(to("lo"), "lo", "left").join(to("hi"), "hi", "left")
-        moved = moved.select(F.coalesce("lo_up", "lo").alias("a"), F.coalesce("hi_up", "hi").alias("b")).where("a <> b")
-        e = written(moved.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    if labels is None:
+        key = lambda c: F.struct((F.xxhash64(c, F.lit(len(rounds))) if rounds else F.col(c)).alias("k"), F.col(c).alias("node"))  # noqa: E731, B023
+        ends = e.select(F.least(key("a"), key("b")).alias("lo"), F.greatest(key("a"), key("b")).alias("hi"))
+        hook = ends.groupBy(F.col("hi.node").alias("node")).agg(F.min("lo")["node"].alias("up"))
+        above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        moved = hook
+        for _ in range(STEPS - 1):
+            moved = moved.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        moved = written(moved.join(above, "up", "left_anti").select("node", "up"), "moved", few=True)
+        rounds.append(moved)
+        to = lambda c: moved.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: E731, B023
+        rest = e.join(to("a"), "a", "left").join(to("b"), "b", "left")
+        rest = rest.select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b")).where("a <> b")
+        e = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", few=True)
+    if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")
-    roots = labels.select(F.col("component").alias("node"), "component").distinct()
-    return labels.unionByName(roots.join(labels.select("node"), "node", "left_anti"))
+    forest, depth = reduce(DataFrame.unionByName, rounds), len(rounds)
+    while depth > 1:
+        above = forest.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        forest = written(forest.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "forest", few=True)
+        depth = -(-depth // 2)
+    all_ = forest.unionByName(forest.select(F.col("up").alias("node"), "up").distinct())
+    return all_.join(all_.groupBy("up").agg(F.min("node").alias("component")), "up").select("node", "component")

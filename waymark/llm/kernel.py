@@ -20,7 +20,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 RADIX = 0xD6E8FEB86659FD93 | 1
 MASK = (1 << 64) - 1
 #: Bytes of text that are hashed at once, but for a longer row.
-LOT_BYTES = 1 << 20
+LOT_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -42,6 +42,11 @@ def task(kind: str) -> None:
         for f in FORGET:
             f()
         _kind = kind
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system; to be called at the end of a task too, as idle workers stay."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -54,7 +59,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i < n."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 18)
+        size = max(n, LOT_BYTES + 1)
         both = []
         for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.full(size, b, dtype=U)

@@ -1,20 +1,24 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a context tree of bytes (A-Z lower-cased) up to a fixed
-order.  A byte is coded in the longest context seen in training; one that was
-never seen there is coded by an escape, with the escape probability
+Each language has a tree of byte contexts (A-Z lower-cased) of zero up to ORDER
+bytes.  A byte is coded in the longest context that the language has; one that
+never followed it is coded by an escape, with the escape probability
 distinct / (total + distinct), and then in the next shorter context without the
 bytes that the longer one would have coded, down to equal probabilities of all
-256 bytes.  With frozen statistics the code length of a byte depends only on
-itself and the bytes before it, so the trees unfold into one table, and a text
-costs each language the sum of its bytes' exact code lengths.  The language
-with the shortest code wins.
-
-Training counts come from a bounded sample: about ``sample`` whole documents
-of each language, drawn by a hash of doc_id.  What the driver gathers is one
-row for each language and distinct context with its byte, bounded by the
-alphabet, not by the corpus.  Every byte seen in training has its own symbol,
-and a language has a row of code lengths only for the contexts it has seen.
+256 bytes.  A language's code length of a text is exact under its frozen
+statistics, and the language with the shortest code wins.
+
+The trees are sparse: only the runs of bytes ("grams") that were seen have an
+entry.  For a gram a language holds the code length of its last byte after the
+others; for a context, the sum of the escapes out of it and all shorter ones.
+The cost of a byte is the entry of the longest gram that ends in it, and the
+escapes out of the longest context before it less those already in that entry,
+so a byte takes two look-ups a language.
+
+Statistics come from a bounded sample: about ``sample`` whole documents of each
+language, drawn by a hash of doc_id.  The driver gathers one row for each
+language and gram of full length, in columns.  If languages times grams exceed
+``cells``, the rarest longer grams go until they don't, for all languages alike.
 """
 
 from __future__ import annotations
@@ -28,98 +32,91 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import small_batches
+from .shared import small_batches, small_or_plain
 
 #: Documents of each language that the statistics are drawn from, about.
 SAMPLE = 2000
-ORDER = 2
-#: Contexts whose code lengths are worked out at a time.
-BLOCK = 4096
+#: Bytes of the longest context.
+ORDER = 4
+#: Most entries of all languages together; the tables of a model take 8 bytes for each.
+CELLS = 8_000_000
 UNKNOWN = "und"
+#: Number of byte values and the start of a text, which is 0; a byte counts from 1.
+RADIX = 257
 
 
 @dataclass
 class Model:
-    """languages; symbol of each byte (0 is the start of a text, 1 bytes never seen); for each language the row of each two
-    symbols before a byte, and rows of code lengths in bits."""
+    """Languages, and of each length 1, 2, ... the grams: their keys in ascending order, and the place of their first entry.
+
+    A gram's key is the place of the gram without its last symbol, times the
+    number of symbols, plus that symbol.  bits and escapes: (languages, entries);
+    entry 0 is a byte never seen.
+    """
 
     languages: list[str]
     symbols: np.ndarray
-    where: list[np.ndarray]
-    rows: list[np.ndarray]
-
-    @property
-    def size(self) -> int:
-        return int(self.symbols.max()) + 1
+    keys: list[np.ndarray]
+    first: list[int]
+    bits: np.ndarray
+    escapes: np.ndarray
 
     @property
-    def bits(self) -> np.ndarray:
-        """Code lengths by (language, contexts and byte), unfolded; only for small alphabets."""
-        return np.array([r[w].reshape(-1) for w, r in zip(self.where, self.rows, strict=True)])
+    def order(self) -> int:
+        return len(self.keys) - 1
+
+    def entries(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte the entries of the longest gram that ends in it and of the longest context before it."""
+        size, sizes = len(self.keys[0]), np.diff(offsets)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(data)) + row + 1  # each row follows a start
+        this = np.zeros(len(data) + len(sizes), dtype=np.int32)
+        this[at] = self.symbols[data]
+        last = this  # place of the gram of each length; that of a start alone is 0
+        gram = np.where(this >= 0, this + self.first[0], 0).astype(np.int32)
+        past = np.zeros_like(gram) + np.int32(self.first[0])
+        past[1:] = np.where(this[:-1] >= 0, gram[:-1], 0)
+        for k in range(1, len(self.keys)):
+            found = np.full(len(this), -1, dtype=np.int32)
+            found[offsets[:-1] + np.arange(len(sizes))] = 0
+            some = at[(last[at] >= 0) & (last[at - 1] >= 0)]
+            key = last[some - 1].astype(np.int64) * size + this[some]
+            place = np.searchsorted(self.keys[k], key)
+            place[place == len(self.keys[k])] = 0
+            hit = self.keys[k][place] == key
+            found[some[hit]] = place[hit]
+            gram[some[hit]] = place[hit] + self.first[k]
+            starts = offsets[:-1] + np.arange(len(sizes))
+            gram[starts] = self.first[k]
+            if k < self.order:
+                past[1:] = np.where(found[:-1] >= 0, found[:-1] + np.int32(self.first[k]), past[1:])
+            last = found
+        return gram[at], past[at]
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each row under each language (rows, languages)."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for i, j in kernel.spans(np.diff(offsets)):
+        for i, j in kernel.spans(np.diff(offsets), kernel.LOT_BYTES // 2):
             own, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             some = np.flatnonzero(np.diff(off))
             if not len(some):
                 continue
-            past, this = np.divmod(contexts(self.symbols[own], off, self.size), self.size)
-            for k, (where, rows) in enumerate(zip(self.where, self.rows, strict=True)):
-                out[i + some, k] = np.add.reduceat(rows.reshape(-1)[where[past] * self.size + this], off[some], dtype=np.float64)
+            gram, past = self.entries(own, off)
+            for k in range(len(self.languages)):
+                out[i + some, k] = np.add.reduceat(self.bits[k][gram] + self.escapes[k][past], off[some], dtype=np.float64)
         return out
 
 
-def contexts(symbols: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
-    """(before the last, last, this) as one number; 0 stands before a row's first byte."""
-    this = symbols.astype(np.int64)
-    one, two = np.zeros_like(this), np.zeros_like(this)
-    one[1:], two[2:] = this[:-1], this[:-2]
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    one[starts] = two[starts] = 0
-    second = starts + 1
-    two[second[second < len(two)]] = 0
-    return (two * size + one) * size + this
-
-
-def refined(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities of each symbol after contexts with these counts, from those after the next shorter contexts."""
-    total, distinct = count.sum(-1, keepdims=True), (count > 0).sum(-1, keepdims=True)
-    fresh = np.where(count > 0, 0.0, shorter)
-    rest = fresh.sum(-1, keepdims=True)
-    # a context that has had every symbol never escapes; one that was never seen is passed over
-    escape = np.where(rest > 0, distinct, 0)
-    found = count / np.maximum(total + escape, 1)
-    lower = np.divide(fresh, rest, out=np.zeros_like(fresh), where=rest > 0) * (escape / np.maximum(total + escape, 1))
-    return np.where(total > 0, found + lower, shorter)
-
-
-def unfolded(past: np.ndarray, this: np.ndarray, n: np.ndarray, equal: np.ndarray, others: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where, rows) of one language, from the counts n of a symbol after two symbols.
-
-    equal: the probabilities without any statistics; others: the bytes that share symbol 1.
-    rows: after any context that was never seen, whatever the symbol before; then
-    after each one symbol; then after each two that were seen.
-    """
-    size = len(equal)
-    seen, at = np.unique(past, return_inverse=True)
-    two = np.bincount(at * size + this, weights=n, minlength=len(seen) * size).reshape(-1, size)
-    last = np.bincount(past % size * size + this, weights=n, minlength=size * size).reshape(size, size)
-    one = refined(last, np.broadcast_to(refined(last.sum(0), equal), last.shape))
-    rows = np.empty((size + len(seen), size), dtype=np.float32)
-
-    def put(first: int, p: np.ndarray) -> None:
-        p[:, 1] /= max(others, 1)  # which of the other bytes
-        with np.errstate(divide="ignore"):
-            rows[first : first + len(p)] = np.minimum(-np.log2(p), 64)
-
-    for k in range(0, len(seen), BLOCK):
-        put(size + k, refined(two[k : k + BLOCK], one[seen[k : k + BLOCK] % size]))
-    put(0, one)
-    where = np.tile(np.arange(size), size)
-    where[seen] = size + np.arange(len(seen))
-    return where, rows
+def codes(symbols: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Each symbol and the ``order`` ones before it in its row as one number; 0 stands before a row's first."""
+    at = np.arange(len(symbols)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = symbols.astype(np.int64)
+    for k in range(1, order + 1):
+        past = np.zeros(len(symbols), dtype=np.int64)
+        past[k:] = symbols[:-k]
+        past[at < k] = 0
+        out += past * RADIX**k
+    return out
 
 
 def drawn(docs: DataFrame, sample: int) -> DataFrame:
@@ -128,11 +125,12 @@ def drawn(docs: DataFrame, sample: int) -> DataFrame:
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"))
     draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    return known.join(F.broadcast(share), "lang").where(draw).select("lang", "text", F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).cast("int").alias("half"))
+    joined = known.join(small_or_plain(share, share.count()), "lang").where(draw)
+    return joined.select("lang", "text", F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).cast("int").alias("half"))
 
 
-def counted(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., code, n): how often a byte follows two in rows(by..., text); by is lang, or lang and half."""
+def counted(rows: DataFrame, by: list[str], order: int = ORDER) -> DataFrame:
+    """(by..., code, n): how often a byte follows its context in rows(by..., text); by is lang, or lang and half."""
 
     def count(batches):
         kernel.task("language")
@@ -143,20 +141,28 @@ def counted(rows: DataFrame, by: list[str]) -> DataFrame:
             for i, j in kernel.spans(np.diff(offsets)):
                 own = kernel._LOWER[data[offsets[i] : offsets[j]]]
                 off = offsets[i : j + 1] - offsets[i]
-                at = contexts(own.astype(np.int64) + 1, off, 257)
+                at = codes(own.astype(np.int64) + 1, off, order)
                 row = np.repeat(names[i:j], np.diff(off))
                 for name in sorted(set(names[i:j])):
-                    codes, n = np.unique(at[row == name], return_counts=True)
+                    found, n = np.unique(at[row == name], return_counts=True)
                     lang, half = name.rsplit("\0", 1) if len(by) > 1 else (name, "0")
-                    size = len(codes)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array([int(half)] * size, pa.int32()), pa.array(codes), pa.array(n)], names=["lang", "half", "code", "n"])
+                    size = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array([int(half)] * size, pa.int32()), pa.array(found), pa.array(n)], names=["lang", "half", "code", "n"])
 
     return rows.select(*by, "text").mapInArrow(count, "lang string, half int, code long, n long").groupBy(*by, "code").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lang, half, code, n) of counts, in columns."""
+    t = counts.withColumn("half", F.col("half") if "half" in counts.columns else F.lit(0)).select("lang", "half", "code", "n").toArrow()
+    lang = np.array(t["lang"].to_pylist(), dtype=object)
+    return lang, t["half"].to_numpy(), t["code"].to_numpy(), t["n"].to_numpy()
+
+
+def trained(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER, cells: int = CELLS) -> Model:
     """A model from the rows of docs(doc_id, text, lang, ...) with text and lang."""
-    return model([(r.lang, r.code, r.n) for r in counted(drawn(docs, sample), ["lang"]).collect()])
+    lang, _, code, n = gathered(counted(drawn(docs, sample), ["lang"], order))
+    return model(lang, code, n, order, cells)
 
 
 def limited(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> tuple[Model, dict[str, float]]:
@@ -168,12 +174,9 @@ def limited(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> tuple[
     have one: infinity.
     """
     some = drawn(docs, sample)
-    rows = counted(some, ["lang", "half"]).collect()
-    total: dict[tuple[str, int], int] = {}
-    for r in rows:
-        total[r.lang, r.code] = total.get((r.lang, r.code), 0) + r.n
-    whole = model([(lang, code, n) for (lang, code), n in total.items()])
-    other = some.sparkSession.sparkContext.broadcast([model([(r.lang, r.code, r.n) for r in rows if r.half != h]) for h in (0, 1)])
+    lang, half, code, n = gathered(counted(some, ["lang", "half"]))
+    whole = model(lang, code, n)
+    other = some.sparkSession.sparkContext.broadcast([model(lang[half != h], code[half != h], n[half != h]) for h in (0, 1)])
 
     def cost(batches):
         kernel.task("language")
@@ -190,33 +193,91 @@ def limited(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> tuple[
             own = (best == langs) & (size > 0)
             yield pa.RecordBatch.from_arrays([pa.array(langs[own], pa.string()), pa.array(short[own] / size[own], pa.float64())], names=["lang", "bits"])
 
-    found = some.mapInArrow(cost, "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits")).collect()
+    found = some.mapInArrow(cost, "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits")).collect()  # one row a language
+    other.destroy()
     return whole, dict.fromkeys(whole.languages, float("inf")) | {r.lang: max(least, r.bits) for r in found}
 
 
-def model(rows: list[tuple[str, int, int]]) -> Model:
-    """The model of counts (language, two contexts and byte, n); bytes count from 1, 0 is the start."""
-    if not rows:
-        return Model([], np.ones(256, np.int64), [], [])
-    languages = sorted({r[0] for r in rows})
-    where = {x: k for k, x in enumerate(languages)}
-    lang, code, n = (np.array(x) for x in zip(*((where[a], b, c) for a, b, c in rows), strict=True))
-    often = np.bincount(code % 257, weights=n, minlength=257)[1:]
-    own = [int(b) for b in np.lexsort((np.arange(256), -often)) if often[b] > 0]
-    symbols = np.ones(256, dtype=np.int64)
-    symbols[own] = np.arange(len(own)) + 2
-    size = len(own) + 2
-    to = np.concatenate([[0], symbols])
-    past, this = to[code // 257**2] * size + to[code // 257 % 257], to[code % 257]
-    equal = np.full(size, 1 / 256)
-    equal[0], equal[1] = 0, (256 - len(own)) / 256
-    tables = [unfolded(past[lang == k], this[lang == k], n[lang == k], equal, 256 - len(own)) for k in range(len(languages))]
-    lower = symbols.copy()
-    lower[65:91] = symbols[97:123]
-    return Model(languages, lower, [w for w, _ in tables], [r for _, r in tables])
-
-
-def predicted(docs: DataFrame, trained_on: Model) -> DataFrame:
+def model(lang: np.ndarray, code: np.ndarray, n: np.ndarray, order: int = ORDER, cells: int = CELLS) -> Model:
+    """The model of counts n of codes() of each language; rows of one language and code are added up."""
+    languages = sorted(set(lang.tolist()))
+    if not languages:
+        return Model([], np.full(256, -1, np.int32), [np.zeros(1, np.int64)], [1], np.zeros((0, 2), np.float32), np.zeros((0, 2), np.float32))
+    of = {x: k for k, x in enumerate(languages)}
+    who = np.array([of[x] for x in lang.tolist()], dtype=np.int64)
+    code, n = code.astype(np.int64), n.astype(np.float64)
+    # grams of each length: ascending codes, each code's place, the gram without its first and without its last symbol
+    levels = [np.unique(np.concatenate([[0], code % RADIX**k])) for k in range(1, order + 2)]
+    least = np.zeros(order + 1)
+    if len(languages) * sum(map(len, levels)) > cells:
+        total = [np.bincount(np.searchsorted(g, code % RADIX ** (k + 1)), weights=n, minlength=len(g)) for k, g in enumerate(levels)]
+        spare = max(0, cells // len(languages) - len(levels[0]) - (len(levels[1]) if order else 0))
+        often = np.sort(np.concatenate(total[2:]))[::-1] if order > 1 else np.zeros(0)
+        least[2:] = often[spare] + 1 if spare < len(often) else 0
+        for k in range(2, order + 1):
+            kept = total[k] >= least[k]
+            kept[0] = True  # a start
+            levels[k] = levels[k][kept]
+    size = len(levels[0])
+    places = lambda k, c: np.searchsorted(levels[k], c)
+    first = (1 + np.concatenate([[0], np.cumsum([len(g) for g in levels[:-1]])])).astype(int).tolist()
+    keys, before, after = [np.arange(size, dtype=np.int64)], [None], [None]
+    for k in range(1, order + 1):
+        before.append(places(k - 1, levels[k] // RADIX))
+        after.append(places(k - 1, levels[k] % RADIX**k))
+        keys.append(before[k] * size + places(0, levels[k] % RADIX))
+    entries = first[-1] + len(levels[-1])
+    bits, escapes = np.zeros((len(languages), entries), np.float32), np.zeros((len(languages), entries), np.float32)
+    for k in range(len(languages)):
+        own = who == k
+        _unfold(code[own], n[own], levels, before, after, first, bits[k], escapes[k])
+    symbols = np.full(256, -1, dtype=np.int32)
+    seen = levels[0][1:] - 1
+    symbols[seen] = np.arange(1, size)
+    symbols[65:91] = symbols[97:123]
+    return Model(languages, symbols, keys, first, bits, escapes)
+
+
+def _unfold(code, n, levels, before, after, first, bits, escapes) -> None:
+    """Fills one language's code lengths and escapes from its counts."""
+    shorter, out = None, None  # code lengths of the grams one symbol shorter; escapes out of them as contexts
+    for k, grams in enumerate(levels):
+        at = np.searchsorted(grams, code % RADIX ** (k + 1))
+        at[at == len(grams)] = 0
+        known = grams[at] == code % RADIX ** (k + 1)
+        count = np.bincount(at[known], weights=n[known], minlength=len(grams))
+        count[0] = 0  # nothing is ever followed by a start
+        where = slice(first[k], first[k] + len(grams))
+        if k == 0:
+            total, distinct = count.sum(), int((count > 0).sum())
+            if not total:
+                own, fresh = np.full(len(grams), 8.0), 8.0
+            else:
+                escape = distinct if distinct < 256 else 0
+                with np.errstate(divide="ignore"):
+                    fresh = float(np.minimum(-np.log2(escape / (total + escape) / max(256 - distinct, 1)), 64))
+                    own = np.where(count > 0, -np.log2(np.maximum(count, 1) / (total + escape)), fresh)
+            bits[0] = fresh
+            bits[where] = own
+            shorter = own
+            continue
+        past, low = before[k], shorter[after[k]]
+        size = len(levels[k - 1])
+        total, distinct = np.bincount(past, weights=count, minlength=size), np.bincount(past, weights=count > 0, minlength=size)
+        escape = np.where(distinct < 256, distinct, 0)
+        rest = np.maximum(1 - np.bincount(past, weights=np.where(count > 0, np.exp2(-low), 0), minlength=size), 1e-12)
+        here = np.zeros(size)
+        some = (total > 0) & (escape > 0)
+        here[some] = -np.log2(escape[some] / (total[some] + escape[some]) / rest[some])
+        here = np.where((total > 0) & (escape == 0), 64.0, here)
+        own = np.where(count > 0, -np.log2(np.maximum(count, 1) / (total + escape)[past].clip(1)), here[past] + low)
+        out = here if k == 1 else here + out[after[k - 1]]
+        escapes[first[k - 1] : first[k - 1] + size] = out
+        bits[where] = own - out[past]
+        shorter = own
+
+
+def predicted(docs: DataFrame, trained_on: Model, text: str = "text") -> DataFrame:
     """docs(text, ...) with lang_pred, score and bits_per_byte beside its columns.
 
     lang_pred: the language with the shortest code, on a tie the first in order;
@@ -225,8 +286,11 @@ def predicted(docs: DataFrame, trained_on: Model) -> DataFrame:
     Predictions use the text alone.  Columns of docs by the new names go.
     """
     names = ["lang_pred", "score", "bits_per_byte"]
-    rows = small_batches(docs).drop(*names).withColumn("__letter", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
-    at = rows.columns.index("text")
+    rows = small_batches(docs).drop(*names)
+    kept = rows.columns
+    at = kept.index(text)
+    letter = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False))
+    given = rows.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)), letter.alias("letter"))
     shared = docs.sparkSession.sparkContext.broadcast(trained_on)
 
     def run(batches):
@@ -249,10 +313,10 @@ def predicted(docs: DataFrame, trained_on: Model) -> DataFrame:
                 names=[*batch.schema.names[:-1], *names],
             )
 
-    schema = rows.drop("__letter").schema
+    schema = given.drop("letter").schema
     for name, kind in zip(names, ("string", "double", "double"), strict=True):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), *names)
 
 
 def held_out(doc_id: str) -> Column:

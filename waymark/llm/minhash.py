@@ -42,12 +42,13 @@ WIDE = 16
 STEP = 1.3
 
 
-def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
-    """(doc_id, n, f1, f2, sketch) for each row of docs(doc_id, text).
+def sketches(docs: DataFrame, words: int = 5, k: int = K, with_text: bool = False) -> DataFrame:
+    """(doc_id, n, f1, f2, sketch) for each row of docs(doc_id, text); with_text: and text.
 
     n: size of the shingle set (whole sequence if the text has fewer words; 0
     without words or text); f1, f2: sums over the set; sketch: its k smallest hashes.
     """
+    schema = "doc_id long, n long, f1 long, f2 long, sketch array<long>" + ", text string" * with_text
 
     def run(batches):
         kernel.task("shingles")
@@ -64,12 +65,12 @@ def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
                 heads = [x[:k].view(np.int64) for x in sets]
                 flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                    names=["doc_id", "n", "f1", "f2", "sketch"],
-                )
+                own = [ids.slice(i, j - i).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))]
+                more = [batch.column(1).slice(i, j - i)] if with_text else []
+                yield pa.RecordBatch.from_arrays(own + more, names=["doc_id", "n", "f1", "f2", "sketch", *["text"] * with_text])
+        kernel.trim()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def least_overlap(n: Column, threshold: float, k: int) -> Column:
@@ -107,7 +108,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, num: int, den: int, k: int) ->
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b, link, an, bn, diff) of pairs (a, b, wide): link tells whether the full sets reach the threshold.
+    """(a, b, link, an, bn, diff) of pairs (a, b, wide): link tells whether the full sets of texts(node, text) reach the threshold.
 
     The members a of a hub b are dealt out FAN at a time, each lot with one copy
     of b.  diff: the elements that only one of the two sets holds, if wide is true.
@@ -116,7 +117,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     dealt = pairs.join(lots, "b").select("a", "b", "wide", F.pmod(F.xxhash64("a"), "lots").alias("lot"))
     asked = dealt.select(F.col("a").alias("node"), "b", "lot", F.when(F.col("wide"), 2).otherwise(1).alias("role"))
     asked = asked.unionByName(dealt.select(F.col("b").alias("node"), "b", "lot").distinct().withColumn("role", F.lit(0)))
-    rows = asked.join(texts, "node").repartition("b", "lot").sortWithinPartitions("b", "lot", "role").select("node", "text", "role")
+    small = small_or_plain(asked, 3 * pairs.count())  # a hub has no more lots than members
+    rows = texts.join(small, "node").repartition("b", "lot").sortWithinPartitions("b", "lot", "role").select("node", "text", "role")
 
     def run(batches):
         kernel.task("shingles")
@@ -147,6 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
                         [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)],
                         names=["a", "b", "link", "an", "bn", "diff"],
                     )
+        kernel.trim()
 
     return rows.mapInArrow(run, "a long, b long, link boolean, an long, bn long, diff array<long>")
 
@@ -203,6 +206,25 @@ def within_clouds(tested: DataFrame, found: DataFrame, num: int, den: int) -> Da
     return shared.unionByName(outright)
 
 
+def classes_of(sk: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(f1, f2, n, node, copies, least, sketch): the classes of documents with equal sets; and (doc_id, node) of doc_ids with several sets, if any.
+
+    least is the class's smallest doc_id, and node too, unless it holds a doc_id
+    with several sets: then it is a hash of the class.
+    """
+    key = F.struct("f1", "f2", "n")
+    some = sk.where("n > 0 and doc_id is not null")
+    split = sk.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("k1"), F.max(key).alias("k2")).where("k1 <> k2").select("doc_id")
+    split = written(split, "split", few=True)
+    plain = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("sketch", "doc_id").alias("sketch"))
+    if split.isEmpty():
+        return written(plain.withColumn("node", F.col("least")), "classes"), None
+    mine = some.join(split, "doc_id", "left_semi").select("doc_id", "f1", "f2", "n").distinct()
+    made = plain.join(mine.select("f1", "f2", "n").distinct().withColumn("several", F.lit(True)), ["f1", "f2", "n"], "left")
+    classes = written(made.withColumn("node", F.when(F.col("several"), F.xxhash64("f1", "f2", "n")).otherwise(F.col("least"))).drop("several"), "classes")
+    return classes, written(mine.join(classes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).select("doc_id", "node"), "several", few=True)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
@@ -215,51 +237,67 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     document, whose links are those of all its rows; each row returns.  An empty
     table gives an empty result; other columns are not read.
     """
-    if num * 100 < 80 * den:
-        raise ValueError("the bound on shared retained values holds from 0.8 on")
+    if num * 100 < 80 * den or k != K:
+        raise ValueError("the bound on shared retained values holds for sketches of 32 values and from 0.8 on")
     threshold = num / den
     base = small_batches(docs.select("doc_id", "text"))
     sk = written(sketches(base, words, k), "sketches")
-    grouped = sk.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    classes = written(grouped, "classes")
-    one = sk.join(classes.select(F.col("node").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"]).dropDuplicates(["doc_id", "f1", "f2"])
-    nodes = written(one.select(F.col("doc_id").alias("node"), "n", "sketch"), "nodes")
+    classes, several = classes_of(sk)
+    nodes = classes.select("node", "n", "sketch")
     lists = written(postings(nodes, threshold, k), "postings")
+    texts = base.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
+    same = None
+    if several is not None:
+        ids = several.select("doc_id").distinct()
+        again = sketches(base.join(ids, "doc_id", "left_semi"), words, k, with_text=True).join(classes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"])
+        texts = texts.join(ids.withColumnRenamed("doc_id", "node"), "node", "left_anti").unionByName(again.dropDuplicates(["node"]).select("node", "text"))
+        same = several.withColumnRenamed("node", "a").join(several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select("a", "b")
 
     hubs = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("v", F.col("hub.node").alias("b"), F.col("hub.n").alias("bn"))
     star = lists.join(hubs, "v").where(F.col("node") != F.col("b")).where(near(F.col("n"), F.col("bn"), num, den)).select(F.col("node").alias("a"), "b").distinct()
-    star = written(estimated(star, nodes, num, den, k), "star")
+    star = written(estimated(star, nodes, num, den, k), "star", few=True)
     early = lists.join(homes_of(star), "node").groupBy("v", "home").agg(F.count("*").alias("m"))
     early = early.groupBy("v").agg(F.max(F.struct("m", F.col("home").alias("b"))).alias("x")).select("v", F.col("x.b").alias("b"))
     again = lists.join(early, "v").select(F.col("node").alias("a"), "b").where("a <> b").distinct().join(star, ["a", "b"], "left_anti")
-    star = written(star.unionByName(again.select("a", "b")), "star")
-    homes = written(homes_of(star), "homes")
-    held = lists.select("node").distinct()
-    n_held = held.count()
-    texts = base.where("doc_id is not null").withColumnRenamed("doc_id", "node").join(small_or_plain(held, n_held), "node", "left_semi")
-    texts = written(texts, "texts")
+    star = written(star.unionByName(again.select("a", "b")), "star", few=True)
+    homes = homes_of(star)
     at_home = star.join(homes.select(F.col("node").alias("a"), "home"), "a", "left").withColumn("wide", F.coalesce(F.col("home") == F.col("b"), F.lit(False)))
     tested = written(verified(at_home, texts, words, num, den), "tested")
     links = tested.where("link").select("a", "b")
-    found = components(links)
+    found = components(links if same is None else links.unionByName(same))
 
     marked = lists.join(found, "node", "left").join(homes, "node", "left")
-    marked = written(marked.select("v", "node", "n", F.coalesce("component", "node").alias("c"), F.coalesce("home", F.lit(-1).cast("long")).alias("home"), F.col("home").isNull().alias("lone")), "marked")
+    marked = marked.select("v", "node", "n", F.coalesce("component", "node").alias("c"), F.coalesce("home", F.lit(-1).cast("long")).alias("home"), F.col("home").isNull().alias("lone"))
     mixed = marked.groupBy("v", "home", "lone").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2"))
     mixed = mixed.groupBy("v").agg(F.max(F.struct(~F.col("lone"), "m", "home")).alias("most"), F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 <> c2")
-    open_ = marked.join(mixed.select("v", F.col("most.home").alias("main"), (~F.col("most.col1")).alias("no_main")), "v")
-    open_ = open_.withColumn("inside", ~F.col("lone") & ~F.col("no_main") & (F.col("home") == F.col("main")))
-    outside = open_.where("not inside").select("v", F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("home").alias("ah"), F.col("lone").alias("al"))
-    other = open_.select("v", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("home").alias("bh"), F.col("lone").alias("bl"), "inside")
-    cross = outside.join(other, "v").where("ac <> bc and (inside or a > b) and (al or bl or ah <> bh)").where(near(F.col("an"), F.col("bn"), num, den))
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    cross = cross.unionByName(within_clouds(tested, found, num, den)).distinct()
-    cross = written(cross.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
-    more = verified(estimated(cross, nodes, num, den, k).withColumn("wide", F.lit(False)), texts, words, num, den)
-    links = written(links.unionByName(more.where("link").select("a", "b")), "links")
-    found = components(links)
-
-    same = classes.where("copies > 1").select("f1", "f2", "n", F.col("node"))
-    rows = sk.select("doc_id", "n", "f1", "f2").join(same, ["f1", "f2", "n"], "left").withColumn("node", F.coalesce("node", "doc_id"))
-    rows = rows.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    open_ = written(marked.join(mixed.select("v", F.col("most.home").alias("main"), (~F.col("most.col1")).alias("no_main")), "v"), "open", few=True)
+    if not open_.isEmpty():  # else each list lies in one component, and there is no further link to find
+        open_ = open_.withColumn("inside", ~F.col("lone") & ~F.col("no_main") & (F.col("home") == F.col("main")))
+        outside = open_.where("not inside").select("v", F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("home").alias("ah"), F.col("lone").alias("al"))
+        other = open_.select("v", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("home").alias("bh"), F.col("lone").alias("bl"), "inside")
+        cross = outside.join(other, "v").where("ac <> bc and (inside or a > b) and (al or bl or ah <> bh)").where(near(F.col("an"), F.col("bn"), num, den))
+        cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        cross = cross.unionByName(within_clouds(tested, found, num, den)).distinct()
+        cross = cross.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        cross = written(estimated(cross, nodes, num, den, k).withColumn("wide", F.lit(False)), "cross", few=True)
+        more = verified(cross, texts, words, num, den).where("link").select("a", "b")
+        # components of what was found so far, joined by the new links
+        label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+        more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+        joined = components(more)
+        up = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        merged = found.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        found = merged.unionByName(joined.join(found, "node", "left_anti").select("node", "component"))
+
+    if several is not None:  # a component is named by its smallest doc_id, which need not be a node
+        named = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
+        found = named.join(smallest, "component").select("node", F.col("smallest").alias("component"))
+    copies = classes.where("copies > 1 or node <> least").select("f1", "f2", "n", "node")
+    rows = sk.select("doc_id", "n", "f1", "f2").join(copies, ["f1", "f2", "n"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+    rows = rows.join(found, "node", "left")
+    if several is not None:
+        own = several.join(found, "node").select("doc_id", F.col("component").alias("own")).distinct()
+        rows = rows.join(own, "doc_id", "left").withColumn("component", F.coalesce("own", "component"))
+    rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -1,62 +1,26 @@
-"""Shared folder, written tables and size-checked broadcasts."""
+"""Written tables, size-checked broadcasts, Arrow batches and columns under safe names."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import clear, fresh_path, scratch, shared_dir, written
+
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "Columns", "clear", "fresh_path", "scratch", "shared_dir", "small_batches", "small_or_plain", "written"]
+
 #: A side with at most this many narrow rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 #: Texts that go to Python at once.
 BATCH_ROWS = 1000
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        path = tempfile.mkdtemp(prefix="waymark-")
-        atexit.register(shutil.rmtree, path, True)
-        _own[app] = "file://" + path
-    return _own[app]
-
-
-def scratch(spark: SparkSession) -> str:
-    """Where this application's tables lie."""
-    return f"{shared_dir(spark)}/waymark/{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes all tables that this application has written; results not yet saved need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder; cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """df, after the session's Arrow batches are held to so many rows, as texts may be long."""
+    """df, after the session's Arrow batches are held to so many rows, as texts may be long.
+
+    The setting is one of the session's; it can't be had for one plan alone.
+    """
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(key, "10000"))
@@ -68,3 +32,19 @@ def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
 def small_or_plain(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows stay under the limit."""
     return F.broadcast(df) if rows <= limit else df
+
+
+class Columns:
+    """The columns of a table under names of our own, so that none of a caller's can clash with one of ours."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.own = {c: f"__own_{k}" for k, c in enumerate(self.names)}
+        self.df = df.toDF(*self.own.values())
+
+    def __getitem__(self, name: str) -> str:
+        return self.own[name]
+
+    def back(self, df: DataFrame, **new: str) -> DataFrame:
+        """The caller's columns of df under their names; new: columns of ours that replace one."""
+        return df.select(*(F.col(new.get(c, self.own[c])).alias(c) for c in self.names))
