@@ -59,12 +59,8 @@ ANY = ["price 5 € and 12٣ <|endoftext|><|endoftext|> done", "Привет, м
 
 
 def same_counts(text, library, vocabulary):
-    of = tokcount.counter(vocabulary)
     encode = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    assert of.every_prefix(text).tolist() == [encode(text[:i]) for i in range(len(text) + 1)]
-    pieces, upto = of.pieces(text)
-    assert "".join(pieces) == text and (not text or upto[-1] == encode(text))
-    return pieces, upto
+    assert tokcount.counter(vocabulary).every_prefix(text).tolist() == [encode(text[:i]) for i in range(len(text) + 1)]
 
 
 @pytest.mark.parametrize("text", ANY)
@@ -91,15 +87,12 @@ def _vocabulary():
 _known = _vocabulary()
 
 
-def test_odd_texts_keep_every_piece(frame, monkeypatch, vocabulary):
-    """Each piece has its count, and a truncation asks the library for no token."""
+def test_truncation_of_odd_texts_asks_for_no_token(monkeypatch, vocabulary):
     text = "Привет мир € " * 20
-    row = tokcount.counted(frame([(1, text)]), vocabulary, keep=True).first()
-    assert len(row.ends) > 50 and row.ends[-1] == row.n_bytes and row.counts[-1] == row.n_tokens
     of = tokcount.Counter(vocabulary)
 
     class Splits:
         pre_tokenizer = of.encoder.library.pre_tokenizer
 
     monkeypatch.setattr(of.encoder, "library", Splits())
-    assert of.every_prefix(of.truncated(text, 40))[-1] <= 40
+    assert 30 < of.every_prefix(of.truncated(text, 40))[-1] <= 40

@@ -53,7 +53,7 @@ def test_tables_that_overflow(vocabulary, library):
     text = " ".join(f"w{i} x{i % 7}" for i in range(200))
     ids = library.encode(text, add_special_tokens=False).ids
     assert own.ids(text).tolist() == ids and len(own.table) <= 10
-    assert counts.pieces(text)[1][-1] == len(ids)
+    assert counts.steps(text).sum() == len(ids) and len(counts.table) <= 10
 
 
 def documents():
@@ -64,12 +64,30 @@ def documents():
 
 def test_counts(frame, library, vocabulary):
     rows = documents()
-    got = tokcount.counted(frame(rows, extra=True), vocabulary, limit=512, keep=True).collect()
+    got = tokcount.prefix_counts(frame(rows, extra=True), vocabulary, limit=512).collect()
     want = sorted(((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=repr) == want
-    assert all(r.over_limit == (r.n_tokens > 512) for r in got)
-    assert all((r.ends[-1], r.counts[-1]) == (r.n_bytes, r.n_tokens) if r.n_bytes else r.ends == [] for r in got)
-    assert tokcount.counted(frame([]), vocabulary).count() == 0
+    assert all(r.over_limit == (r.n_tokens > 512) and sum(r.steps) == r.n_tokens for r in got)
+    assert tokcount.prefix_counts(frame([]), vocabulary).count() == 0
+    assert {r.steps for r in tokcount.prefix_counts(frame(rows), vocabulary, keep=False).collect()} == {None}
+
+
+def test_questions_read_what_is_stored(frame, library, vocabulary, monkeypatch):
+    """Truncation and budgets from stored counts: nothing is split or encoded again."""
+    from waymark.llm.shared import written
+
+    texts = {1: "Привет мир € " * 9, 2: "日本語の  テキスト\n\n x", 3: "it's 'tis we're 😀👍 <|endoftext|> ok", 4: "", 5: "plain words only", 6: None}
+    counts = written(tokcount.prefix_counts(frame(list(texts.items())), vocabulary), "counts")
+    encode = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    monkeypatch.setattr(tokcount, "counter", None)
+    for budget in (0, 1, 7, 1000):
+        for r in tokcount.truncated(counts, budget).collect():
+            text = texts[r.doc_id] or ""
+            assert r.n_tokens == encode(text[: r.n_chars]) <= budget
+            assert all(encode(text[:k]) > budget for k in range(r.n_chars + 1, len(text) + 1))
+        assert {r.doc_id: (r.n_tokens, r.fits) for r in tokcount.within(counts, budget).collect()} == {i: (encode(t or ""), encode(t or "") <= budget) for i, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in tokcount.counts_at(counts, 5).collect()} == {i: encode((t or "")[:5]) for i, t in texts.items()}
+    assert tokcount.truncated(counts.where("false"), 3).count() == 0
 
 
 def crc(ids):

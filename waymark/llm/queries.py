@@ -38,7 +38,7 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokcount.counted(_table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.json"), limit=512)
+    found = tokcount.prefix_counts(_table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.json"), limit=512, keep=False)
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 

@@ -5,11 +5,17 @@ piece, the encoding of a prefix ends in one token t, the only one for which the
 encoding of what comes before ends in a token u such that u and t stay apart
 when u + t is encoded.  So the count of a prefix is one more than the count of a
 shorter one, and each prefix is worked out once, however many pieces begin with
-it.  Sums over pieces then give the count at every piece's end, and with the
-counts inside a piece at every code point.  Truncation and budget questions are
-searches in these counts; nothing is encoded again.  Texts with characters that
-bpe.PIECES is not sure of are split by the library's own pre-tokenizer.  A special
-string is one piece of one token, and what is around it is split by itself.
+it.  A piece is kept as the steps by which the count changes from one code point
+to the next, so the steps of a text are those of its pieces, one after the
+other, and their running sum is the count at every prefix.  Two kinds of prefix
+end in other pieces than the text has there and are put right: those that end
+in all of a run of white space, and those that cut a special string, which is
+one piece of one token.
+
+``prefix_counts`` stores the steps; ``truncated``, ``counts_at`` and ``within``
+answer truncation and budget questions from what is stored and read neither
+texts nor the vocabulary.  Texts with characters that bpe.PIECES is not sure of
+are split by the library's own pre-tokenizer.
 """
 
 from __future__ import annotations
@@ -121,17 +127,13 @@ class PrefixCounter:
         """Number of tokens of each prefix of a piece, from one byte to all of it."""
         return [c for _, c in self.every(piece)[1:]]
 
-    def count(self, piece: bytes) -> int:
-        return self.last(piece)[1] if len(piece) <= SHORT else self.every(piece)[-1][1]
-
 
 class Counter:
     """Prefix counts of whole texts under one vocabulary file."""
 
     def __init__(self, path: str):
         self.encoder, self.prefixes = bpe.encoder(path), PrefixCounter(path)
-        count = self.prefixes.count
-        self.table = bpe.Remembered(lambda p: count(p.encode()), MEMORY)
+        self.table = bpe.Remembered(self.piece, MEMORY)
         library = self.encoder.library
         if library.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in library.get_added_tokens_decoder().values()):
             raise ValueError("the vocabulary changes texts before it splits them")
@@ -144,67 +146,65 @@ class Counter:
             return bpe.PIECES.findall(text)
         return [text[a:b] for _, (a, b) in self.encoder.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def pieces(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The pieces and the number of tokens up to the end of each; a special string is a piece of one token."""
-        pieces, counts, at, table = [], [], 0, self.table
+    def upto(self, piece: str) -> np.ndarray:
+        """Number of tokens of each prefix of a piece, from one code point to all of it."""
+        inside = self.prefixes.inside(piece.encode())
+        counts = np.array(inside, dtype=np.int64)[np.cumsum([len(c.encode()) for c in piece]) - 1]
+        if piece in ("'re", "'ve", "'ll"):  # cut after its first letter, it is a quote and a letter
+            counts[1] = 2
+        return counts
+
+    def piece(self, piece: str) -> bytes:
+        """The steps of a piece as 16-bit integers; no step is longer than a token."""
+        return np.diff(self.upto(piece), prepend=0).astype("<i2").tobytes()
+
+    def plain(self, text: str) -> np.ndarray:
+        """steps() of a text without special strings."""
+        table = self.table
+        out = np.frombuffer(b"".join([table[p] for p in self.split(text)]), dtype="<i2").astype(np.int64)
+        if self.encoder.odd(text):
+            runs = ((m.start(), m.end()) for m in _ODD_RUN.finditer(text) if all(map(bpe.is_space, m.group())))
+        else:
+            runs = (m.span() for m in _RUN.finditer(text))
+        for a, b in runs:
+            if b < len(text):  # the piece that goes on with the run's last character is not there yet
+                own = self.upto(text[a:b])[-1]
+                more = own - int(out[a:b].sum())
+                out[b - 1] += more
+                out[b] -= more
+        return out
+
+    def steps(self, text: str) -> np.ndarray:
+        """By how much the number of tokens of text[:i + 1] exceeds that of text[:i], for each i."""
+        if not self.special.search(text):
+            return self.plain(text)
+        parts, at = [], 0
         for m in self.special.finditer(text):
-            own = self.split(text[at : m.start()])
-            pieces += [*own, m.group()]
-            counts += [*(table[p] for p in own), 1]
+            # a special string that is cut is a text like others; whole, it is one token
+            own = self.plain(text[at : m.end() - 1])
+            before = int(self.plain(text[at : m.start()]).sum())
+            parts += [own, np.array([before + 1 - int(own.sum())], dtype=np.int64)]
             at = m.end()
-        own = self.split(text[at:])
-        pieces += own
-        counts += [table[p] for p in own]
-        return pieces, np.cumsum(counts, dtype=np.int64)
+        parts.append(self.plain(text[at:]))
+        return np.concatenate(parts)
 
     def every_prefix(self, text: str) -> np.ndarray:
         """Number of tokens of text[:i] for each i from 0 to its length."""
-        out = np.zeros(len(text) + 1, dtype=np.int64)
-        at, before = 0, 0
-        for m in self.special.finditer(text):
-            # a special string that is cut is a text like others
-            upto = self.every_prefix(text[at : m.end() - 1])
-            out[at : m.end()] = before + upto
-            before += int(upto[m.start() - at]) + 1
-            at = m.end()
-        out[at:] = before + self.plain_prefixes(text[at:])
-        return out
-
-    def plain_prefixes(self, text: str) -> np.ndarray:
-        """every_prefix() of a text without special strings."""
-        pieces, table = self.split(text), self.table
-        counts = np.cumsum([table[p] for p in pieces], dtype=np.int64)
-        out = np.zeros(len(text) + 1, dtype=np.int64)
-        at, before = 0, 0
-        for p, c in zip(pieces, counts.tolist(), strict=True):
-            raw = p.encode()
-            inside = self.prefixes.inside(raw)
-            end = 0
-            for k, ch in enumerate(p, 1):
-                end += len(ch.encode())
-                out[at + k] = before + inside[end - 1]
-            if p in ("'re", "'ve", "'ll"):  # cut after its first letter, it is a quote and a letter
-                out[at + 2] = before + 2
-            at, before = at + len(p), c
-        # a prefix that ends in white space ends in one piece of all that white space
-        i = 0
-        while i < len(text):
-            j = i
-            while j < len(text) and bpe.is_space(text[j]):
-                j += 1
-            if j > i:
-                inside = self.prefixes.inside(text[i:j].encode())
-                end = 0
-                for k in range(i, j):
-                    end += len(text[k].encode())
-                    out[k + 1] = out[i] + inside[end - 1]
-            i = max(j, i + 1)
-        return out
+        return np.concatenate([[0], np.cumsum(self.steps(text))])
 
     def truncated(self, text: str, budget: int) -> str:
         """The longest prefix of at most budget tokens."""
-        counts = self.every_prefix(text)
-        return text[: int(np.flatnonzero(counts <= budget)[-1])]
+        return text[: cut_at(self.steps(text), budget)]
+
+
+#: Runs of white space of which the last character may go with what follows; all of them where classes differ.
+_RUN, _ODD_RUN = re.compile(r"\s{2,}"), re.compile(r"(?:(?![\x1c-\x1f])\s){2,}")
+
+
+def cut_at(steps: np.ndarray, budget: int) -> int:
+    """Code points of the longest prefix of at most budget tokens, from its steps."""
+    fits = np.flatnonzero(np.cumsum(steps, dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 @lru_cache(maxsize=4)
@@ -215,34 +215,70 @@ def counter(path: str) -> Counter:
 kernel.FORGET.append(counter.cache_clear)
 
 
-def counted(docs: DataFrame, tokenizer: str, limit: int = 512, keep: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, ends, counts) for each row of docs(doc_id, text, ...).
+def prefix_counts(docs: DataFrame, tokenizer: str, limit: int = 512, keep: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, steps) for each row of docs(doc_id, text, ...).
 
-    Null text is empty: 0 tokens.  Null and repeated doc_ids return as they are.
-    keep: ends and counts hold, for each piece, the byte at which it ends and
-    the number of tokens up to there; else they are null.
+    steps: for each code point, by how much the number of tokens of the text up
+    to and with it exceeds that without it, so that the running sum is the exact
+    count at every prefix; null unless keep.  n_tokens is their sum.
+
+    Null text is empty: 0 tokens and no steps.  Null and repeated doc_ids return
+    as they are.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches):
         kernel.task("count")
         of = counter(tokenizer)
-        kind = pa.list_(pa.int64())
+        kind = pa.list_(pa.int32())
         for batch in batches:
-            texts = batch.column(1)
-            size, tokens, ends, counts = [], [], [], []
-            for x in texts:
+            size, tokens, steps = [], [], []
+            for x in batch.column(1):
                 text = x.as_py() or ""
-                pieces, upto = of.pieces(text)
-                size.append(len(text.encode()))
-                tokens.append(int(upto[-1]) if len(upto) else 0)
-                if keep:
-                    ends.append(np.cumsum([len(p.encode()) for p in pieces], dtype=np.int64))
-                    counts.append(upto)
-            n = len(size)
+                own = of.steps(text)
+                size.append(len(text) if text.isascii() else len(text.encode()))
+                tokens.append(int(own.sum()))
+                steps.append(own.astype(np.int32) if keep else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([t > limit for t in tokens], pa.bool_()), pa.array(ends if keep else [None] * n, kind), pa.array(counts if keep else [None] * n, kind)],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "ends", "counts"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([t > limit for t in tokens], pa.bool_()), pa.array(steps, kind)],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "steps"],
             )
+        kernel.trim()
+
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, steps array<int>")
+
+
+def _answers(counts: DataFrame, names: list[str], answer) -> DataFrame:
+    """counts(doc_id, steps, ...) to (doc_id, names...), from the stored steps alone."""
+
+    def run(batches):
+        for batch in batches:
+            found = [answer(np.zeros(0, np.int32) if s is None else s) for s in (x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in batch.column(1))]
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
+
+    return counts.select("doc_id", "steps").mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", *names)))
+
+
+def truncated(counts: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, n_chars, n_tokens): code points and tokens of the longest prefix of at most budget tokens, for each row of counts(doc_id, steps, ...).
+
+    An empty text, or a budget below its first token: 0 and 0.
+    """
+
+    def answer(steps: np.ndarray) -> tuple[int, int]:
+        n = cut_at(steps, budget)
+        return n, int(steps[:n].sum(dtype=np.int64))
+
+    return _answers(counts, ["n_chars", "n_tokens"], answer)
+
+
+def counts_at(counts: DataFrame, n_chars: int) -> DataFrame:
+    """(doc_id, n_tokens): tokens of the first n_chars code points, or of all there are."""
+    return _answers(counts, ["n_tokens"], lambda steps: (int(steps[:n_chars].sum(dtype=np.int64)),))
+
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, ends array<long>, counts array<long>")
+def within(counts: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, n_tokens, fits): whether a text keeps to the budget as a whole."""
+    total = F.aggregate(F.coalesce("steps", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return counts.select("doc_id", total.alias("n_tokens"), (total <= budget).alias("fits"))
