@@ -112,6 +112,31 @@ def test_target_entropy_is_met(spark):
         mixing.exponent(df, 2.0, None, None)
 
 
+def test_entropy_gives_way_to_repeats(spark, frame):
+    """The mixture nearest to the entropy that repeats nothing more often than allowed; a tiny source is not run through a million times."""
+    sizes = {"a": 1000, "b": 100, "c": 10}
+    df = spark.createDataFrame(list(sizes.items()), "key string, tokens long")
+    free, held = mixing.exponent(df, 1.05, None, None), mixing.exponent(df, 1.05, 4, None)
+    assert held > free and (1000 / 10) ** (1 - held) == pytest.approx(4) and mixing.exponent(df, 0.5, 4, None) == pytest.approx(mixing.exponent(df, 0.5, None, None))
+    sharp = mixing.exponent(df, 0.05, 4, None)
+    assert sharp > 1 and (1000 / 10) ** (sharp - 1) == pytest.approx(4)
+    p = np.array(list(sizes.values())) / 1110
+    for target in (1.05, 0.05):
+        a = mixing.exponent(df, target, 3, 1110.0)
+        assert (p ** (a - 1) / (p**a).sum()).max() == pytest.approx(3 if target > 1 else 1110 / 1000, rel=1e-2) or (p ** (a - 1) / (p**a).sum()).max() <= 3 + 1e-9
+    with pytest.raises(ValueError):
+        mixing.exponent(df, None, 2, 1110 * 3.0)
+    rows = [(0, "w", None, "tiny")] + [(i, "w " * 3000, None, "big") for i in range(1, 21)]
+    got = mixing.mixture(frame(rows), target_entropy=math.log(2) - 1e-6, max_repeats=4).collect()
+    assert sum(r.doc_id == 0 for r in got) == 4 and len(got) == 24
+
+
+def test_rows_without_an_id_fill_many_blocks(frame):
+    rows = [(None, f"w {i}", None, "s") for i in range(300)] + [(7, f"v {i}", None, "s") for i in range(300)]
+    got = mixing._placed(frame(rows), block_tokens=100).groupBy("block").count().collect()
+    assert len(got) > 8 and max(r["count"] for r in got) < 150
+
+
 def test_budget_and_repeats(spark, frame):
     df = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "key string, tokens long")
     a = mixing.exponent(df, None, 5, 1110)
@@ -131,6 +156,8 @@ def test_mixing_of_odd_rows(frame):
     back = mixing.mixed(frame(rows, extra=True))
     assert back.columns == frame(rows, extra=True).columns and {r.doc_id for r in back.collect()} == {None, 1, 2, 3, 4}
     assert mixing.mixture(frame([])).count() == 0 and mixing.mixed(frame([])).count() == 0
+    clash = frame(rows).withColumns({c: F.lit("x") for c in ("__uses", "__id", "uses", "id", "k", "h", "hash", "key")})
+    assert mixing.mixed(clash).columns == clash.columns and {r["__uses"] for r in mixing.mixed(clash).collect()} == {"x"}
 
 
 def test_mixing_agrees_with_sql(frame):

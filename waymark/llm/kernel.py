@@ -18,6 +18,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 RADIX = 0xD6E8FEB86659FD93 | 1
+MORE = 0xA0761D6478BD642F
 MASK = (1 << 64) - 1
 #: Bytes of text that are hashed at once, but for a longer row.
 LOT_BYTES = 1 << 18
@@ -137,6 +138,14 @@ class Words:
         np.cumsum((self.data.astype(U) + U(1)) * p[: len(self.data)], dtype=U, out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + U(0x632BE59BD9B4E019))
 
+    def more(self, first: np.ndarray, k: int) -> np.ndarray:
+        """32 further bits of the hash of the windows of k words that begin at ``first``, by a polynomial of their own."""
+        out = np.zeros(len(first), dtype=U)
+        for j in range(k):
+            out *= U(MORE)
+            out += self.hash[first + j]
+        return (mix(out ^ U(RADIX)) >> U(32)).astype(np.uint32)
+
     def windows(self, k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of all windows of k words, their first words, and the rows' window offsets.
 
@@ -150,7 +159,8 @@ class Words:
         first = first[room >= k]
         out = np.zeros(len(first), dtype=U)
         for j in range(k):
-            out = out * U(RADIX) + h[first + j]
+            out *= U(RADIX)
+            out += h[first + j]
         out = mix(out + U(k))
         offsets = np.concatenate([[0], np.cumsum(n)])
         if whole and (short := np.flatnonzero((counts > 0) & (counts < k))).size:

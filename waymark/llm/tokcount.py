@@ -163,7 +163,7 @@ class Counter:
         table = self.table
         out = np.frombuffer(b"".join([table[p] for p in self.split(text)]), dtype="<i2").astype(np.int64)
         if self.encoder.odd(text):
-            runs = ((m.start(), m.end()) for m in _ODD_RUN.finditer(text) if all(map(bpe.is_space, m.group())))
+            runs = (m.span() for m in _ODD_RUN.finditer(text))
         else:
             runs = (m.span() for m in _RUN.finditer(text))
         for a, b in runs:
