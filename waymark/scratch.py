@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,7 @@ def scratch(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
     root = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
     root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
     return path
@@ -51,6 +53,27 @@ def clear(spark: SparkSession, path: str | None = None) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+class Stage:
+    """Deletes, at its end, the tables written within it but for those it was told to keep."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.first, self.kept = spark, len(_made), set()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """written(), to outlive the stage."""
+        df = written(df, name)
+        self.kept.add(_made[-1])
+        return df
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in _made[self.first :]:
+            if path not in self.kept:
+                clear(self.spark, path)
+
+
 def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """df as a table in the shared folder.
 
