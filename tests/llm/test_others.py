@@ -1,5 +1,6 @@
 """Revisits, mixing, language ID, fingerprints, vectors and the pipeline."""
 
+import base64
 import hashlib
 import math
 import random
@@ -8,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -280,28 +282,92 @@ def test_lang_and_ids_do_not_enter_predictions(frame):
 # Fingerprints
 
 
-def test_fingerprints(frame):
+M64 = (1 << 64) - 1
+
+
+def stirred(h):
+    """Finaliser of splitmix64, on plain integers."""
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & M64
+    return h ^ (h >> 31)
+
+
+def word_hash(word):
+    base, total = 0x9E3779B97F4A7C15, 0
+    for k, b in enumerate(word):
+        total = (total + (b + 1) * pow(base, k, 1 << 64)) & M64
+    return stirred((total + 0x632BE59BD9B4E019) & M64)
+
+
+def plain_fingerprint(text):
+    """The lanes of a text, paragraph by paragraph and run of words by run of words, without the library's kernels."""
+    equal, alike = [0] * 8, [0] * 256
+    for line in (text or "").encode().split(b"\n"):
+        if not line:
+            continue
+        digest = xxhash.xxh3_128_digest(line)
+        high, low = (int.from_bytes(digest[k : k + 8], "big") for k in (0, 8))
+        for lane in range(8):
+            step = (0x9E3779B97F4A7C15 * (2 * lane + 1)) & M64
+            equal[lane] = (equal[lane] + (stirred((high + step) & M64) ^ stirred(low ^ step))) & M64
+        words = [word_hash(w) for w in line.split()]
+        runs = [words[k : k + 3] for k in range(len(words) - 2)] or ([words] if words else [])
+        for run in runs:
+            h = 0
+            for w in run:
+                h = (h * 0xD6E8FEB86659FD93 + w) & M64
+            h = stirred((h + len(run)) & M64)
+            alike[h & 255] += -1 if h >> 63 else 1
+    return equal, alike
+
+
+def plain_likeness(one, two):
+    if one[0] == two[0]:
+        return 1.0
+    dot, n1, n2 = (sum(x * y for x, y in zip(a, b, strict=True)) for a, b in ((one[1], two[1]), (one[1], one[1]), (two[1], two[1])))
+    return min(max(dot / math.sqrt(n1 * n2), 0.0), 1 - 1e-9) if n1 and n2 else 0.0
+
+
+def code_of(lanes):
+    return base64.b64encode(b"".join(x.to_bytes(8, "little") for x in lanes[0]) + b"".join((x % (1 << 32)).to_bytes(4, "little") for x in lanes[1])).decode()
+
+
+@pytest.mark.parametrize("size", [60, 200, 1 << 20])
+def test_fingerprints(frame, monkeypatch, size):
+    """Against a plain computation of the lanes, the edit and the likeness."""
     rng = random.Random(9)
     rows = [(i, "\n".join(" ".join(rng.choices(["ab", "cé", "d"], k=rng.randint(0, 9))) for _ in range(rng.randint(0, 6)))) for i in range(0, 90, 3)]
-    rows += [(1, None), (2, ""), (4, rows[0][1]), (6, "same id"), (500, "日" * 7), (None, "last")]
-    for size in (200, 1 << 20):
-        multihash.PART_BYTES = size
-        got = multihash.fingerprints(frame(rows, extra=True)).collect()
-        assert len(got) == len(rows)
-        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
-        by = {}
-        for r in got:
-            by.setdefault(r.doc_id, []).append(r)
-        for k, (i, t) in enumerate(order):
-            if i == 6 or order[(k + 1) % len(order)][0] == 6:
-                continue  # two rows share the id, in the order of their texts' hashes
-            t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
-            new = multihash.edited(t, nxt)
-            r = by[i][0]
-            assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-            assert r.fingerprint == multihash.fingerprint(t) and r.edited_fingerprint == multihash.fingerprint(new)
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_edited == 1) == (sorted(filter(None, t.split("\n"))) == sorted(filter(None, new.split("\n"))))
-    multihash.PART_BYTES = 16 << 20
+    rows += [(1, None), (2, ""), (4, rows[0][1]), (500, "日" * 7), (None, "last"), (-(1 << 63), "the least id of all")]
+    monkeypatch.setattr(multihash, "PART_BYTES", size)
+    got = {r.doc_id: r for r in multihash.fingerprints(frame(rows, extra=True)).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(t) // 3
+        new = t[: len(t) - n] + nxt[:n]
+        own, after, following = plain_fingerprint(t), plain_fingerprint(new), plain_fingerprint(nxt)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (code_of(own), code_of(after))
+        assert (r.near_edited, r.near_next) == (pytest.approx(plain_likeness(own, after)), pytest.approx(plain_likeness(own, following)))
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_fingerprints_where_an_id_repeats(frame, monkeypatch, size):
+    """Each row once; a row follows another of its id, or the last of them the next id's first."""
+    monkeypatch.setattr(multihash, "PART_BYTES", size)
+    rows = [(7, f"text number {k}") for k in range(60)] + [(k, f"other {k}") for k in (1, 3, 9, 12)]
+    got = multihash.fingerprints(frame(rows)).collect()
+    assert sorted(r.fingerprint for r in got) == sorted(code_of(plain_fingerprint(t)) for _, t in rows)
+    edits = {hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest() for _, t in rows for _, u in rows}
+    assert {r.edited_sha256 for r in got} <= edits
+    _, most = multihash.parted(frame(rows).selectExpr("doc_id", "xxhash64(text) AS h", "text"), 30)
+    parts = {r.part: r.n for r in multihash.parted(frame(rows).selectExpr("doc_id", "xxhash64(text) AS h", "text"), 30)[0].groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert max(parts.values()) < 30 and max(parts) < most
+
+
+def test_fingerprints_of_nothing_and_of_one(frame):
     assert multihash.fingerprints(frame([])).count() == 0
     alone = multihash.fingerprints(frame([(1, "abcdef")])).first()
     assert alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and alone.near_next == 1
@@ -374,12 +440,29 @@ def test_bounds_are_rigorous():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 64)) * rng.choice([1, 1e-6, 1e6], size=(300, 1))
     x[::3] += 5
-    q, s, e, u = embed.quantised(x)
+    u = embed.units(x)
+    q, s, e, rest = embed.quantised(u)
     near = embed.products(q, q) * (s[:, None] * s[None, :])
     bound = e[:, None] + e[None, :] * (1 + e[:, None]) + embed.SLACK
-    assert (np.abs(near - u @ u.T) <= bound).all() and np.abs(q).max() <= 127
-    sure, full = embed.linked((q, s, e, u), (q, s, e, u), 0.93, slice(0, 300))
-    assert (sure == (u @ u.T >= 0.93)).all() and full < sure.size / 2
+    assert (np.abs(near - u @ u.T) <= bound).all() and q.dtype == np.int8
+    c = embed.Codes.of(u)
+    assert (np.sqrt(((u - c.close()) ** 2).sum(1)) <= c.d + 1e-12).all() and (c.d < 1e-3).all()
+    true = u @ u.T
+    sure, a, b = embed.linked(c, c, 0.93)
+    still = np.zeros_like(sure)
+    still[a, b] = True
+    assert (sure <= (true >= 0.93)).all() and ((true >= 0.93) <= (sure | still)).all() and still.sum() < sure.size / 50
+
+
+def test_pairs_at_the_threshold_are_settled_in_full_precision(spark):
+    """Vectors whose cosine with the first is the threshold, or the next number below it."""
+    rows = [(1, [1.0, 0.0, 0.0], 0)]
+    for k in range(2, 40):
+        c = 0.93 + (k - 20) * 1e-9
+        rows.append((k, [c * k, math.sqrt(1 - c * c) * k * math.cos(k), math.sqrt(1 - c * c) * k * math.sin(k)], 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embed.near_duplicates(df).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute_vectors(rows)
 
 
 # The pipeline

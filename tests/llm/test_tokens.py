@@ -59,7 +59,7 @@ def test_tables_that_overflow(vocabulary, library):
 def documents():
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices(["in", "of", "Thation", "eré", "x", "\n"], k=rng.choice([0, 1, 5, 60, 900])))) for i in range(80)]
-    return rows + [(100, None), (None, "no id"), (7, "again"), (7, "again"), (101, "long " * 9000), (102, ODD[2])]
+    return rows + [(100, None), (None, "no id"), (-(1 << 63), "least id"), (7, "again"), (7, "again"), (101, "long " * 9000), (102, ODD[2])]
 
 
 def test_counts(frame, library, vocabulary):
@@ -110,10 +110,12 @@ def test_files_return_every_document(frame, library, vocabulary, tmp_path, size)
         own = next(x for x in ids[r.doc_id] if crc(x) == r.ids_crc32)
         assert (r.start, r.n_tokens) == (start, len(own))
         start += len(own)
+    named = {f"{r['name']}.{kind}" for r in shards.collect() for kind in ("ids", "off", "doc")}
+    assert {p.name for p in (tmp_path / "ids").iterdir() if not p.name.startswith(".")} == named
     whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "ids").glob("*.ids")))
     assert len(whole) == 2 * start and not list((tmp_path / "ids").glob("*.ids.*"))
     s = shards.first()
-    shard = tokenbin.Shard(folder, s.shard, s.width)
+    shard = tokenbin.Shard(folder, s["name"], s.width)
     assert shard.document(0).tolist() in [list(x) for v in ids.values() for x in v]
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import small_batches
+from .shared import small_batches, small_or_plain
 
 EQUAL, ALIKE = 8, 256
 WORDS = 3
-#: Bytes of text in a part, and most parts; a part is streamed, so it may be large.
-PART_BYTES, PARTS = 16 << 20, 4096
+#: Bytes of text in a part.
+PART_BYTES = 16 << 20
 
 _STEP = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) & kernel.MASK for j in range(EQUAL)], dtype=np.uint64)
 
@@ -100,48 +101,71 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def parted(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """rows(doc_id, h, ...) with (coarse, part): about n ranges of doc_id in ascending order; and the most there can be.
+
+    Two levels of about the root of n ranges each, so the driver holds that many
+    bounds.  A doc_id that fills a coarse range is a range of its own, and then
+    divided by h.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    if n <= 1:
+        return rows.withColumns({"coarse": F.lit(0), "part": F.lit(0).cast("long")}), 1
+    k = math.isqrt(n - 1) + 1
+    rank = rows.withColumn("x", F.col("doc_id").cast("double"))
+    cuts = rank.agg(F.percentile_approx("x", [j / k for j in range(1, k)] or [0.5], 50 * k)).first()[0] or []
+    often = {x for x, y in zip(cuts, cuts[1:], strict=False) if x == y}
+    inner = sorted({*cuts, *(float(np.nextafter(x, math.inf)) for x in often)})
+    rank = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="x", outputCol="c").transform(rank).withColumn("coarse", F.col("c").cast("int"))
+    whole = [inner.index(x) + 1 for x in often]
+    rank = rank.withColumn("y", F.when(F.col("coarse").isin(whole), F.col("h").cast("double")).otherwise(F.col("x")) if whole else F.col("x"))
+    fine = rank.groupBy("coarse").agg(F.array_distinct(F.percentile_approx("y", [j / k for j in range(1, k)] or [0.5], 50 * k)).alias("bounds"))
+    rank = rank.join(small_or_plain(fine, len(inner) + 1, 4096), "coarse")
+    place = F.aggregate("bounds", F.lit(0), lambda a, b: a + F.when(b <= F.col("y"), 1).otherwise(0))
+    return rank.withColumn("part", F.col("coarse").cast("long") * k + place).drop("x", "y", "c", "bounds"), (len(inner) + 1) * k
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs(doc_id, text, ...).
 
     A document's following one is that with the next smaller doc_id, the last
     one's is the first.  Null text: empty.  Null doc_id: after all others.
     Rows that repeat a doc_id follow each other by their text.  A single
-    document follows itself.
+    document follows itself; an empty table gives an empty result.
 
     Documents are dealt into ranges of doc_id and streamed in order; each range
     also gets the first document of the range that follows.
     """
-    from pyspark.ml.feature import Bucketizer
-
     low = -(1 << 63)
-    base = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = F.col("doc_id").cast("long")
+    base = small_batches(docs).select(F.coalesce(own, F.lit(low)).alias("doc_id"), own.isNotNull().alias("named"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(PARTS, 1 + total // PART_BYTES))
-    rank = base.withColumn("x", F.col("doc_id").cast("double"))
-    inner = []
-    if n > 1:
-        cuts = rank.agg(F.percentile_approx("x", [k / n for k in range(1, n)], 50 * n)).first()[0]
-        inner = sorted(set(cuts or []))
-    splits = [float("-inf"), *inner, float("inf")]
-    rank = Bucketizer(splits=splits, inputCol="x", outputCol="p").transform(rank) if inner else rank.withColumn("p", F.lit(0))
-    rank = rank.select("doc_id", "text", F.col("p").cast("int").alias("part"), F.xxhash64("text").alias("h"))
-    heads = rank.groupBy("part").agg(F.max_by("text", F.struct("doc_id", "h")).alias("text"))
-    all_ = Window.partitionBy(F.lit(0)).orderBy("part")  # at most PARTS rows
-    last = F.last("text").over(all_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tails = heads.select("part", F.coalesce(F.lag("text").over(all_), last).alias("text"))
-    rows = rank.withColumn("tail", F.lit(0)).unionByName(tails.select(F.lit(0).cast("long").alias("doc_id"), "text", "part", F.lit(0).cast("long").alias("h"), F.lit(1).alias("tail")))
-    rows = rows.repartitionById(len(splits) - 1, "part").sortWithinPartitions("part", "tail", F.desc("doc_id"), F.desc("h")).select("doc_id", "text", "tail")
+    ranked, n = parted(base.withColumn("h", F.xxhash64("text")), int(1 + total // PART_BYTES))
+    key = F.struct("doc_id", "named", "h")
+    heads = ranked.groupBy("coarse", "part").agg(F.max_by("text", key).alias("text"))
+    # the first document of the range before: within a coarse range, else the last range's of the coarse one before, else the very last one's
+    ends = heads.groupBy("coarse").agg(F.max_by("text", "part").alias("end"))
+    all_ = Window.partitionBy(F.lit(0)).orderBy("coarse")  # the root of the number of ranges
+    wrap = F.last("end").over(all_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ends.select("coarse", F.coalesce(F.lag("end").over(all_), wrap).alias("end"))
+    inside = F.lag("text").over(Window.partitionBy("coarse").orderBy("part"))
+    tails = heads.withColumn("before", inside).join(ends, "coarse").select("part", F.coalesce("before", "end").alias("text"))
+    none = {"doc_id": F.lit(0).cast("long"), "named": F.lit(False), "h": F.lit(0).cast("long"), "tail": F.lit(1)}
+    rows = ranked.drop("coarse").withColumn("tail", F.lit(0)).unionByName(tails.withColumns(none))
+    rows = rows.withColumn("part", F.col("part").cast("int")).repartitionById(n, "part")
+    rows = rows.sortWithinPartitions("part", "tail", F.desc("doc_id"), F.desc("named"), F.desc("h")).select("doc_id", "named", "text", "tail")
 
     def run(batches):
         kernel.task("paragraphs")
         ids, texts, tails = [], [], []
         for whole in batches:
-            data, offsets = kernel.buffers(whole.column(1))
+            data, offsets = kernel.buffers(whole.column(2))
             for i, j in kernel.spans(np.diff(offsets)):
                 batch = whole.slice(i, j - i)
-                ids += batch.column(0).to_pylist()
-                texts += batch.column(1).to_pylist()
-                tails += batch.column(2).to_pylist()
+                ids += [x if known else None for x, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                texts += batch.column(2).to_pylist()
+                tails += batch.column(3).to_pylist()
                 e, a = vectors(pa.array(texts, pa.string()))
                 own = [k for k in range(len(ids) - 1) if not tails[k]]
                 new = [edited(texts[k], texts[k + 1]) for k in own]
@@ -161,6 +185,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                     )
                 ids, texts, tails = ids[-1:], texts[-1:], tails[-1:]
+        kernel.trim()
 
-    out = rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id")))
+    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -147,7 +147,7 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: in
             yield rows(packer.done, 0)
         if left:
             yield rows([left], 1)
-        kernel.task("encode")
+        kernel.trim()
 
     rows = written(base.mapInArrow(run, _ROW), "pieces")
     whole = rows.where("kind = 0").groupBy("part").agg((F.max("sequence") + 1).cast("long").alias("n"))
