@@ -1,23 +1,31 @@
 """Queries and operators do the whole job."""
 
+import fnmatch
 import json
+import math
+import random
 
-from waymark import stages
-from waymark.operators import stats
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from waymark import scratch, stages
+from waymark.operators import grid, joins, selection, stats
 from waymark.plans import QUERIES
 from waymark.sources import readers
 
 
 def test_grid_queries_use_every_event(spark, tmp_path):
     """All ids are 2 or 3 modulo 4; a wall of events at row 50 and points of others."""
-    wall = [(4 * k + 2, "click", k + 0.5, '{"k": 50}') for k in range(100)]
-    rows = [*wall, (403, "click", 1.5, '{"k": 48}'), (407, "click", 1.5, '{"k": 10}')]
-    spark.createDataFrame(rows, "event_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    wall = [(4 * k + 2, 1, "click", k + 0.5, '{"k": 50}') for k in range(100)]
+    rows = [*wall, (403, 2, "click", 1.5, '{"k": 51}'), (407, 2, "click", 1.5, '{"k": 10}')]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     moves = {r.move_id: r.collided for r in QUERIES["path_collisions"](spark, str(tmp_path)).collect()}
     assert len(moves) == len(rows) and moves[403] and not moves[407]
     assert QUERIES["safe_moves"](spark, str(tmp_path)).count() == len(rows)
     paths = {(r.scene_id, r.pair_id): r.cost for r in QUERIES["planned_paths"](spark, str(tmp_path)).collect()}
-    assert paths["click", 1] is None and paths["view", 1] is not None
+    assert len(paths) == len(rows) and paths[1, 2] is not None
+    assert QUERIES["components_by_corners"](spark, str(tmp_path)).count() == 12
 
 
 def test_written_maps_keep_masks(spark, tmp_path):
@@ -43,3 +51,109 @@ def test_written_maps_keep_masks(spark, tmp_path):
     assert rows[0].bbox_m == ["1.30", "2.10", "1.50", "2.30"] and rows[0].bbox_xywh_m == ["1.30", "2.10", "0.20", "0.20"]
     b = stats.map_bounds(m.withColumnRenamed("mask_coords_m", "coords"), ["scene_id"]).first()
     assert (b.x0, b.x1, b.y0, b.y1) == (1.05, 1.45, 2.05, 2.25)
+
+
+def test_parts_of_many_rows_with_a_payload(spark):
+    """Ranges are sampled above some size; places still run through without gaps."""
+    n = 1_200_000
+    rows = spark.range(n).repartition(9).withColumn("payload", F.sha2(F.col("id").cast("string"), 256))
+    placed = selection.parts_of(rows, 10_000, [F.xxhash64("id"), F.col("id")]).select("place", "part")
+    assert tuple(placed.agg(F.count_distinct("place"), F.min("place"), F.max("place")).first()) == (n, 0, n - 1)
+    assert {r["count"] for r in placed.groupBy("part").count().collect()} == {10_000}
+
+
+def test_files_are_found_by_the_first_pattern(spark):
+    names = ["839", "12", "8391", "a", "0042_x", "none"]
+    files = ["839.usd", "839.usda", "x12y.usd", "8391.usda", "12.usda.bak", "2D_Semantic_Map_1_839_Complete.json", "2D_Semantic_Map_839_Complete.json", "q_12_Complete.json", "zz8391zz.json", "2D_Semantic_Map_7_8391_Complete.json", "a.json", "2D_Semantic_Map_0042_x_Complete.json", "2D_Semantic_Map_3_0042_x_Complete.json", "_a_Complete.json", ".usda"]
+    for patterns in (joins.SCENE_FILES, joins.MAP_FILES):
+        found = joins.ranked_match(spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame([(f,) for f in files], "file string"), "n", patterns)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        want = {}
+        for n in names:
+            fits = [(k, f) for k, p in enumerate(patterns) for f in files if fnmatch.fnmatchcase(f, p.replace("{}", n))]
+            if fits:
+                want[n] = min(fits)
+        assert {r.n: (r["rank"], r.file) for r in found.collect()} == want
+
+
+def test_waypoints_near_and_far(spark):
+    rng = random.Random(1)
+    w = [(k, i, rng.uniform(0, 100) if k else rng.choice([0.0, 1e6]), rng.uniform(0, 100)) for k in range(3) for i in range([5, 200, 40][k])]
+    p = [(k, i, rng.uniform(-500, 500), rng.uniform(-50, 500)) for k in range(4) for i in range(80)] + [(1, 900, w[7][2], w[7][3]), (1, 901, None, 0.0)]
+    got = joins.nearest_waypoint(spark.createDataFrame(p, "k int, position_id int, x double, y double"), spark.createDataFrame(w, "k int, seq int, x double, y double"), "k").collect()
+    want = {(k, i): min((math.hypot(x - a, y - b), q) for kk, q, a, b in w if kk == k)[1] for k, i, x, y in p if k < 3 and x is not None}
+    assert {(r.k, r.position_id): r.nearest for r in got} == want
+
+
+def test_components_of_many_cells():
+    rng = np.random.default_rng(2)
+    cells = np.unique(rng.integers(0, 60, (1800, 2)), axis=0)
+    rng.shuffle(cells)
+    for offsets in (grid.FOUR, grid.EIGHT):
+        found, n, left = {}, 0, {tuple(c) for c in cells.tolist()}
+        for c in sorted(left):
+            if c in left:
+                n += 1
+                todo = [c]
+                left.discard(c)
+                while todo:
+                    r, k = todo.pop()
+                    found[r, k] = n
+                    for a, b in offsets:
+                        if (r + a, k + b) in left:
+                            left.discard((r + a, k + b))
+                            todo.append((r + a, k + b))
+        assert grid.labelled(cells[:, 0], cells[:, 1], offsets).tolist() == [found[tuple(c)] for c in cells.tolist()]
+
+
+def plain_moves(moves, blocked, scale):
+    """Step by step, as an agent would walk."""
+    out = {}
+    for i, x, y, dx, dy in moves:
+        taken = lambda a, b: (round(b / scale), round(a / scale)) in blocked
+        d = math.hypot(dx, dy)
+        px, py = x, y
+        if d > 0:
+            ux, uy = dx / d, dy / d
+            n, k = int(min(d, 0.2) / 0.01 + 1e-9), 0
+            while k < n and not taken(x + ux * 0.01 * (k + 1), y + uy * 0.01 * (k + 1)):
+                k += 1
+            px, py = x + ux * 0.01 * k, y + uy * 0.01 * k
+            if n and not k:
+                tries = [(x + a * 0.005 * j, y + b * 0.005 * j) for j in range(1, 11) for a, b in ((-uy, ux), (uy, -ux), (ux, uy), (-ux, -uy))]
+                px, py = next((t for t in tries if not taken(*t)), (x, y))
+        out[i] = (pytest.approx(px), pytest.approx(py), pytest.approx(math.hypot(px - x, py - y), abs=1e-12))
+    return out
+
+
+def test_moves_stop_before_obstacles(spark, monkeypatch):
+    monkeypatch.setattr(grid, "MOVES", 40)
+    rng = random.Random(4)
+    blocked = {(rng.randrange(-3, 20), rng.randrange(-3, 20)) for _ in range(150)}
+    moves = [(i, rng.uniform(-0.3, 1.7), rng.uniform(-0.3, 1.7), rng.choice([0.0, rng.uniform(-0.4, 0.4)]), rng.choice([0.0, rng.uniform(-0.4, 0.4)])) for i in range(300)]
+    rows = [("s", *m) for m in moves] + [("t", 900, 0.0, 0.0, 0.1, 0.0), ("s", 901, None, 0.0, 0.1, 0.0)]
+    b = spark.createDataFrame([("s", r, c) for r, c in blocked], "scene_id string, row int, col int")
+    got = {r.move_id: (r.x, r.y, r.moved) for r in grid.safe_moves(spark.createDataFrame(rows, "scene_id string, move_id int, x double, y double, dx double, dy double"), b, 0.1).collect()}
+    assert got.pop(901) == (None, None, None) and got.pop(900) == (pytest.approx(0.1), 0.0, pytest.approx(0.1))
+    assert got == plain_moves(moves, blocked, 0.1)
+
+
+def test_items_are_connected_by_their_component(spark):
+    parts = spark.createDataFrame([("s", 0, 0, 1), ("s", 0, 1, 1), ("s", 5, 5, 2)], "scene_id string, row int, col int, component int")
+    items = spark.createDataFrame([("s", "a", 0, 0), ("s", "b", 0, 1), ("s", "c", 5, 5), ("s", "d", 9, 9)], "scene_id string, item_id string, row int, col int")
+    members = grid.connected_items(items, parts)
+    pairs = spark.createDataFrame([("s", x, y) for x in "abcd" for y in "abcd" if x != y], "scene_id string, start string, end string")
+    assert {(r.start, r.end) for r in grid.connected(pairs, members).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session())

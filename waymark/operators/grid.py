@@ -2,21 +2,21 @@
 
 grid(scene_id, row, col, v) is the long form of a grayscale image; scenes have
 their own extent (x0, y0, scale, h, w).  What needs a whole grid at once runs
-per scene, whose grid has a bounded size.
+per scene, whose grid has a bounded size; many requests of one scene are split,
+each part with the grid as bits.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import covered, to_pixel, unmirrored
+from ..functions.geometry import covered, grid_size, to_pixel, unmirrored
 from ..functions.text import normalised_label
 
 #: Radii in metres, least area of an unusable area, wall height, obstacle labels.
@@ -24,6 +24,8 @@ PLANNER_RADIUS, LEAST_AREA, WALL_HEIGHT, TOLERANCE = 0.2, 5, 3.0, 2
 OBSTACLES = ["wall", "unable area"]
 #: Labels with a fixed category, from 1 on.
 CLASSES = ["door", "window", "chair", "table", "sofa", "bed", "wardrobe", "plant", "floor", "wall", "ceiling"]
+#: Path requests and moves of a scene that go to one task.
+REQUESTS, MOVES = 200, 50_000
 FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -67,35 +69,53 @@ def mask_summary(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def labelled(rows: np.ndarray, cols: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
-    """Component of each cell, from 1 on in the order of the first cell by rows and columns."""
-    cells = sorted(zip(rows.tolist(), cols.tolist(), strict=True))
-    left, found, n = set(cells), {}, 0
-    for c in cells:
-        if c not in left:
-            continue
-        n += 1
-        left.discard(c)
-        queue = deque([c])
-        while queue:
-            r, k = queue.popleft()
-            found[r, k] = n
-            for dr, dk in offsets:
-                near = (r + dr, k + dk)
-                if near in left:
-                    left.discard(near)
-                    queue.append(near)
-    return np.array([found[c] for c in zip(rows.tolist(), cols.tolist(), strict=True)], dtype=np.int64)
+    """Component of each of different cells, from 1 on in the order of the first cell by rows and columns.
+
+    Labels are hooked to the smallest of a neighbour and followed to their roots, for all cells at once.
+    """
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64)
+    width = int(cols.max() - cols.min()) + 3
+    key = (rows - rows.min()).astype(np.int64) * width + (cols - cols.min())
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    one, two = [], []
+    for dr, dk in offsets:
+        if (dr, dk) > (0, 0):
+            at = np.searchsorted(key, key + dr * width + dk)
+            at[at == len(key)] = 0
+            hit = np.flatnonzero(key[at] == key + dr * width + dk)
+            one.append(hit)
+            two.append(at[hit])
+    a, b = np.concatenate(one), np.concatenate(two)
+    label = np.arange(len(key))
+    while len(a):
+        la, lb = label[a], label[b]
+        differ = la != lb
+        if not differ.any():
+            break
+        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+    found = np.empty(len(key), dtype=np.int64)
+    found[order] = np.unique(label, return_inverse=True)[1] + 1
+    return found
 
 
 def components(cells: DataFrame, diagonal: bool) -> DataFrame:
-    """(scene_id, row, col, component) of cells(scene_id, row, col): connected by sides, or by corners too."""
+    """(scene_id, row, col, component) of cells(scene_id, row, col): connected by sides, or by corners too.
+
+    A scene's cells, which its image bounds, are one task's.
+    """
     offsets = EIGHT if diagonal else FOUR
     kind = cells.schema["scene_id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(component=labelled(pdf["row"].to_numpy(), pdf["col"].to_numpy(), offsets))
+    def run(table: pa.Table) -> pa.Table:
+        return table.append_column("component", pa.array(labelled(table["row"].to_numpy(), table["col"].to_numpy(), offsets)))
 
-    return cells.select("scene_id", F.col("row").cast("long"), F.col("col").cast("long")).distinct().groupBy("scene_id").applyInPandas(run, f"scene_id {kind}, row long, col long, component long")
+    rows = cells.select("scene_id", F.col("row").cast("long"), F.col("col").cast("long")).where("scene_id is not null and row is not null and col is not null").distinct()
+    return rows.groupBy("scene_id").applyInArrow(run, f"scene_id {kind}, row long, col long, component long")
 
 
 def area_instances(cells: DataFrame, label: str, height: float, least: int = 1) -> DataFrame:
@@ -166,6 +186,33 @@ def inflated(cells: DataFrame, radius: float = PLANNER_RADIUS, scale: float = 0.
     return spread.select(by, (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).distinct()
 
 
+def map_extent(instances: DataFrame, scale: float = 0.05) -> DataFrame:
+    """(scene_id, x0, y0, scale, h, w) of the grid that the coords ([y, x] in metres) of all instances(scene_id, coords) span."""
+    at = instances.select("scene_id", F.explode("coords").alias("c")).where(F.col("c")[0].isNotNull() & F.col("c")[1].isNotNull())
+    y, x = F.col("c")[0], F.col("c")[1]
+    ends = at.groupBy("scene_id").agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    return ends.select("scene_id", "x0", "y0", F.lit(scale).alias("scale"), grid_size(F.col("y0"), F.col("y1"), scale).alias("h"), grid_size(F.col("x0"), F.col("x1"), scale).alias("w"))
+
+
+def mask_cells(instances: DataFrame, extent: DataFrame) -> DataFrame:
+    """(scene_id, item_id, row, col): the cells of extent() that the coords of instances(scene_id, item_id, coords) lie nearest to."""
+    at = instances.select("scene_id", "item_id", F.explode("coords").alias("c")).join(extent, "scene_id")
+    near = lambda k, low: F.bround((F.col("c")[k] - F.col(low)) / F.col("scale")).cast("int")
+    found = at.select("scene_id", "item_id", near(0, "y0").alias("row"), near(1, "x0").alias("col"), "h", "w")
+    return found.where("row >= 0 and row < h and col >= 0 and col < w").drop("h", "w").distinct()
+
+
+def obstacles(instances: DataFrame) -> DataFrame:
+    """Of instances(label, ...) those that block the way."""
+    return instances.where(F.lower("label").isin(OBSTACLES))
+
+
+def obstacle_cells(instances: DataFrame, extent: DataFrame, radius: float = PLANNER_RADIUS, scale: float = 0.05) -> DataFrame:
+    """(scene_id, row, col) within the radius of walls and unusable areas of instances(scene_id, label, item_id, coords), inside the grid."""
+    near = inflated(mask_cells(obstacles(instances), extent).select("scene_id", "row", "col").distinct(), radius, scale)
+    return near.join(extent.select("scene_id", "h", "w"), "scene_id").where("row >= 0 and row < h and col >= 0 and col < w").drop("h", "w")
+
+
 def boundary(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of a mask that have a side neighbour outside it."""
     sides = cells.withColumn("o", F.explode(_offsets(FOUR))).select(*keys, "row", "col", (F.col("row") + F.col("o.i")).alias("r2"), (F.col("col") + F.col("o.j")).alias("c2"))
@@ -265,41 +312,96 @@ def nearest_free(free: np.ndarray, mask: list[tuple[int, int]], toward: tuple[fl
     return second
 
 
+def bitmaps(blocked: DataFrame) -> DataFrame:
+    """(scene_id, row0, col0, high, wide, bits) of blocked(scene_id, row, col): one bit for each cell of the box that they span."""
+    kind = blocked.schema["scene_id"].dataType.simpleString()
+
+    def run(key, table):
+        row, col = (table[c].to_numpy().astype(np.int64) for c in ("row", "col"))
+        low = row.min(), col.min()
+        grid = np.zeros((row.max() - low[0] + 1, col.max() - low[1] + 1), dtype=bool)
+        grid[row - low[0], col - low[1]] = True
+        own = [key[0].as_py(), int(low[0]), int(low[1]), *grid.shape, np.packbits(grid).tobytes()]
+        return pa.table([pa.array([x], t) for x, t in zip(own, [key[0].type, *[pa.int64()] * 4, pa.binary()], strict=True)], names=["scene_id", "row0", "col0", "high", "wide", "bits"])
+
+    cells = blocked.select("scene_id", F.col("row").cast("long"), F.col("col").cast("long")).where("scene_id is not null and row is not null and col is not null").distinct()
+    return cells.groupBy("scene_id").applyInArrow(run, f"scene_id {kind}, row0 long, col0 long, high long, wide long, bits binary")
+
+
+class Bitmap:
+    """A scene's blocked cells; free outside of their box."""
+
+    def __init__(self, table: pa.Table):
+        self.grid, self.low = np.zeros((1, 1), dtype=bool), (0, 0)
+        if table.num_rows:
+            r = table.slice(0, 1).to_pylist()[0]
+            if r["bits"] is not None:
+                n = r["high"] * r["wide"]
+                self.grid = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=n).astype(bool).reshape(r["high"], r["wide"])
+                self.low = r["row0"], r["col0"]
+
+    def taken(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        r, c = row - self.low[0], col - self.low[1]
+        inside = (r >= 0) & (r < self.grid.shape[0]) & (c >= 0) & (c < self.grid.shape[1])
+        return inside & self.grid[np.where(inside, r, 0), np.where(inside, c, 0)]
+
+    def free(self, h: int, w: int) -> np.ndarray:
+        """The cells of an h x w grid that are not blocked."""
+        out = np.ones((h, w), dtype=bool)
+        r, c = np.nonzero(self.grid)
+        r, c = r + self.low[0], c + self.low[1]
+        inside = (r >= 0) & (r < h) & (c >= 0) & (c < w)
+        out[r[inside], c[inside]] = False
+        return out
+
+
+def _dealt(rows: DataFrame, key: str, size: int, grids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows and grids by (scene_id, bucket): about size rows of a scene in each bucket, and its grid, one row, with them."""
+    n = rows.groupBy("scene_id").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+    dealt = rows.join(n, "scene_id").withColumn("bucket", F.pmod(F.xxhash64(key), "n").cast("int")).drop("n")
+    return dealt, grids.join(n, "scene_id").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+
+
 def planned_paths(requests: DataFrame, blocked: DataFrame, extent: DataFrame) -> DataFrame:
     """(scene_id, pair_id, cost, cells) of the shortest paths for requests(scene_id, pair_id, start array<struct<row, col>>,
     goal) of masks, over the cells of extent(scene_id, h, w) that blocked(scene_id, row, col) leaves free.  cost is null without a path.
 
-    Each scene's grid is laid out once.  A path goes from the free cell nearest
-    to the start mask on the goal's side to that nearest to the goal mask.
+    A path goes from the free cell nearest to the start mask on the goal's side
+    to that nearest to the goal mask.  A scene's requests are dealt out REQUESTS
+    at a time, each lot with the scene's grid as bits.
     """
     kind = requests.schema["scene_id"].dataType.simpleString()
-    walls = blocked.groupBy("scene_id").agg(F.collect_list(F.struct("row", "col")).alias("cells"))
-    grids = extent.select("scene_id", "h", "w").join(walls, "scene_id", "left")
     pair = requests.schema["pair_id"].dataType.simpleString()
+    grids = extent.select("scene_id", "h", "w").join(bitmaps(blocked), "scene_id", "left")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left, right):
         out = []
-        if len(right):
-            g = right.iloc[0]
-            free = np.ones((int(g["h"]), int(g["w"])), dtype=bool)
-            for c in g["cells"] if g["cells"] is not None else []:
-                if 0 <= c["row"] < free.shape[0] and 0 <= c["col"] < free.shape[1]:
-                    free[c["row"], c["col"]] = False
-            for r in left.itertuples():
-                masks = [[(c["row"], c["col"]) for c in m] for m in (r.start, r.goal)]
+        if right.num_rows:
+            size = right.slice(0, 1).to_pylist()[0]
+            free = Bitmap(right).free(size["h"], size["w"])
+            for r in left.select(["scene_id", "pair_id", "start", "goal"]).to_pylist():
+                masks = [[(c["row"], c["col"]) for c in m or []] for m in (r["start"], r["goal"])]
                 ends = [nearest_free(free, masks[k], tuple(np.mean(masks[1 - k], axis=0))) for k in (0, 1)] if all(masks) else [None, None]
                 cost, path = search(free, *ends) if all(e is not None for e in ends) else (math.inf, [])
-                out.append((r.scene_id, r.pair_id, None if math.isinf(cost) else cost, [{"row": int(a), "col": int(b)} for a, b in path]))
-        return pd.DataFrame(out, columns=["scene_id", "pair_id", "cost", "cells"])
+                out.append((r["scene_id"], r["pair_id"], None if math.isinf(cost) else cost, [{"row": int(a), "col": int(b)} for a, b in path]))
+        kinds = [left.schema.field("scene_id").type, left.schema.field("pair_id").type, pa.float64(), pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32())]))]
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["scene_id", "pair_id", "cost", "cells"])
 
     schema = f"scene_id {kind}, pair_id {pair}, cost double, cells array<struct<row:int,col:int>>"
-    return requests.groupBy("scene_id").cogroup(grids.groupBy("scene_id")).applyInPandas(run, schema)
+    left, right = _dealt(requests, "pair_id", REQUESTS, grids)
+    return left.groupBy("scene_id", "bucket").cogroup(right.groupBy("scene_id", "bucket")).applyInArrow(run, schema)
+
+
+def connected_items(items: DataFrame, parts: DataFrame) -> DataFrame:
+    """(scene_id, item_id, component) of items(scene_id, item_id, row, col) on parts(scene_id, row, col, component); items are connected if they agree in it."""
+    return items.join(parts, ["scene_id", "row", "col"]).select("scene_id", "item_id", "component").distinct()
 
 
-def connected_pairs(items: DataFrame, parts: DataFrame) -> DataFrame:
-    """(scene_id, one, two) of items(scene_id, item_id, row, col) in one component of parts(scene_id, row, col, component)."""
-    at = items.join(parts, ["scene_id", "row", "col"]).select("scene_id", "component", "item_id")
-    return at.withColumnRenamed("item_id", "one").join(at.withColumnRenamed("item_id", "two"), ["scene_id", "component"]).where("one < two").select("scene_id", "one", "two")
+def connected(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of pairs(scene_id, start, end) those whose items have a component of connected_items() in common."""
+    one = members.select("scene_id", F.col("item_id").alias("start"), "component")
+    two = members.select("scene_id", F.col("item_id").alias("end"), "component")
+    return pairs.join(one, ["scene_id", "start"]).join(two, ["scene_id", "end", "component"]).select(*pairs.columns).distinct()
 
 
 def nearest_cell(x: Column, y: Column, x0: float, y0: float, scale: float) -> tuple[Column, Column]:
@@ -309,26 +411,39 @@ def nearest_cell(x: Column, y: Column, x0: float, y0: float, scale: float) -> tu
 
 def safe_moves(moves: DataFrame, blocked: DataFrame, scale: float, step: float = 0.01, most: float = 0.20, probe: float = 0.005, aside: float = 0.05) -> DataFrame:
     """(scene_id, move_id, x, y, moved) of moves(scene_id, move_id, x, y, dx, dy): steps of 1 cm, up to 20 cm, while the cell is free;
-    if not even the first is, the nearest free place up to 5 cm to one of four sides."""
-    walls = blocked.groupBy("scene_id").agg(F.collect_set(F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))).alias("cells"))
+    if not even the first is, the nearest free place up to 5 cm to one of four sides.
+
+    A scene's moves are dealt out MOVES at a time, each lot with the scene's grid
+    as bits, and walk together.  A move with a null stays null.
+    """
     kinds = {c: moves.schema[c].dataType.simpleString() for c in ("scene_id", "move_id")}
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cells = {(c["row"], c["col"]) for c in right.iloc[0]["cells"]} if len(right) else set()
-        taken = lambda x, y: (round(y / scale), round(x / scale)) in cells
-        out = []
-        for m in left.itertuples():
-            d = math.hypot(m.dx, m.dy)
-            x, y = m.x, m.y
-            if d > 0:
-                ux, uy = m.dx / d, m.dy / d
-                n = int(min(d, most) / step + 1e-9)
-                k = next((i - 1 for i in range(1, n + 1) if taken(m.x + ux * step * i, m.y + uy * step * i)), n)
-                x, y = m.x + ux * step * k, m.y + uy * step * k
-                if n and not k:
-                    tries = [(m.x + a * probe * i, m.y + b * probe * i) for i in range(1, round(aside / probe) + 1) for a, b in ((-uy, ux), (uy, -ux), (ux, uy), (-ux, -uy))]
-                    x, y = next((t for t in tries if not taken(*t)), (m.x, m.y))
-            out.append((m.scene_id, m.move_id, x, y, math.hypot(x - m.x, y - m.y)))
-        return pd.DataFrame(out, columns=["scene_id", "move_id", "x", "y", "moved"])
-
-    return moves.groupBy("scene_id").cogroup(walls.groupBy("scene_id")).applyInPandas(run, f"scene_id {kinds['scene_id']}, move_id {kinds['move_id']}, x double, y double, moved double")
+    def run(left, right):
+        walls = Bitmap(right)
+        x, y, dx, dy = (left[c].cast(pa.float64()).to_numpy(zero_copy_only=False) if not left[c].null_count else np.array([np.nan if v is None else v for v in left[c].to_pylist()], dtype=float) for c in ("x", "y", "dx", "dy"))
+        known = np.isfinite(x + y + dx + dy)
+        cell = lambda v: np.rint(np.where(known, v, 0) / scale).astype(np.int64)
+        taken = lambda a, b: walls.taken(cell(b), cell(a))
+        d = np.hypot(dx, dy)
+        go = known & (d > 0)
+        ux, uy = (np.divide(v, d, out=np.zeros(len(d)), where=go) for v in (dx, dy))
+        n = np.where(go, (np.minimum(np.where(go, d, 0), most) / step + 1e-9).astype(np.int64), 0)
+        k, open_ = np.zeros(len(d), dtype=np.int64), n > 0
+        for i in range(1, int(n.max(initial=0)) + 1):
+            open_ &= (i <= n) & ~taken(x + ux * step * i, y + uy * step * i)
+            k[open_] = i
+        nx, ny = x + ux * step * k, y + uy * step * k
+        stuck = (n > 0) & (k == 0)
+        for i in range(1, round(aside / probe) + 1):
+            for a, b in ((-uy, ux), (uy, -ux), (ux, uy), (-ux, -uy)):
+                if not stuck.any():
+                    break
+                tx, ty = x + a * probe * i, y + b * probe * i
+                hit = stuck & ~taken(tx, ty)
+                nx[hit], ny[hit] = tx[hit], ty[hit]
+                stuck &= ~hit
+        none = lambda v: pa.array(v, pa.float64(), mask=~known)
+        return pa.table([left["scene_id"], left["move_id"], none(nx), none(ny), none(np.hypot(nx - x, ny - y))], names=["scene_id", "move_id", "x", "y", "moved"])
+
+    left, right = _dealt(moves.select("scene_id", "move_id", "x", "y", "dx", "dy"), "move_id", MOVES, bitmaps(blocked))
+    return left.groupBy("scene_id", "bucket").cogroup(right.groupBy("scene_id", "bucket")).applyInArrow(run, f"scene_id {kinds['scene_id']}, move_id {kinds['move_id']}, x double, y double, moved double")

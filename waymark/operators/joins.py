@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box_centre, in_box
 from ..functions.text import any_of, tail_id
+from ..scratch import written
 
 #: Groups of labels that mean much the same.
 SIMILAR = [
@@ -151,10 +152,37 @@ def object_success(agents: DataFrame, objects: DataFrame, radius: float = 1.0, t
 
 
 def nearest_waypoint(positions: DataFrame, waypoints: DataFrame, by: str) -> DataFrame:
-    """positions(by, position_id, x, y) with the closest of waypoints(by, seq, x, y), the first of equals."""
-    w = waypoints.select(by, "seq", F.col("x").alias("wx"), F.col("y").alias("wy"))
-    d = F.hypot(F.col("x") - F.col("wx"), F.col("y") - F.col("wy"))
-    return positions.join(w, by).groupBy(by, "position_id").agg(F.min_by("seq", F.struct(d, "seq")).alias("nearest"), F.min(d).alias("distance"))
+    """positions(by, position_id, x, y) with the closest of waypoints(by, seq, x, y), the first of equals.
+
+    Positions of a key without a waypoint give no row.  Square cells, of a width
+    that gives each key about one waypoint a cell, meet their neighbours; a
+    position whose closest one there is within a cell's width is settled, the
+    others go on with cells four times as wide, until a cell is as wide as
+    the key's extent.
+    """
+    w = waypoints.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(by, "seq", F.col("x").alias("wx"), F.col("y").alias("wy"))
+    p = positions.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(by, "position_id", "x", "y")
+    ends = lambda f, c, d: f(F.coalesce(c, d))
+    both = p.select(by, "x", "y", F.lit(0).alias("n")).unionByName(w.select(by, F.col("wx").alias("x"), F.col("wy").alias("y"), F.lit(1).alias("n")))
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    cells = both.groupBy(by).agg(ends(F.sum, F.col("n"), F.lit(0)).alias("n"), extent.alias("extent")).where("n > 0")
+    cells = written(cells.select(by, "extent", (F.col("extent") / F.sqrt("n") + 1e-9).alias("cell")), "extents", few=True)
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    found, scale = None, 1
+    while True:
+        size = F.col("cell") * scale
+        at = lambda c: F.floor(F.col(c) / size)  # noqa: E731, B023
+        one = p.join(cells, by).withColumn("o", F.explode(around))
+        one = one.select(by, "position_id", "x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"), size.alias("size"), (size > F.col("extent")).alias("last"))
+        two = w.join(cells, by).select(by, "seq", "wx", "wy", at("wx").alias("cx"), at("wy").alias("cy"))
+        d = F.hypot(F.col("x") - F.col("wx"), F.col("y") - F.col("wy"))
+        best = one.join(two, [by, "cx", "cy"]).groupBy(by, "position_id", "size", "last").agg(F.min_by("seq", F.struct(d, "seq")).alias("nearest"), F.min(d).alias("distance"))
+        done = written(best.where("last or distance <= size").select(by, "position_id", "nearest", "distance"), "nearest", few=True)
+        found = done if found is None else found.unionByName(done)
+        p = written(p.join(cells.select(by), by, "left_semi").join(done, [by, "position_id"], "left_anti"), "far", few=True)
+        if p.isEmpty():
+            return found
+        scale *= 4
 
 
 def correspondence(endpoints: DataFrame, trajectories: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,16 +199,43 @@ def with_default(rows: DataFrame, found: DataFrame, keys: list[str], defaults: d
     return out.withColumns({c: F.when(F.col("__hit").isNull(), v).otherwise(F.col(c)) for c, v in defaults.items()}).drop("__hit")
 
 
-def ranked_match(wanted: DataFrame, files: DataFrame, name: str, rules: list) -> DataFrame:
-    """wanted(name) with the file of files(file) that the first matching rule finds; of equals the first by name.
+#: Names of a scene's file and of its map, the preferred first; {} is the scene, * any text.
+SCENE_FILES = ["{}.usda", "{}.usd", "*{}*.usda", "*{}*.usd"]
+MAP_FILES = ["2D_Semantic_Map_*_{}_Complete.json", "2D_Semantic_Map_{}_Complete.json", "*_{}_Complete.json", "*{}*.json"]
+
+
+def ranked_match(wanted: DataFrame, files: DataFrame, name: str, patterns: list[str]) -> DataFrame:
+    """wanted(name) with file, that of files(file) which the first fitting pattern finds, and rank, the pattern's place; of equals the first by name.
 
-    rules: functions of the two columns.  Broadcast only by Spark's own size check.
+    In a pattern, {} stands for the name and * for any text.  A file gives a key
+    for each text that a name could be: the one that a pattern without * leaves,
+    the ends after each place where what a pattern has around {} may stand, or
+    all parts between the lengths of the shortest and the longest name.  Names
+    then meet files on equal keys.  A name without a file gives no row.
     """
-    rank = F.lit(None).cast("int")
-    for k, rule in reversed(list(enumerate(rules))):
-        rank = F.when(rule(F.col(name), F.col("file")), F.lit(k)).otherwise(rank)
-    found = wanted.join(files, rank.isNotNull()).withColumn("rank", rank)
-    return found.groupBy(*wanted.columns).agg(F.min(F.struct("rank", "file")).alias("m")).select(*wanted.columns, "m.file", "m.rank")
+    low, high = wanted.agg(F.coalesce(F.min(F.length(name)), F.lit(0)), F.coalesce(F.max(F.length(name)), F.lit(0))).first()
+    found = None
+    for rank, pattern in enumerate(patterns):
+        before, after = pattern.split("{}")
+        head, free = before.rstrip("*").split("*")[0], before.startswith("*") or "*" in before
+        lead = before.rsplit("*", 1)[-1]  # what stands right before the name
+        tail, loose = after.lstrip("*"), after.startswith("*")
+        f = F.col("file")
+        body = F.expr(f"substring(file, 1, length(file) - {len(tail)})")
+        fits = f.startswith(head) & f.endswith(tail) & (F.length(f) >= len(head) + len(tail))
+        starts = F.array(F.lit(len(head) + 1)) if not free else F.sequence(F.lit(len(head) + 1), F.greatest(F.lit(len(head) + 1), F.length(body) + 1))
+        lengths = F.sequence(F.lit(low), F.lit(high))
+        if loose:
+            parts = F.flatten(F.transform(starts, lambda i: F.transform(lengths, lambda n: F.struct(i.alias("i"), n.alias("n")))))  # noqa: B023
+        else:
+            parts = F.transform(starts, lambda i: F.struct(i.alias("i"), (F.length(body) - i - len(lead) * int(free) + 1).alias("n")))  # noqa: B023
+        skip = len(lead) if free else 0
+        good = lambda x: (x["n"] >= low) & (x["n"] <= high) & (F.substring(body, x["i"], F.lit(skip)) == lead if skip else F.lit(True)) & (x["i"] + skip + x["n"] - 1 <= F.length(body))  # noqa: E731, B023
+        keys = F.array_distinct(F.transform(F.filter(parts, good), lambda x: F.substring(body, x["i"] + skip, x["n"])))  # noqa: B023
+        one = files.where(fits).select("file", F.explode(keys).alias(name), F.lit(rank).alias("rank"))
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy(name).agg(F.min(F.struct("rank", "file")).alias("m"))
+    return wanted.join(best, name).select(*wanted.columns, "m.file", "m.rank")
 
 
 def first_by_pattern(files: DataFrame, patterns: list[str]) -> DataFrame:

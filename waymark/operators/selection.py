@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def shuffled_order(*keys: str, seed: int = 42) -> Column:
     """A stable random order."""
@@ -107,17 +109,20 @@ def unseen_trajectories(trajectories: DataFrame, target: int, n_scenes: int, ord
 def parts_of(rows: DataFrame, size: int, order: list) -> DataFrame:
     """rows with part and place: parts of exactly size rows, but for the last, in order.
 
-    Rows are ranked within ranges of the order and the ranges' counts summed, so no task holds all rows.
+    Rows are ranked within ranges of the order and the ranges' counts summed, so
+    no task holds all rows.  The ranged rows are written once, as ranges drawn
+    twice would have different bounds.  Rows that are equal in order have their
+    places in no order of their own.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
-    ranged = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("__m")) - 1)
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
+    ranged = written(ranged.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}), "ranges")
+    counts = ranged.groupBy("__p").agg(F.count("*").alias("__c"), F.min("__m").alias("__first"))  # one row for each partition
     before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranged.join(F.broadcast(before.select("__p", "__b")), "__p").withColumn("place", F.col("__b") + F.col("__i"))
-    return placed.withColumn("part", F.floor(F.col("place") / size)).drop("__p", "__m", "__i", "__b")
+    # numbers within a partition have no gaps
+    placed = ranged.join(F.broadcast(before.select("__p", "__b", "__first")), "__p").withColumn("place", F.col("__b") + F.col("__m") - F.col("__first"))
+    return placed.withColumn("part", F.floor(F.col("place") / size)).drop("__p", "__m", "__b", "__first")
 
 
 def chunks(rows: DataFrame, size: int, by: list[str], order: list, value: str) -> DataFrame:
@@ -164,9 +169,9 @@ def splits(scenes: DataFrame, trajectories: DataFrame, val: int, unseen: int, ta
     scene_unseen = balanced_scenes(scenes, unseen).select("scene_id")
     left = scenes.join(scene_unseen, "scene_id", "left_anti")
     held = balanced_scenes(left, val).select("scene_id")
-    scene_unseen, held = scene_unseen.persist(), held.persist()  # read by every split; recomputed if lost
-    train = trajectories.join(scene_unseen, "scene_id", "left_anti").join(held, "scene_id", "left_anti").persist()
-    by_trajectory = unseen_trajectories(train, target, n_scenes).persist()
+    scene_unseen, held = written(scene_unseen, "unseen", few=True), written(held, "held", few=True)  # read by every split
+    train = trajectories.join(scene_unseen, "scene_id", "left_anti").join(held, "scene_id", "left_anti")
+    by_trajectory = written(unseen_trajectories(train, target, n_scenes), "by_trajectory", few=True)
     other = train.join(by_trajectory.select("scene_id").distinct(), "scene_id", "left_anti")
     some = other.select("scene_id").distinct().orderBy(F.xxhash64("scene_id", F.lit(8)), "scene_id").limit(n_scenes)
     quota = max(1, target // max(1, n_scenes))

@@ -1,7 +1,8 @@
 """Queries on grids and paths.
 
 Analogy: a scene is an event type, its obstacle cells are (props.k, value) of
-events on a 100 x 100 grid.
+its events on a 100 x 100 grid, and points are events with k mirrored.  Where
+parts of a grid are told apart, a scene is a user, on a 10 x 10 grid.
 """
 
 from __future__ import annotations
@@ -12,22 +13,23 @@ from pyspark.sql import functions as F
 from ..operators import grid
 from .catalogue import query, table
 
-CELLS = "c AS (SELECT DISTINCT event_type AS scene_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS row, CAST(floor(least(value, 99)) AS INTEGER) AS col FROM events WHERE event_id % 4 = 0)"
+CELLS = "c AS (SELECT DISTINCT event_type AS scene_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS row, CAST(floor(least(value, 99)) AS INTEGER) AS col FROM events)"
+PATCHES = "c AS (SELECT DISTINCT user_id AS scene_id, CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS row, CAST(floor(least(value, 99)) AS INTEGER) // 10 AS col FROM events)"
 H = W = 100
 DISK = "d AS (SELECT i, j FROM (SELECT unnest(range(-4, 5)) AS i), (SELECT unnest(range(-4, 5)) AS j) WHERE i * i + j * j <= 16)"
 
 
-def _cells(events: DataFrame) -> DataFrame:
-    return events.select(F.col("event_type").alias("scene_id"), F.get_json_object("props", "$.k").cast("int").alias("row"), F.floor(F.least("value", F.lit(99))).cast("int").alias("col")).distinct()
-
-
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of CELLS, which are those of a quarter of the events."""
-    return _cells(table(spark, sf_dir, "events").where("event_id % 4 = 0"))
+    """The cells of CELLS."""
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.floor(F.least("value", F.lit(99))).cast("int")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("scene_id"), k.alias("row"), v.alias("col")).distinct()
 
 
-def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(table(spark, sf_dir, "events"))
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of PATCHES."""
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.floor(F.least("value", F.lit(99))).cast("int")
+    tenth = lambda c: F.floor(c / 10).cast("int")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("scene_id"), tenth(k).alias("row"), tenth(v).alias("col")).distinct()
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +57,14 @@ def wall_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _components(name: str, near: str, diagonal: bool) -> None:
-    sql = f"""WITH RECURSIVE {CELLS}, e AS (SELECT a.scene_id, a.row AS r1, a.col AS c1, b.row AS r2, b.col AS c2 FROM c a JOIN c b ON a.scene_id = b.scene_id AND {near}),
+    sql = f"""WITH RECURSIVE {PATCHES}, e AS (SELECT a.scene_id, a.row AS r1, a.col AS c1, b.row AS r2, b.col AS c2 FROM c a JOIN c b ON a.scene_id = b.scene_id AND {near}),
 reach(scene_id, row, col, r0, c0) AS (SELECT scene_id, row, col, row, col FROM c UNION SELECT x.scene_id, x.row, x.col, e.r2, e.c2 FROM reach x JOIN e ON e.scene_id = x.scene_id AND e.r1 = x.r0 AND e.c1 = x.c0),
 f AS (SELECT scene_id, row, col, min((r0, c0)) AS first FROM reach GROUP BY ALL)
 SELECT scene_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, dense_rank() OVER (PARTITION BY scene_id ORDER BY first) AS component FROM f"""
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return grid.components(cells(spark, sf_dir), diagonal)
+        return grid.components(patches(spark, sf_dir), diagonal)
 
 
 _components("components_by_sides", "abs(a.row - b.row) + abs(a.col - b.col) = 1", False)
@@ -90,31 +92,28 @@ def mask_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("coords", F.array_join(F.transform("coords", lambda c: F.concat_ws(":", c["row"].cast("string"), c["col"].cast("string"))), ","))
 
 
-def _points(events: DataFrame) -> DataFrame:
-    return events.select(F.col("event_type").alias("scene_id"), F.col("event_id").alias("point_id"), (F.col("value") / 10 - 10.05).alias("x"), (F.get_json_object("props", "$.k").cast("double") / 10 - 10.05).alias("y"))
-
-
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points of the query's SQL, which are a quarter of the events."""
-    return _points(table(spark, sf_dir, "events").where("event_id % 4 = 1"))
+    """The points of POINTS, in scene coordinates."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("scene_id"), F.col("event_id").alias("point_id"), (F.col("value") / 10 - 10.05).alias("x"), ((99 - k) / 10 - 10.05).alias("y"))
 
 
-def all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(table(spark, sf_dir, "events"))
+POINTS = "p AS (SELECT event_type AS scene_id, event_id AS point_id, value / 10 - 10.05 AS x, (99 - CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 10 - 10.05 AS y FROM events)"
+HIT = """px < -2 OR px >= 102 OR py < -2 OR py >= 102 OR c.row IS NOT NULL AS collided FROM q LEFT JOIN c ON c.scene_id = q.scene_id AND c.row = greatest(0, least(99, py)) AND c.col = greatest(0, least(99, px))"""
+PIXELS = "CAST(round_even((10.0 + x) / 0.1, 0) AS INTEGER) AS px, CAST(round_even((10.0 + y) / 0.1, 0) AS INTEGER) AS py"
 
 
-@query("point_collisions", f"""WITH {CELLS}, p AS (SELECT event_type AS scene_id, event_id AS point_id, value / 10 - 10.05 AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10 - 10.05 AS y FROM events WHERE event_id % 4 = 1),
-q AS (SELECT *, CAST(round_even((10.0 + x) / 0.1, 0) AS INTEGER) AS px, CAST(round_even((10.0 + y) / 0.1, 0) AS INTEGER) AS py FROM p)
-SELECT point_id, px < -2 OR px >= 102 OR py < -2 OR py >= 102 OR EXISTS (SELECT 1 FROM c WHERE c.scene_id = q.scene_id AND c.row = greatest(0, least(99, py)) AND c.col = greatest(0, least(99, px))) AS collided FROM q""")
+@query("point_collisions", f"WITH {CELLS}, {POINTS}, q AS (SELECT *, {PIXELS} FROM p) SELECT point_id, {HIT}")
 def point_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.point_collisions(points(spark, sf_dir), cells(spark, sf_dir), extent(spark)).select("point_id", "collided")
 
 
-@query("path_collisions")
+@query("path_collisions", f"""WITH {CELLS}, {POINTS}, w AS (SELECT scene_id, point_id, x + (x + 0.5 - x) * (k / 10) AS x, y + (y + 0.3 - y) * (k / 10) AS y FROM p, (SELECT unnest(range(1, 11)) AS k)),
+q AS (SELECT *, {PIXELS} FROM w), h AS (SELECT q.scene_id, point_id, {HIT}) SELECT scene_id, point_id AS move_id, bool_or(collided) AS collided FROM h GROUP BY ALL""")
 def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = all_points(spark, sf_dir)
+    p = points(spark, sf_dir)
     moves = p.select("scene_id", F.col("point_id").alias("move_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 0.5).alias("x2"), (F.col("y") + 0.3).alias("y2"))
-    return grid.path_collisions(moves, all_cells(spark, sf_dir), extent(spark))
+    return grid.path_collisions(moves, cells(spark, sf_dir), extent(spark))
 
 
 @query("collision_info", f"WITH {IMAGE} SELECT scene_id, count(*) FILTER (WHERE v = 1) AS obstacles, count(*) AS cells, round(count(*) FILTER (WHERE v = 1) / count(*), 6) AS ratio FROM g GROUP BY scene_id")
@@ -151,25 +150,27 @@ def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("planned_paths")
 def planned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = all_cells(spark, sf_dir)
-    spot = lambda r, k: F.array(F.struct(F.lit(r).alias("row"), F.lit(k).alias("col")))
-    requests = extent(spark).select("scene_id", F.explode(F.array(*(F.lit(k) for k in range(5)))).alias("pair_id"))
-    requests = requests.select("scene_id", "pair_id", spot(0, 0).alias("start"), F.array(F.struct((F.col("pair_id") * 10 + 50).alias("row"), F.lit(99).alias("col"))).alias("goal"))
-    return grid.planned_paths(requests, c, extent(spark)).select("scene_id", "pair_id", F.round("cost", 6).alias("cost"), F.size("cells").alias("n_cells"))
+    """For each user, from the top left corner to the cell of each of their events, over what the user's patches leave free but for it."""
+    e = table(spark, sf_dir, "events")
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.floor(F.least("value", F.lit(99))).cast("int")
+    spot = lambda r, c: F.array(F.struct(r.alias("row"), c.alias("col")))
+    requests = e.select(F.col("user_id").alias("scene_id"), F.col("event_id").alias("pair_id"), spot(F.lit(0), F.lit(0)).alias("start"), spot(F.floor(k / 10).cast("int"), F.floor(v / 10).cast("int")).alias("goal"))
+    size = e.select(F.col("user_id").alias("scene_id"), F.lit(10).alias("h"), F.lit(10).alias("w")).distinct()
+    return grid.planned_paths(requests, patches(spark, sf_dir), size).select("scene_id", "pair_id", F.round("cost", 6).alias("cost"), F.size("cells").alias("n_cells"))
 
 
-@query("connected_items", f"""WITH RECURSIVE {CELLS}, e AS (SELECT a.scene_id, a.row AS r1, a.col AS c1, b.row AS r2, b.col AS c2 FROM c a JOIN c b ON a.scene_id = b.scene_id AND greatest(abs(a.row - b.row), abs(a.col - b.col)) = 1),
-reach(scene_id, row, col, r0, c0) AS (SELECT scene_id, row, col, row, col FROM c WHERE row % 3 = 0 AND col % 3 = 0 UNION SELECT x.scene_id, x.row, x.col, e.r2, e.c2 FROM reach x JOIN e ON e.scene_id = x.scene_id AND e.r1 = x.r0 AND e.c1 = x.c0)
-SELECT scene_id, CAST(row * 100 + col AS BIGINT) AS one, CAST(r0 * 100 + c0 AS BIGINT) AS two FROM reach WHERE r0 % 3 = 0 AND c0 % 3 = 0 AND row * 100 + col < r0 * 100 + c0""")
+@query("connected_items", f"""WITH RECURSIVE {PATCHES}, e AS (SELECT a.scene_id, a.row AS r1, a.col AS c1, b.row AS r2, b.col AS c2 FROM c a JOIN c b ON a.scene_id = b.scene_id AND greatest(abs(a.row - b.row), abs(a.col - b.col)) = 1),
+reach(scene_id, row, col, r0, c0) AS (SELECT scene_id, row, col, row, col FROM c UNION SELECT x.scene_id, x.row, x.col, e.r2, e.c2 FROM reach x JOIN e ON e.scene_id = x.scene_id AND e.r1 = x.r0 AND e.c1 = x.c0),
+f AS (SELECT scene_id, row, col, min((r0, c0)) AS first FROM reach GROUP BY ALL), g AS (SELECT *, dense_rank() OVER (PARTITION BY scene_id ORDER BY first) AS component FROM f)
+SELECT DISTINCT user_id AS scene_id, event_type AS item_id, component FROM events JOIN g ON scene_id = user_id AND row = CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AND col = CAST(floor(least(value, 99)) AS INTEGER) // 10""")
 def connected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
-    parts = grid.components(c, True)
-    items = parts.where("row % 3 = 0 and col % 3 = 0").select("scene_id", (F.col("row") * 100 + F.col("col")).alias("item_id"), "row", "col")
-    return grid.connected_pairs(items, parts)
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.floor(F.least("value", F.lit(99))).cast("int")
+    items = table(spark, sf_dir, "events").select(F.col("user_id").alias("scene_id"), F.col("event_type").alias("item_id"), F.floor(k / 10).alias("row"), F.floor(v / 10).alias("col"))
+    return grid.connected_items(items, grid.components(patches(spark, sf_dir), True))
 
 
 @query("safe_moves")
 def safe_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = all_points(spark, sf_dir)
+    p = points(spark, sf_dir)
     moves = p.select("scene_id", F.col("point_id").alias("move_id"), F.abs("x").alias("x"), F.abs("y").alias("y"), F.lit(0.1).alias("dx"), F.lit(0.1).alias("dy"))
-    return grid.safe_moves(moves, all_cells(spark, sf_dir), 0.1)
+    return grid.safe_moves(moves, cells(spark, sf_dir), 0.1)

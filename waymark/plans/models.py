@@ -96,13 +96,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as samples: their turns are instructions, their lengths points."""
     c = table(spark, sf_dir, "conversations")
     point = F.struct(F.array(F.length("text").cast("double"), F.col("turn").cast("double"), F.lit(0.5)).alias("position"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("rotation"))
-    raw = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.lit("Area-based").alias("instruction_type"), F.lit("a_1").alias("start"), F.lit("b_2").alias("end"), F.left("text", F.lit(20)).alias("generated_instruction")))).otherwise(F.concat(F.lit("go "), F.col("turn").cast("string")))
+    raw = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.lit("Area-based").alias("instruction_type"), F.lit("a_1").alias("start"), F.lit("b_2").alias("end"), F.col("text").alias("generated_instruction")))).otherwise(F.concat(F.lit("go "), F.col("turn").cast("string")))
     rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", raw.alias("raw"), point.alias("p")))).alias("t"))
     return rows.select(F.lit("s").alias("scene_id"), F.lit("s").alias("scene_name"), F.col("conv_id").cast("string").alias("trajectory_id"), F.transform("t", lambda x: x["raw"]).alias("instructions"), F.transform("t", lambda x: x["p"]).alias("points"))
 
 
 @query("episodes", """WITH l AS (SELECT conv_id, CAST(arg_max(length(text), turn) AS DOUBLE) AS gx FROM conversations GROUP BY conv_id)
-SELECT conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS episode_id, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 20) ELSE 'go ' || turn END AS instruction, CASE WHEN turn % 2 = 0 THEN 'b_2' END AS end_item, gx FROM conversations JOIN l USING (conv_id)""".replace("conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1", "conv_id || '-' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)"))
+SELECT conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS episode_id, CASE WHEN turn % 2 = 0 THEN text ELSE 'go ' || turn END AS instruction, CASE WHEN turn % 2 = 0 THEN 'b_2' END AS end_item, gx FROM conversations JOIN l USING (conv_id)""".replace("conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1", "conv_id || '-' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)"))
 def adapted_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = episodes.adapted(samples(spark, sf_dir))
     return e.select("episode_id", F.col("instruction.instruction_text").alias("instruction"), "end_item", F.col("goals")[0]["position"][0].alias("gx"))

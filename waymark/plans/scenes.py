@@ -315,11 +315,10 @@ def nearest_waypoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(joins.nearest_waypoint(e.where("event_type = 'click'").withColumnRenamed("event_id", "position_id").drop("event_type"), w, "user_id"), "distance")
 
 
-@query("file_correspondence", """WITH e AS (SELECT DISTINCT o_orderkey AS scene_id FROM orders WHERE o_orderkey % 3 <> 0), t AS (SELECT DISTINCT l_orderkey AS scene_id FROM lineitem WHERE l_linenumber > 5)
-SELECT scene_id, CASE WHEN e.scene_id IS NOT NULL AND t.scene_id IS NOT NULL THEN 'complete' WHEN e.scene_id IS NOT NULL THEN 'no_trajectory' ELSE 'no_endpoints' END AS state FROM e FULL JOIN t USING (scene_id)""")
+@query("file_correspondence", """SELECT COALESCE(d.doc_id, p.page_id) AS scene_id, CASE WHEN d.doc_id IS NOT NULL AND p.page_id IS NOT NULL THEN 'complete' WHEN d.doc_id IS NOT NULL THEN 'no_trajectory' ELSE 'no_endpoints' END AS state
+FROM (SELECT DISTINCT doc_id FROM labels) d FULL JOIN (SELECT DISTINCT page_id FROM pages) p ON d.doc_id = p.page_id""")
 def file_correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("scene_id"))
-    t = T(spark, sf_dir, "lineitem").where("l_linenumber > 5").select(F.col("l_orderkey").alias("scene_id"))
+    e, t = T(spark, sf_dir, "labels").select(F.col("doc_id").alias("scene_id")), T(spark, sf_dir, "pages").select(F.col("page_id").alias("scene_id"))
     return joins.correspondence(e, t, ["scene_id"])
 
 
@@ -333,8 +332,7 @@ def instructions_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r_name, arg_min(n_name, (rank, n_name)) AS file, min(rank) AS rank FROM m WHERE rank IS NOT NULL GROUP BY r_name""")
 def ranked_file_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = T(spark, sf_dir, "region").select("r_name", F.col("r_regionkey").cast("string").alias("name"))
-    rules = [lambda n, f: f == F.concat(F.lit("NATION_"), n), lambda n, f: f.startswith(F.concat(F.lit("NATION_"), n)), lambda n, f: f.contains(n)]
-    return joins.ranked_match(r, T(spark, sf_dir, "nation").select(F.col("n_name").alias("file")), "name", rules).drop("name")
+    return joins.ranked_match(r, T(spark, sf_dir, "nation").select(F.col("n_name").alias("file")), "name", ["NATION_{}", "NATION_{}*", "*{}*"]).drop("name")
 
 
 @query("contiguous_parts", """WITH p AS (SELECT l_orderkey AS scene_id, l_linenumber AS part FROM lineitem GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY part) AS k FROM p)
