@@ -106,6 +106,12 @@ def spans(lengths: np.ndarray, limit: int = LOT_BYTES):
         i = j
 
 
+def in_lots(table: pa.Table, size: int = LOT_BYTES) -> pa.Table:
+    """The table in batches of about so many bytes, as each goes to the JVM at once."""
+    rows = max(1, table.num_rows * size // max(table.nbytes, 1))
+    return pa.Table.from_batches(table.combine_chunks().to_batches(max_chunksize=rows), table.schema)
+
+
 class Words:
     """Words of some rows: byte starts and ends, rows' word offsets, word hashes."""
 

@@ -24,6 +24,8 @@ from .shared import small_batches, small_or_plain, written
 
 SIZE = 2048
 OPEN = 16
+#: Full windows that leave a task at once.
+WINDOWS = 64
 
 
 class Packer:
@@ -139,7 +141,7 @@ def packed(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, most: in
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc, np.concatenate([encoder.ids(text.as_py()), last]))
-                if len(packer.done) >= 512:
+                if len(packer.done) >= WINDOWS:
                     yield rows(packer.done, 0)
                     packer.done = []
         left = packer.close()

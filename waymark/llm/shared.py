@@ -7,25 +7,29 @@ from pyspark.sql import functions as F
 
 from ..scratch import clear, fresh_path, scratch, shared_dir, written
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "Columns", "clear", "fresh_path", "scratch", "shared_dir", "small_batches", "small_or_plain", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_ROWS", "Columns", "clear", "fresh_path", "scratch", "shared_dir", "small_batches", "small_or_plain", "written"]
 
 #: A side with at most this many narrow rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
-#: Texts that go to Python at once.
-BATCH_ROWS = 1000
+#: Texts, and bytes, that go to Python at once; a longer text goes alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 256 << 10
 
 
-def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """df, after the session's Arrow batches are held to so many rows, as texts may be long.
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """df, after the session's Arrow batches are held to so many rows and bytes, as texts may be long.
 
-    The setting is one of the session's; it can't be had for one plan alone.
+    Memory outside of the heap, which executors don't give back, grows with the
+    largest batches.  The settings are the session's; they can't be had for one
+    plan alone.
     """
     conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(key, "10000"))
-    if now > rows or now <= 0:
-        conf.set(key, str(rows))
+    for key, most, unset in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, "64m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key, unset)
+        n = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(now)) if key.endswith("BytesPerBatch") else int(now)
+        if n > most or n <= 0:
+            conf.set(key, str(most))
     return df
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import kernel
+from .shared import small_batches
 
 WINDOW = 13
 CHUNK_BYTES = 1 << 20
@@ -129,7 +130,7 @@ def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int | None =
     probability n * n / 2**97.
     """
     carried = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])]
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried)
+    base = small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     own_chunk, own_shard = sizes(total)
     n_chunks, n_shards = 1 + total // (chunk_bytes or own_chunk), 1 + total // (shard_bytes or own_shard)
@@ -154,7 +155,7 @@ def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int | None =
                 used, index = np.unique(doc[a:b], return_inverse=True)
                 out.append((s, key[0].as_py(), packed(own), more[a:b].tobytes(), packed(index.astype(np.uint32)), packed(np.diff(ids[used], prepend=0).view(np.uint64))))
         names = [("shard", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())]
-        return pa.table([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
+        return kernel.in_lots(pa.table([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(names)], names=[n for n, _ in names]))
 
     sent = dealt.groupBy("chunk").applyInArrow(send, "shard long, chunk long, hashes binary, more binary, docs binary, ids binary")
 
@@ -225,11 +226,12 @@ def deduplicated(docs: DataFrame, width: int = WINDOW, chunk_bytes: int | None =
                     lead = offsets[r] - offsets[i]
                     texts.append(without(text, (words.starts[a:b] - lead).tolist(), (words.ends[a:b] - lead).tolist(), gaps) if n else text)
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        return pa.table(
+        kept = pa.table(
             [ids.cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, kind)]
             + [table[c] for c in extra.names],
             names=["doc_id", "n_words", "n_removed", "kept_text", "spans", *extra.names],
         )
+        return kernel.in_lots(kept)
 
     both = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     schema = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<from:long,to:long>>"
