@@ -10,8 +10,10 @@ from pyspark.sql import SparkSession
 from . import stages
 
 STAGES = {
-    "physical-map": stages.physical_map, "semantic-map": stages.semantic_map, "merge": stages.merge, "statistics": stages.statistics,
-    "split": stages.split, "actions": stages.actions, "episodes": stages.episode_files, "evaluate": stages.evaluate,
+    "physical-map": stages.physical_map, "semantic-map": stages.semantic_map, "scene-text": stages.scene_text, "trajectories": stages.trajectories,
+    "to-scene": stages.to_scene, "merge": stages.merge, "statistics": stages.statistics, "split": stages.split, "extract": stages.extract,
+    "actions": stages.actions, "images": stages.images, "training": stages.training, "episodes": stages.episode_files, "evaluate": stages.evaluate,
+    "scene-files": stages.scene_files,
 }
 
 
@@ -26,17 +28,20 @@ def parser() -> argparse.ArgumentParser:
                 one.add_argument(flag, required=True)
             elif p.default is False:
                 one.add_argument(flag, action="store_true")
-            elif p.name == "only":
+            elif "list" in str(p.annotation):
                 one.add_argument(flag, nargs="*")
             else:
-                one.add_argument(flag, type=type(p.default) if p.default is not None else str, default=p.default)
+                kind = int if "int" in str(p.annotation) else float if "float" in str(p.annotation) else str
+                one.add_argument(flag, type=kind, default=p.default)
     return top
 
 
 def main(argv: list[str] | None = None) -> None:
     given = vars(parser().parse_args(argv))
     stage = STAGES[given.pop("stage")]
-    stage(SparkSession.builder.appName("waymark").getOrCreate(), **given)
+    shown = stage(SparkSession.builder.appName("waymark").getOrCreate(), **given)
+    if shown is not None:  # a manifest, or what is still to be made
+        shown.show(20, truncate=False)
 
 
 if __name__ == "__main__":

@@ -90,7 +90,7 @@ def start_yaw(qx: Column, qw: Column) -> Column:
     return wrapped_once(scene_yaw(qx, qw) - PI)
 
 
-def scene_poses(points: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+def scene_poses(points: Column, x0: Column, x1: Column, y0: Column, y1: Column, flip_x: bool = True, flip_y: bool = True, negate: bool = True) -> Column:
     """Planner poses array<struct<x, y, z, qx, qy, qz, qw>> in the scene's convention.
 
     Positions are mirrored and negated, headings turned by half a turn; the last
@@ -102,7 +102,7 @@ def scene_poses(points: Column, x0: Column, x1: Column, y0: Column, y1: Column)
         last = i == F.size(points) - 1
         keep = lambda a, b: F.when(last, F.lit(a)).otherwise(b)
         return F.struct(
-            mirrored(p["x"], x0, x1).alias("x"), mirrored(p["y"], y0, y1).alias("y"), p["z"].alias("z"),
+            mirrored(p["x"], x0, x1, flip_x, negate).alias("x"), mirrored(p["y"], y0, y1, flip_y, negate).alias("y"), p["z"].alias("z"),
             keep(0.0, -F.sin(angle / 2)).alias("qx"), F.lit(0.0).alias("qy"), F.lit(0.0).alias("qz"), keep(1.0, F.cos(angle / 2)).alias("qw"),
         )
 

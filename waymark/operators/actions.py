@@ -6,15 +6,15 @@ points(path_id, seq, x, y, z, yaw).
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.geometry import normalised
+from ..functions.geometry import normalised, slerp
+from ..functions.text import let
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,12 @@ def preset(name: str, **changes) -> Preset:
     return Preset(**(PRESETS[name].__dict__ | changes))
 
 
+def preset_from(text: str, name: str = "vlnce") -> Preset:
+    """A preset with the values that a JSON object gives; unknown ones are refused."""
+    given = json.loads(text)
+    return preset(given.pop("preset", name), **given)
+
+
 def features(points: DataFrame, threshold: float = 0.1) -> DataFrame:
     """points with feature: start, end, turning or straight; null for paths of fewer than three points."""
     n = F.count("*").over(Window.partitionBy("path_id"))
@@ -132,61 +138,38 @@ def as_arrays(points: DataFrame) -> DataFrame:
     return points.groupBy("path_id").agg(ordered.alias("points"))
 
 
-def _slerp(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    unit = lambda q: q / n if (n := np.sqrt((q * q).sum())) > 0 else q
-    a, b = unit(a), unit(b)
-    dot = float(a @ b)
-    if dot < 0:
-        b, dot = -b, -dot
-    if dot > 0.9995:
-        return unit(a + t * (b - a))
-    theta = math.acos(min(dot, 1.0))
-    return (math.sin((1 - t) * theta) * a + math.sin(t * theta) * b) / math.sin(theta)
-
-
 def interpolated(paths: DataFrame, how: Preset) -> DataFrame:
     """(path_id, actions, poses) of paths(path_id, points, actions): one pose [x, y, z, yaw] for each action.
 
     Between two points, poses are spread over the turns and moves of that leg;
-    the last pose is repeated, or those before it go, to match the actions.
+    the last pose is repeated, or those before it go, to match the actions.  A path
+    with as many points as actions has those; one without points has no poses.
     """
-
-    def quaternion(yaw: float) -> np.ndarray:
-        return np.array([math.sin(yaw / 2), math.cos(yaw / 2)])
-
-    def wrap(a: float) -> float:
-        while a > math.pi:
-            a -= 2 * math.pi
-        while a < -math.pi:
-            a += 2 * math.pi
-        return a
-
-    def along(points: list[dict], n: int) -> list[list[float]]:
-        flat = [[p["x"], p["y"], p["z"], p["yaw"]] for p in points]
-        if len(points) < 2 or n == len(points):
-            return flat[:n] + flat[-1:] * max(0, n - len(flat)) if flat else []
-        out: list[list[float]] = []
-        for a, b in zip(flat, flat[1:], strict=False):
-            out.append(a)
-            d, turn = math.dist(a[:3], b[:3]), abs(wrap(b[3] - a[3]))
-            turns = min(4, max(1, int(turn / math.radians(how.turn)))) if turn > MIN_TURN else 0
-            parts = turns + min(5, int(d / how.move))
-            for j in range(1, parts):
-                s, c = _slerp(quaternion(a[3]), quaternion(b[3]), j / parts)
-                out.append([x + (y - x) * j / parts for x, y in zip(a[:3], b[:3], strict=True)] + [2 * math.atan2(s, c)])
-            if len(out) >= n - 1:
-                break
-        out.append(flat[-1])
-        out += out[-1:] * (n - len(out))
-        return out[: n - 1] + out[-1:] if len(out) > n else out
-
-    def run(batches):
-        for batch in batches:
-            poses = [along(p, len(a)) for p, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(poses, pa.list_(pa.list_(pa.float64())))], names=["path_id", "actions", "poses"])
-
-    kind = paths.schema["path_id"].dataType.simpleString()
-    return paths.select("path_id", "points", "actions").mapInArrow(run, f"path_id {kind}, actions array<string>, poses array<array<double>>")
+    points, n = F.col("points"), F.size("actions")
+    pose = lambda p: F.array(p["x"], p["y"], p["z"], p["yaw"])
+    half = lambda yaw: F.array(F.sin(yaw / 2), F.cos(yaw / 2))
+
+    def between(a: Column, b: Column, t: Column) -> Column:
+        q = slerp(half(a["yaw"]), half(b["yaw"]), t)
+        along = [a[c] + (b[c] - a[c]) * t for c in "xyz"]
+        return let(q, lambda v: F.array(*along, 2 * F.atan2(v[0], v[1])))
+
+    def leg(a: Column, b: Column) -> Column:
+        d = F.sqrt(sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"), F.lit(0.0)))
+        turn = F.abs(normalised(b["yaw"] - a["yaw"]))
+        turns = F.when(turn > MIN_TURN, F.least(F.lit(4), F.greatest(F.lit(1), (turn / math.radians(how.turn)).cast("int")))).otherwise(0)
+        parts = turns + F.least(F.lit(5), (d / how.move).cast("int"))
+        inner = F.when(parts > 1, F.sequence(F.lit(1), parts - 1)).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.array(pose(a)), F.transform(inner, lambda j: between(a, b, j / parts)))
+
+    m = F.size(points)
+    few = F.greatest(m - 1, F.lit(0))
+    legs = F.flatten(F.zip_with(F.slice(points, 1, few), F.slice(points, 2, few), leg))
+    last = pose(F.element_at(points, -1))
+    cut = lambda all_, k: F.concat(F.slice(all_, 1, k), F.array_repeat(last, n - F.least(F.size(all_), k)))
+    plain = F.when(m > 0, cut(F.transform(points, pose), n)).otherwise(F.array().cast("array<array<double>>"))
+    poses = F.when((m < 2) | (n == m), plain).otherwise(cut(legs, F.greatest(n - 1, F.lit(0))))
+    return paths.select("path_id", "actions", poses.alias("poses"))
 
 
 def action_breakdown(paths: DataFrame) -> DataFrame:

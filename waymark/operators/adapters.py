@@ -21,6 +21,8 @@ from ..functions import text
 
 #: Pairs in one request, retries, longest pause in seconds.
 PAIRS_A_CALL, RETRIES, LONGEST_PAUSE = 10, 5, 16
+#: Seconds that instructions are waited for before the rest gets the default one; rows after which results are kept.
+LIMIT, KEPT_EVERY = 180, 5
 
 
 class FakeClient:
@@ -38,20 +40,24 @@ class FakeClient:
         return json.dumps([one]) if zlib.crc32(pairs["start"].encode()) % 3 else "no idea"
 
 
-def asked(rows: DataFrame, factory: Callable[[], object], messages: str = "messages", retries: int = RETRIES, pause: float = 1.0) -> DataFrame:
+def asked(rows: DataFrame, factory: Callable[[], object], messages: str = "messages", retries: int = RETRIES, pause: float = 1.0, limit: float | None = None) -> DataFrame:
     """rows with answer, the client's reply to the JSON of messages; null if it fails each time.
 
     Waits pause * 2**k seconds after the k-th failure, LONGEST_PAUSE at most.
+    limit: seconds (LIMIT, if it is to be that of the instructions) after which a
+    task asks no more; what is left has no answer and so gets the default.
     """
     at = rows.columns.index(messages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = factory()
+        client, began = factory(), time.monotonic()
 
         def call(asked_json: str | None) -> str | None:
             if asked_json is None:
                 return None
             for k in range(retries + 1):
+                if limit is not None and time.monotonic() - began >= limit:
+                    return None
                 try:
                     return client.chat(json.loads(asked_json))
                 except Exception:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,38 @@ def adapted(samples: DataFrame, radius: float = 0.5) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Task:
+    """What a task adds to an episode, and when it is reached, from columns by name (distance, likeness, collided, seconds, coverage)."""
+
+    columns: Callable[[], dict[str, Column]]
+    reached: Callable[[dict[str, Column]], Column]
+
+
+def _last() -> Column:
+    return F.element_at("gt_locations", -1)
+
+
+def _origin() -> Column:
+    return F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+
+
+#: The tasks by name; register() adds more.
+TASKS: dict[str, Task] = {
+    "vln": Task(lambda: {}, lambda c: c["distance"] < TASK_RADIUS["vln"]),
+    "objectnav": Task(lambda: {"target_object": target_object(F.col("instruction.instruction_text")), "target_object_position": _last()}, lambda c: c["distance"] <= TASK_RADIUS["objectnav"]),
+    "pointnav": Task(lambda: {"goal_position": F.coalesce(_last(), _origin())}, lambda c: c["distance"] < TASK_RADIUS["pointnav"]),
+    "imgnav": Task(lambda: {"target_image_position": _last()}, lambda c: (c["distance"] <= TASK_RADIUS["imgnav"]) & F.coalesce(c["likeness"] > IMAGE_LIKENESS, F.lit(True))),
+    "nogoalnav": Task(lambda: {"start_position": F.coalesce(F.element_at("gt_locations", 1), _origin())}, lambda c: ~c["collided"] & ((c["seconds"] >= TIME_LIMIT) | (c["coverage"] >= COVERAGE))),
+}
+
+
+def register(name: str, task: Task) -> None:
+    if name in TASKS:
+        raise ValueError(f"there is a task {name}")
+    TASKS[name] = task
+
+
 def task_type(has: dict[str, Column]) -> Column:
     """The task of an episode.  has: columns task_type, instruction_type, instructions, target_object, target_image and goal_position; those it lacks are null."""
     get = lambda k: has.get(k, F.lit(None))
@@ -54,18 +89,10 @@ def target_object(text: Column) -> Column:
 
 def for_task(episodes: DataFrame, task: str) -> DataFrame:
     """Episodes with the columns of a task: its target or start."""
-    if task not in ("vln", "objectnav", "pointnav", "imgnav", "nogoalnav"):
-        raise ValueError(f"no task {task}")
-    last, first = F.element_at("gt_locations", -1), F.element_at("gt_locations", 1)
-    origin = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    new = {
-        "vln": {},
-        "objectnav": {"target_object": target_object(F.col("instruction.instruction_text")), "target_object_position": last},
-        "pointnav": {"goal_position": F.coalesce(last, origin)},
-        "imgnav": {"target_image_position": last},
-        "nogoalnav": {"start_position": F.coalesce(first, origin)},
-    }
-    return episodes.withColumns(new[task]) if new[task] else episodes
+    if task.lower() not in TASKS:
+        raise ValueError(f"no task {task}; there are {', '.join(TASKS)}")
+    new = TASKS[task.lower()].columns()
+    return episodes.withColumns(new) if new else episodes
 
 
 def instruction_for(task: Column, texts: Column, step: Column, target: Column, goal: Column) -> Column:
@@ -79,12 +106,12 @@ def instruction_for(task: Column, texts: Column, step: Column, target: Column, g
 
 
 def reached(task: Column, distance: Column, likeness: Column, collided: Column, seconds: Column, coverage: Column) -> Column:
-    """Success of a task (image tasks without a likeness go by the position); without a goal it is to explore long or far enough and not to collide."""
-    return (
-        F.when(task == "objectnav", distance <= TASK_RADIUS["objectnav"]).when(task == "pointnav", distance < TASK_RADIUS["pointnav"])
-        .when(task == "imgnav", (distance <= TASK_RADIUS["imgnav"]) & F.coalesce(likeness > IMAGE_LIKENESS, F.lit(True)))
-        .when(task == "nogoalnav", ~collided & ((seconds >= TIME_LIMIT) | (coverage >= COVERAGE))).otherwise(distance < TASK_RADIUS["vln"])
-    )
+    """Success of a task (image tasks without a likeness go by the position); without a goal it is to explore long or far enough and not to collide.  Unknown tasks are as vln."""
+    has = {"distance": distance, "likeness": likeness, "collided": collided, "seconds": seconds, "coverage": coverage}
+    out = F.when(task == "vln", TASKS["vln"].reached(has))
+    for name, own in TASKS.items():
+        out = out if name == "vln" else out.when(task == name, own.reached(has))
+    return out.otherwise(TASKS["vln"].reached(has))
 
 
 def exploration_over(collided: Column, seconds: Column) -> Column:

@@ -226,6 +226,13 @@ def last_mean(runs: DataFrame, n: int = 20) -> DataFrame:
     return runs.withColumn("mean_seconds", F.avg("seconds").over(Window.partitionBy("batch").orderBy("seq").rowsBetween(1 - n, 0)))
 
 
+def progress(runs: DataFrame, total: int, n: int = 20) -> DataFrame:
+    """runs(batch, seq, reached, seconds) with done, the share reached so far, the mean over the last n seconds and eta, the seconds that the rest of total will take at that."""
+    so_far = Window.partitionBy("batch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = last_mean(runs, n).withColumns({"done": F.count("*").over(so_far), "reached_share": F.avg(F.col("reached").cast("double")).over(so_far)})
+    return rows.withColumn("eta", F.greatest(F.lit(0), F.lit(total) - F.col("done")) * F.col("mean_seconds"))
+
+
 def batch_summary(runs: DataFrame) -> DataFrame:
     """One row for runs(file, ran, skipped, reached, seconds): counts, rates over what ran, true mean success, time used for tests."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))

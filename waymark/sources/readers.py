@@ -45,7 +45,8 @@ def documents(spark: SparkSession, path: str, pattern: str | None = None, recurs
     reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower())
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
     own = F.input_file_name()
-    return reader.text(path).select(own.alias("path"), folder(own).alias("scene_id"), name(own).alias("file"), "value")
+    scene = F.regexp_replace(folder(own), "^scene_id=", "")  # folders may be those that a stage writes
+    return reader.text(path).select(own.alias("path"), scene.alias("scene_id"), name(own).alias("file"), "value")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +94,13 @@ def trajectories(spark: SparkSession, path: str, pattern: str | None = None, all
     return found.select("path", "scene_id", "scene_name", "pos", "x.*")
 
 
+def sample_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(scene_id, pos, trajectory_id, instructions, points) of lines as writers.sample_lines() has them."""
+    schema = f"scene_id:string,pos:bigint,{schemas.SAMPLE.removeprefix('struct<').removesuffix('>')}"
+    rows = spark.read.option("recursiveFileLookup", "true").text(path)
+    return rows.select(F.from_json("value", f"struct<{schema}>").alias("x")).where("x is not null").select("x.*")
+
+
 def points(samples: DataFrame) -> DataFrame:
     """(scene_id, trajectory_id, seq, x, y, z, qx, qy, qz, qw)."""
     p = samples.select("scene_id", "trajectory_id", F.posexplode("points").alias("seq", "p"))

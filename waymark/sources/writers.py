@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import two_decimals
 from ..operators.selection import parts_of
@@ -21,16 +20,22 @@ def by_scene(rows: DataFrame, path: str, overwrite: bool = False, keys: tuple[st
 
 
 def written_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """(scene_id) that the path has; none if it does not exist."""
-    try:
-        return spark.read.load(path).select(F.col("scene_id").cast("string")).distinct()
-    except AnalysisException:
+    """(scene_id) that the path has a folder of; none if it does not exist.  Contents are not read."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
         return spark.createDataFrame([], "scene_id string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    scene = F.regexp_extract("path", r"/(?:scene_id|scene_name)=([^/]+)/", 1)
+    return files.select(F.url_decode(F.replace(scene, F.lit("+"), F.lit("%2B"))).alias("scene_id")).where("scene_id <> ''").distinct()
 
 
-def pending(rows: DataFrame, path: str, force: bool = False) -> DataFrame:
-    """Rows of scenes that the path does not have yet."""
-    return rows if force else rows.join(written_scenes(rows.sparkSession, path), "scene_id", "left_anti")
+def pending(rows: DataFrame, path: str, force: bool = False, limit: int | None = None) -> DataFrame:
+    """Rows of scenes that the path does not have yet, or of all by force; of the first so many of them."""
+    rows = rows if force else rows.join(written_scenes(rows.sparkSession, path).withColumnRenamed("scene_id", "__done"), F.col("scene_id").cast("string") == F.col("__done"), "left_anti")
+    if limit is None:
+        return rows
+    first = rows.select("scene_id").distinct().orderBy("scene_id").limit(limit)
+    return rows.join(first, "scene_id", "left_semi")
 
 
 def append(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -61,16 +66,25 @@ def map_documents(instances: DataFrame) -> DataFrame:
 
 
 def trajectory_documents(samples: DataFrame) -> DataFrame:
-    """(scene_id, value): the JSON document of each scene's samples(scene_id, pos, trajectory_id, instructions, points)."""
+    """(scene_id, value): the JSON document of each scene's samples(scene_id, pos, trajectory_id, instructions, points).
+
+    A document is one text, so a scene's samples meet in one row; sample_lines()
+    has none of that size.
+    """
     body = F.sort_array(F.collect_list(F.struct("pos", "trajectory_id", "instructions", "points")))
     bare = F.transform(body, lambda s: F.struct(s["trajectory_id"].alias("trajectory_id"), s["instructions"].alias("instructions"), s["points"].alias("points")))
     scenes = samples.groupBy("scene_id").agg(bare.alias("samples"))
     return scenes.select("scene_id", F.to_json(F.struct(F.array(F.struct("scene_id", F.col("scene_id").alias("scene_name"), "samples")).alias("scenes"))).alias("value"))
 
 
-def texts_by_scene(rows: DataFrame, path: str) -> None:
+def sample_lines(samples: DataFrame) -> DataFrame:
+    """(scene_id, value): one line of JSON for each of a scene's samples, for scenes of any size; readers.sample_lines() reads them."""
+    return samples.select("scene_id", F.to_json(F.struct("scene_id", "pos", "trajectory_id", "instructions", "points")).alias("value"))
+
+
+def texts_by_scene(rows: DataFrame, path: str, keys: tuple[str, ...] = ("scene_id",)) -> None:
     """One text file of value in the folder of each scene."""
-    rows.select("scene_id", "value").write.partitionBy("scene_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+    rows.select(*keys, "value").write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
 
 
 def split_files(selected: DataFrame, statistics: DataFrame, path: str) -> None:
