@@ -468,31 +468,73 @@ def test_pairs_at_the_threshold_are_settled_in_full_precision(spark):
 # The pipeline
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, library):
+    """Each stage against a plain computation on its own input."""
     import corpus_pipeline
+    from test_text_dedup import brute_components, brute_removal
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "substring_dedup", "mixing", "packing"]
     now = docs
-    texts = {r.doc_id: r.text for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        given = {r.doc_id: r for r in now.collect()}
         now = spark.createDataFrame(stage(spark, now, d).collect(), docs.schema)
         assert now.schema == docs.schema
-        ids = [r.doc_id for r in now.collect()]
+        out = now.collect()
+        ids = [r.doc_id for r in out]
         if name == "language_id":
-            assert set(ids) == {i for i, t in texts.items() if t and any(c.isalpha() for c in t)}
-            before = {r.doc_id: r.text for r in now.collect()}
+            assert set(ids) == {i for i, r in given.items() if r.text and any(c.isalpha() for c in r.text)} and len(ids) == len(set(ids))
+            assert all(r[:2] + r[3:] == given[r.doc_id][:2] + given[r.doc_id][3:] for r in out) and sum(r.lang == given[r.doc_id].lang for r in out) >= 0.98 * len(out)
         if name == "near_dedup":
-            from test_text_dedup import brute_components
-
-            comp = brute_components(list(before.items()), 80)
-            assert sorted(ids) == sorted({min(i for i in comp if comp[i] == c) for c in comp.values()})
+            comp = brute_components([(i, r.text) for i, r in given.items()], 80)
+            assert sorted(ids) == sorted({min(i for i in comp if comp[i] == c) for c in comp.values()}) and all(r == given[r.doc_id] for r in out)
+        if name == "substring_dedup":
+            want = {i: (n, gone, kept) for i, n, gone, kept in brute_removal([(i, r.text) for i, r in given.items()])}
+            assert sorted(ids) == sorted(i for i, (n, gone, _) in want.items() if gone == 0 or gone < n) and any(gone for _, gone, _ in want.values())
+            for r in out:
+                old = given[r.doc_id]
+                assert r.text.encode().split() == want[r.doc_id][2].encode().split() and r.n_chars == len(r.text)
+                assert (r.text == old.text or want[r.doc_id][1]) and (r.lang, r.source) == (old.lang, old.source)
         if name == "mixing":
-            assert max(ids.count(i) for i in set(ids)) <= 4
-    pieces = corpus_pipeline.STAGES[-1][1](spark, now, d).collect()
-    assert {r.doc_id for r in pieces} == set(ids)
-    assert pa.array([r.length for r in pieces]).to_numpy().sum() == sum(len(r.ids) for r in pieces)
+            con = duckdb.connect()
+            con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+            con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [tuple(r) for r in given.values()])
+            want = dict(con.sql(f"SELECT doc_id, count(*) FROM ({mixing.SQL}) GROUP BY doc_id").fetchall())
+            assert {i: ids.count(i) for i in set(ids)} == want and max(want.values()) <= 4 and all(r == given[r.doc_id] for r in out)
+    texts, uses = {r.doc_id: r.text for r in out}, {i: ids.count(i) for i in set(ids)}
+    covered, sequences = {}, {}
+    for r in corpus_pipeline.STAGES[-1][1](spark, now, d).collect():
+        own = covered.setdefault(r.doc_id, ([*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], []))
+        assert list(r.ids) == own[0][r.start : r.start + r.length] and r.doc_tokens == len(own[0])
+        own[1].extend(range(r.start, r.start + r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, (tokens, places) in covered.items():
+        assert sorted(places) == sorted(list(range(len(tokens))) * uses[i])
+    assert set(covered) == set(uses)
+    full = 0
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        full += at == 2048
+        assert at & (at - 1) == 0
+    assert full >= len(sequences) - 11
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns by the names that the operators give their own."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = ["score", "lang_pred", "bits_per_byte", "__letter", "__uses", "__id", "most", "uses", "c0", "chunk", "row", "node", "k", "h"]
+    now = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    columns = now.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, "").collect(), now.schema)
+        assert now.columns == columns and now.count() > 0
+        assert all(r[c] == f"{c}{r.doc_id}" for r in now.collect() for c in names)
 
 
 def test_pipeline_on_nothing_and_on_odd_rows(spark):
