@@ -11,9 +11,10 @@ statistics, and the language with the shortest code wins.
 The trees are sparse: only the runs of bytes ("grams") that were seen have an
 entry.  For a gram a language holds the code length of its last byte after the
 others; for a context, the sum of the escapes out of it and all shorter ones.
-The cost of a byte is the entry of the longest gram that ends in it, and the
-escapes out of the longest context before it less those already in that entry,
-so a byte takes two look-ups a language.
+The cost of a byte is the entry of the longest gram that ends in it, and, unless
+that is as long as grams get, the escapes out of the longest context before it
+less those already in that entry.  Grams are looked up in hash tables that all
+languages share.
 
 Statistics come from a bounded sample: about ``sample`` whole documents of each
 language, drawn by a hash of doc_id.  The driver gathers one row for each
@@ -45,65 +46,89 @@ UNKNOWN = "und"
 RADIX = 257
 
 
+class Table:
+    """Whole numbers that are not negative, and the entry of each: open addressing, all look-ups of a lot at once."""
+
+    def __init__(self, keys: np.ndarray, first: int):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.entry = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            _, won = np.unique(slot[free], return_index=True)  # one key for each free slot
+            won = free[won]
+            self.keys[slot[won]], self.entry[slot[won]] = keys[left[won]], left[won] + first
+            stay = np.ones(len(left), dtype=bool)
+            stay[won] = False
+            left, slot = left[stay], (slot[stay] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key; 0 without one."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.entry[slot], 0)
+        at = np.flatnonzero((there != keys) & (there != -1))
+        slot, keys = slot[at], keys[at]
+        while len(at):
+            slot = (slot + 1) & self.mask
+            there = self.keys[slot]
+            hit = there == keys
+            out[at[hit]] = self.entry[slot[hit]]
+            on = ~hit & (there != -1)
+            at, slot, keys = at[on], slot[on], keys[on]
+        return out
+
+
 @dataclass
 class Model:
-    """Languages, and of each length 1, 2, ... the grams: their keys in ascending order, and the place of their first entry.
+    """Languages, and of each length 1, 2, ... the grams by their codes, with their entries.
 
-    A gram's key is the place of the gram without its last symbol, times the
-    number of symbols, plus that symbol.  bits and escapes: (languages, entries);
-    entry 0 is a byte never seen.
+    bits: (languages, entries) of the last byte of a gram after the others, for
+    grams shorter than the longest less the escapes out of the context of that
+    length; escapes: out of the gram as a context and all shorter ones.  Entry 0
+    is a byte never seen.
     """
 
     languages: list[str]
-    symbols: np.ndarray
-    keys: list[np.ndarray]
-    first: list[int]
+    tables: list[Table]
     bits: np.ndarray
     escapes: np.ndarray
 
     @property
     def order(self) -> int:
-        return len(self.keys) - 1
-
-    def entries(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each byte the entries of the longest gram that ends in it and of the longest context before it."""
-        size, sizes = len(self.keys[0]), np.diff(offsets)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.arange(len(data)) + row + 1  # each row follows a start
-        this = np.zeros(len(data) + len(sizes), dtype=np.int32)
-        this[at] = self.symbols[data]
-        last = this  # place of the gram of each length; that of a start alone is 0
-        gram = np.where(this >= 0, this + self.first[0], 0).astype(np.int32)
-        past = np.zeros_like(gram) + np.int32(self.first[0])
-        past[1:] = np.where(this[:-1] >= 0, gram[:-1], 0)
-        for k in range(1, len(self.keys)):
-            found = np.full(len(this), -1, dtype=np.int32)
-            found[offsets[:-1] + np.arange(len(sizes))] = 0
-            some = at[(last[at] >= 0) & (last[at - 1] >= 0)]
-            key = last[some - 1].astype(np.int64) * size + this[some]
-            place = np.searchsorted(self.keys[k], key)
-            place[place == len(self.keys[k])] = 0
-            hit = self.keys[k][place] == key
-            found[some[hit]] = place[hit]
-            gram[some[hit]] = place[hit] + self.first[k]
-            starts = offsets[:-1] + np.arange(len(sizes))
-            gram[starts] = self.first[k]
-            if k < self.order:
-                past[1:] = np.where(found[:-1] >= 0, found[:-1] + np.int32(self.first[k]), past[1:])
-            last = found
-        return gram[at], past[at]
+        return len(self.tables) - 1
+
+    def entries(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entry of the longest gram that ends a code; and for those codes whose longest is not a whole code, which they are and the entry of the longest context."""
+        order = self.order
+        gram = self.tables[order].find(code)
+        rest = np.flatnonzero(gram == 0)
+        short, ends = code[rest], np.zeros(len(rest), dtype=np.int32)
+        past = np.zeros(len(rest), dtype=np.int32)
+        for k in range(order - 1, -1, -1):
+            for found, of in ((ends, short), (past, short // RADIX)):
+                left = np.flatnonzero(found == 0)
+                found[left] = self.tables[k].find(of[left] % RADIX ** (k + 1))
+        gram[rest] = ends
+        return gram, rest, past
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each row under each language (rows, languages)."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for i, j in kernel.spans(np.diff(offsets), kernel.LOT_BYTES // 2):
-            own, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        for i, j in kernel.spans(np.diff(offsets)):
+            own, off = kernel._LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
             some = np.flatnonzero(np.diff(off))
             if not len(some):
                 continue
-            gram, past = self.entries(own, off)
+            gram, rest, past = self.entries(codes(own.astype(np.int64) + 1, off, self.order))
             for k in range(len(self.languages)):
-                out[i + some, k] = np.add.reduceat(self.bits[k][gram] + self.escapes[k][past], off[some], dtype=np.float64)
+                each = self.bits[k][gram]
+                each[rest] += self.escapes[k][past]
+                out[i + some, k] = np.add.reduceat(each, off[some], dtype=np.float64)
         return out
 
 
@@ -202,40 +227,32 @@ def model(lang: np.ndarray, code: np.ndarray, n: np.ndarray, order: int = ORDER,
     """The model of counts n of codes() of each language; rows of one language and code are added up."""
     languages = sorted(set(lang.tolist()))
     if not languages:
-        return Model([], np.full(256, -1, np.int32), [np.zeros(1, np.int64)], [1], np.zeros((0, 2), np.float32), np.zeros((0, 2), np.float32))
+        return Model([], [Table(np.zeros(1, np.int64), 1)], np.zeros((0, 2), np.float32), np.zeros((0, 2), np.float32))
     of = {x: k for k, x in enumerate(languages)}
     who = np.array([of[x] for x in lang.tolist()], dtype=np.int64)
     code, n = code.astype(np.int64), n.astype(np.float64)
-    # grams of each length: ascending codes, each code's place, the gram without its first and without its last symbol
+    # codes of the grams of each length, and the places of each without its first and without its last symbol
     levels = [np.unique(np.concatenate([[0], code % RADIX**k])) for k in range(1, order + 2)]
-    least = np.zeros(order + 1)
     if len(languages) * sum(map(len, levels)) > cells:
         total = [np.bincount(np.searchsorted(g, code % RADIX ** (k + 1)), weights=n, minlength=len(g)) for k, g in enumerate(levels)]
         spare = max(0, cells // len(languages) - len(levels[0]) - (len(levels[1]) if order else 0))
         often = np.sort(np.concatenate(total[2:]))[::-1] if order > 1 else np.zeros(0)
-        least[2:] = often[spare] + 1 if spare < len(often) else 0
+        least = often[spare] + 1 if spare < len(often) else 0
         for k in range(2, order + 1):
-            kept = total[k] >= least[k]
+            kept = total[k] >= least
             kept[0] = True  # a start
             levels[k] = levels[k][kept]
-    size = len(levels[0])
-    places = lambda k, c: np.searchsorted(levels[k], c)
     first = (1 + np.concatenate([[0], np.cumsum([len(g) for g in levels[:-1]])])).astype(int).tolist()
-    keys, before, after = [np.arange(size, dtype=np.int64)], [None], [None]
+    before, after = [None], [None]
     for k in range(1, order + 1):
-        before.append(places(k - 1, levels[k] // RADIX))
-        after.append(places(k - 1, levels[k] % RADIX**k))
-        keys.append(before[k] * size + places(0, levels[k] % RADIX))
+        before.append(np.searchsorted(levels[k - 1], levels[k] // RADIX))
+        after.append(np.searchsorted(levels[k - 1], levels[k] % RADIX**k))
     entries = first[-1] + len(levels[-1])
     bits, escapes = np.zeros((len(languages), entries), np.float32), np.zeros((len(languages), entries), np.float32)
     for k in range(len(languages)):
         own = who == k
         _unfold(code[own], n[own], levels, before, after, first, bits[k], escapes[k])
-    symbols = np.full(256, -1, dtype=np.int32)
-    seen = levels[0][1:] - 1
-    symbols[seen] = np.arange(1, size)
-    symbols[65:91] = symbols[97:123]
-    return Model(languages, symbols, keys, first, bits, escapes)
+    return Model(languages, [Table(g, f) for g, f in zip(levels, first, strict=True)], bits, escapes)
 
 
 def _unfold(code, n, levels, before, after, first, bits, escapes) -> None:
@@ -273,7 +290,8 @@ def _unfold(code, n, levels, before, after, first, bits, escapes) -> None:
         own = np.where(count > 0, -np.log2(np.maximum(count, 1) / (total + escape)[past].clip(1)), here[past] + low)
         out = here if k == 1 else here + out[after[k - 1]]
         escapes[first[k - 1] : first[k - 1] + size] = out
-        bits[where] = own - out[past]
+        # a gram of full length always stands after a context of full length, whose escapes it has
+        bits[where] = own if k == len(levels) - 1 else own - out[past]
         shorter = own
 
 

@@ -171,10 +171,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     used most.
     """
     own = Columns(docs)
-    used = _placed(docs, **how).groupBy(F.col("doc_id").alias("id"), "key", "hash").agg(F.count_distinct("epoch").cast("int").alias("uses"))
-    used = written(used, "uses")
-    rows = own.df.withColumns({"k": key_of(F.col(own["source"])), "h": hash_of(F.col(own["text"]))})
-    joined = rows.join(small_or_plain(used, used.count()), F.col(own["doc_id"]).eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")) & (F.col("h") == F.col("hash")))
+    used = _placed(docs, **how).select(F.col("doc_id").alias("id"), F.xxhash64("key", "hash").alias("tag"), "epoch").distinct()
+    used = written(used.groupBy("id", "tag").agg(F.count("*").cast("int").alias("uses")).where("uses > 0"), "uses")
+    rows = own.df.withColumn("own_tag", F.xxhash64(key_of(F.col(own["source"])), hash_of(F.col(own["text"]))))
+    joined = rows.join(small_or_plain(used, used.count()), F.col(own["doc_id"]).eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag")))
     return own.back(joined.withColumn("uses", F.explode(F.sequence(F.lit(1), F.col("uses")))))
 
 
