@@ -74,11 +74,11 @@ class Stage:
                 clear(self.spark, path)
 
 
-def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, few: bool = True) -> DataFrame:
     """df as a table in the shared folder.
 
-    few: small shuffled partitions are put together, so that a small table is
-    few files; a stage that computes much for each row goes without.
+    few: small shuffled partitions are put together up to Spark's advisory size,
+    so that a small table is few files.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
