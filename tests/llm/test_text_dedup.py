@@ -134,7 +134,9 @@ def test_threshold_must_be_high(frame):
         minhash.near_duplicates(frame([]), num=70)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 60, 10**6])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .shared import small_or_plain, written
+from .graph import components, hook
+from .shared import small_batches, small_or_plain, written
 
 TILE = 4096
 ROWS = 512
@@ -95,19 +95,6 @@ def linked(one: Codes, two: Codes, threshold: float) -> tuple[np.ndarray, np.nda
     return sure, a[still], b[still]
 
 
-def hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after joining the nodes a and b pairwise; a label is the smallest place of its component."""
-    while True:
-        la, lb = labels[a], labels[b]
-        differ = la != lb
-        if not differ.any():
-            return labels
-        la, lb = la[differ], lb[differ]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-
-
 def _matrix(column: pa.ChunkedArray, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(n, -1)
 
@@ -163,7 +150,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     that repeat a vec_id count as vectors of their own and are in one component
     if one of them is.  An empty table gives an empty result.
     """
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    base = small_batches(vectors, 1000, 1 << 20).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
     base = base.withColumn("good", F.coalesce(finite, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = base.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))

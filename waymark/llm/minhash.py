@@ -215,7 +215,6 @@ def classes_of(sk: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     key = F.struct("f1", "f2", "n")
     some = sk.where("n > 0 and doc_id is not null")
     split = sk.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("k1"), F.max(key).alias("k2")).where("k1 <> k2").select("doc_id")
-    split = written(split, "split", few=True)
     plain = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("sketch", "doc_id").alias("sketch"))
     if split.isEmpty():
         return written(plain.withColumn("node", F.col("least")), "classes"), None
