@@ -62,6 +62,11 @@ def without_bad_scenes(scenes: DataFrame, bad: DataFrame) -> DataFrame:
     return scenes.join(bad.select(F.col("scene_id").alias("__bad")), tail_id(F.col("scene_key")) == F.col("__bad"), "left_anti")
 
 
+def on_the_map(items: DataFrame, instances: DataFrame) -> DataFrame:
+    """items(scene_id, item_id, ...) that instances(scene_id, item_id) have too, in order."""
+    return items.join(instances.select("scene_id", "item_id").distinct(), ["scene_id", "item_id"], "left_semi").orderBy("scene_id", "item_id")
+
+
 def similar_group(label: Column) -> Column:
     found = F.lit(None).cast("int")
     for k, names in enumerate(SIMILAR):

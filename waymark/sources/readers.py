@@ -25,6 +25,11 @@ def name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def decoded(part: Column) -> Column:
+    """A part of a path that Spark has written or names, as it was."""
+    return F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
 def files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """(path, scene_id, file, bytes) of files; scene_id is their folder.  Contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -45,8 +50,9 @@ def documents(spark: SparkSession, path: str, pattern: str | None = None, recurs
     reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower())
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
     own = F.input_file_name()
-    scene = F.regexp_replace(folder(own), "^scene_id=", "")  # folders may be those that a stage writes
-    return reader.text(path).select(own.alias("path"), scene.alias("scene_id"), name(own).alias("file"), "value")
+    # folders may be those that a stage writes, whose names are encoded
+    scene = F.when(folder(own).startswith("scene_id="), decoded(decoded(F.substring(folder(own), 10, 10_000)))).otherwise(decoded(folder(own)))
+    return reader.text(path).select(own.alias("path"), scene.alias("scene_id"), decoded(name(own)).alias("file"), "value")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
