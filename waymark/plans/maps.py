@@ -137,7 +137,32 @@ def rasterised_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.rasterised(o).select("pos", "row", "col")
 
 
-@query("semantic_map")
+#: Components by corners of the cells w(scene_id, row, col): f(scene_id, row, col, first), first being a component's least cell.
+SPREAD = """lab(scene_id, row, col, first) USING KEY (scene_id, row, col) AS (SELECT scene_id, row, col, row * 1000 + col FROM {w}
+UNION SELECT n.scene_id, n.row, n.col, min(x.first) FROM lab x JOIN {w} n ON n.scene_id = x.scene_id AND n.row BETWEEN x.row - 1 AND x.row + 1 AND n.col BETWEEN x.col - 1 AND x.col + 1
+  JOIN recurring.lab o ON o.scene_id = n.scene_id AND o.row = n.row AND o.col = n.col WHERE x.first < o.first GROUP BY n.scene_id, n.row, n.col)"""
+
+
+def _areas(name: str, cells: str) -> str:
+    """SQL of the components of cells, as a subquery (scene_id, row, col, first)."""
+    return f"(WITH RECURSIVE {name}_w AS ({cells}), {SPREAD.format(w=f'{name}_w')} SELECT * FROM lab)"
+
+
+@query("semantic_map", f"""WITH {IMAGE}, h AS (SELECT scene_id, v, count(*) AS n FROM g GROUP BY ALL),
+wall AS (SELECT scene_id, COALESCE(arg_max(v, (n, -v)) FILTER (WHERE v > 0 AND v < 250), min(v)) AS v FROM h GROUP BY scene_id),
+o AS (SELECT vec_id AS pos, ['click', 'view', 'error', 'signup', 'purchase'][label % 5 + 1] AS scene_id, 'Class ' || label AS label, abs(embedding[1]::DOUBLE) * 8 AS x, abs(embedding[2]::DOUBLE) * 8 AS y, 0.3 + abs(embedding[3]::DOUBLE) AS s, abs(embedding[4]::DOUBLE) AS z1 FROM embeddings),
+oc AS (SELECT scene_id, pos, label, z1, 49 - i AS row, 49 - j AS col FROM o, (SELECT unnest(range(0, 50)) AS i), (SELECT unnest(range(0, 50)) AS j) WHERE (j + 0.5) * 0.1 BETWEEN x AND x + s AND (i + 0.5) * 0.1 BETWEEN y AND y + s),
+om AS (SELECT scene_id, pos, label, z1, count(*) AS area, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, sum(row) AS sr, sum(col) AS sc FROM oc GROUP BY ALL),
+seen AS (SELECT scene_id, label, min(pos) AS first FROM o GROUP BY ALL), cat AS (SELECT scene_id, label, 11 + row_number() OVER (PARTITION BY scene_id ORDER BY first, label) AS category_id FROM seen),
+objects AS (SELECT scene_id, category_id, label, '' AS instance_id, replace(lower(label), ' ', '_') || '_' || row_number() OVER (PARTITION BY scene_id, label ORDER BY pos) AS item_id, z1 AS height, 0.0 AS z0, z1, area, r0, r1, c0, c1, sr, sc FROM om JOIN cat USING (scene_id, label)),
+wc AS (SELECT scene_id, row, col, first, dense_rank() OVER (PARTITION BY scene_id ORDER BY first) AS k FROM {_areas("wall", "SELECT g.scene_id, 49 - row AS row, col FROM g JOIN wall USING (scene_id) WHERE g.v = wall.v")}),
+uc AS (SELECT scene_id, row, col, first, dense_rank() OVER (PARTITION BY scene_id ORDER BY first) AS k FROM {_areas("unable", "SELECT scene_id, 49 - row AS row, col FROM g WHERE v = 0")}),
+am AS (SELECT scene_id, 10 AS category_id, 'wall' AS label, k, 3.0 AS height, count(*) AS area, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, sum(row) AS sr, sum(col) AS sc FROM wc GROUP BY scene_id, k
+  UNION ALL SELECT scene_id, -1, 'Unable Area', k, 0.0, count(*), min(row), max(row), min(col), max(col), sum(row), sum(col) FROM uc GROUP BY scene_id, k HAVING count(*) >= 5),
+areas AS (SELECT scene_id, category_id, label, replace(lower(label), ' ', '_') || '_' || k AS instance_id, replace(lower(label), ' ', '_') || '_' || row_number() OVER (PARTITION BY scene_id, label ORDER BY k) AS item_id, height, 0.0 AS z0, height AS z1, area, r0, r1, c0, c1, sr, sc FROM am),
+m AS (SELECT * FROM objects UNION ALL SELECT * FROM areas)
+SELECT scene_id, CAST(category_id AS INTEGER) AS category_id, label, instance_id, item_id, round(CAST(height AS DOUBLE), 6) AS height, round(CAST(z0 AS DOUBLE), 6) AS z0, round(CAST(z1 AS DOUBLE), 6) AS z1, CAST(area AS BIGINT) AS area,
+  round(c0 * 0.1::DOUBLE, 6) AS x0, round(r0 * 0.1::DOUBLE, 6) AS y0, round((c1 + 1) * 0.1::DOUBLE, 6) AS x1, round((r1 + 1) * 0.1::DOUBLE, 6) AS y1, round((sr + 0.5 * area) * 0.1::DOUBLE, 3) AS sum_y, round((sc + 0.5 * area) * 0.1::DOUBLE, 3) AS sum_x FROM m""")
 def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     v = lambda k: F.abs(F.col("embedding")[k].cast("double"))
@@ -145,7 +170,11 @@ def semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, s = v(0) * 8, v(1) * 8, v(2) + 0.3
     types = F.array(*(F.lit(t) for t in ("click", "view", "error", "signup", "purchase")))
     o = e.select(F.get(types, F.col("label") % 5).alias("scene_id"), F.col("vec_id").alias("pos"), F.concat(F.lit("Class "), F.col("label").cast("string")).alias("label"), F.array(corner(x, y), corner(x + s, y), corner(x + s, y + s), corner(x, y + s)).alias("ring"), F.lit(0.0).alias("z0"), v(3).alias("z1"))
-    return grid.semantic_map(o, image(spark, sf_dir), extent(spark).select("scene_id", "x0", "y0", "scale", F.lit(50).alias("h"), F.lit(50).alias("w")))
+    m = grid.semantic_map(o, image(spark, sf_dir), extent(spark).select("scene_id", "x0", "y0", "scale", F.lit(50).alias("h"), F.lit(50).alias("w")))
+    total = lambda k: F.round(F.aggregate("coords", F.lit(0.0), lambda a, c: a + c[k]), 3)
+    short = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    box = [F.round(F.col("box")[k], 6).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))]
+    return m.select("scene_id", F.col("category_id").cast("int").alias("category_id"), "label", "instance_id", "item_id", short("height"), short("z0"), short("z1"), F.col("area").cast("long").alias("area"), *box, total(0).alias("sum_y"), total(1).alias("sum_x"))
 
 
 @query("planned_paths")
