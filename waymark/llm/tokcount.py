@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 from itertools import islice
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +62,7 @@ class PrefixCounter:
             self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 1))
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         #: prefix: (its last token, its number of tokens)
-        self.known: dict[bytes, tuple[bytes, int]] = {b"": (b"", 0)}
+        self.known: dict[bytes, tuple[bytes, int]] = {}
 
     def stay_apart(self, u: bytes, t: bytes) -> bool:
         """Encoding u + t gives u and t.
@@ -101,31 +103,25 @@ class PrefixCounter:
                     return t, c + 1
         raise AssertionError("every byte is a token")
 
-    def last(self, prefix: bytes) -> tuple[bytes, int]:
-        """The last token of a short prefix and its number of tokens."""
-        known = self.known
-        found = known.get(prefix)
-        if found is None:
-            if len(known) >= MEMORY:
-                for old in list(islice(known, MEMORY // 2)):
-                    del known[old]
-                known[b""] = (b"", 0)
-            found = known[prefix] = self.step(prefix, lambda i: known.get(prefix[:i]) or self.last(prefix[:i]))
-        return found
-
-    def every(self, piece: bytes) -> list[tuple[bytes, int]]:
-        """last() of all prefixes of a piece, from none of it; those of a long one are not remembered."""
-        if len(piece) <= SHORT:
-            return [self.last(piece[:i]) for i in range(len(piece) + 1)]
-        row = [(b"", 0)]
-        for i in range(1, len(piece) + 1):
-            a = max(0, i - self.longest)
-            row.append(self.step(piece[a:i], lambda k, a=a: row[a + k]))
-        return row
-
     def inside(self, piece: bytes) -> list[int]:
-        """Number of tokens of each prefix of a piece, from one byte to all of it."""
-        return [c for _, c in self.every(piece)[1:]]
+        """Number of tokens of each prefix of a piece, from one byte to all of it; prefixes of a long one are not remembered."""
+        row, known, n = [(b"", 0)], self.known, len(piece)
+        if n > SHORT:
+            for i in range(1, n + 1):
+                a = max(0, i - self.longest)
+                row.append(self.step(piece[a:i], lambda k, a=a: row[a + k]))
+            return [c for _, c in row[1:]]
+        if len(known) >= MEMORY:
+            for old in list(islice(known, MEMORY // 2)):
+                del known[old]
+        get, step, before = known.get, self.step, row.__getitem__
+        for i in range(1, n + 1):
+            prefix = piece[:i]
+            found = get(prefix)
+            if found is None:
+                found = known[prefix] = step(prefix, before)
+            row.append(found)
+        return [c for _, c in row[1:]]
 
 
 class Counter:
@@ -146,22 +142,25 @@ class Counter:
             return bpe.PIECES.findall(text)
         return [text[a:b] for _, (a, b) in self.encoder.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def upto(self, piece: str) -> np.ndarray:
+    def upto(self, piece: str) -> list[int]:
         """Number of tokens of each prefix of a piece, from one code point to all of it."""
-        inside = self.prefixes.inside(piece.encode())
-        counts = np.array(inside, dtype=np.int64)[np.cumsum([len(c.encode()) for c in piece]) - 1]
-        if piece in ("'re", "'ve", "'ll"):  # cut after its first letter, it is a quote and a letter
+        raw = piece.encode()
+        counts = self.prefixes.inside(raw)
+        if len(raw) != len(piece):  # bytes that no other follows within a code point
+            counts = [c for c, b in zip(counts, raw[1:] + b"a", strict=True) if b & 0xC0 != 0x80]
+        if piece in CUT:
             counts[1] = 2
         return counts
 
     def piece(self, piece: str) -> bytes:
         """The steps of a piece as 16-bit integers; no step is longer than a token."""
-        return np.diff(self.upto(piece), prepend=0).astype("<i2").tobytes()
+        counts = self.upto(piece)
+        return array("h", map(sub, counts, [0, *counts])).tobytes()
 
     def plain(self, text: str) -> np.ndarray:
         """steps() of a text without special strings."""
         table = self.table
-        out = np.frombuffer(b"".join([table[p] for p in self.split(text)]), dtype="<i2").astype(np.int64)
+        out = np.frombuffer(b"".join([table[p] for p in self.split(text)]), dtype=np.int16).astype(np.int64)
         if self.encoder.odd(text):
             runs = (m.span() for m in _ODD_RUN.finditer(text))
         else:
@@ -197,6 +196,8 @@ class Counter:
         return text[: cut_at(self.steps(text), budget)]
 
 
+#: Contractions that, cut after their first letter, are a quote and a letter.
+CUT = ("'re", "'ve", "'ll")
 #: Runs of white space of which the last character may go with what follows; all of them where classes differ.
 _RUN, _ODD_RUN = re.compile(r"\s{2,}"), re.compile(r"(?:(?![\x1c-\x1f])\s){2,}")
 
