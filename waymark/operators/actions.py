@@ -10,11 +10,13 @@ import json
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.geometry import normalised, slerp
-from ..functions.text import let
+from ..functions.geometry import normalised
 
 
 @dataclass(frozen=True)
@@ -144,32 +146,57 @@ def interpolated(paths: DataFrame, how: Preset) -> DataFrame:
     Between two points, poses are spread over the turns and moves of that leg;
     the last pose is repeated, or those before it go, to match the actions.  A path
     with as many points as actions has those; one without points has no poses.
+    All legs of an Arrow batch are worked out at once.
     """
-    points, n = F.col("points"), F.size("actions")
-    pose = lambda p: F.array(p["x"], p["y"], p["z"], p["yaw"])
-    half = lambda yaw: F.array(F.sin(yaw / 2), F.cos(yaw / 2))
-
-    def between(a: Column, b: Column, t: Column) -> Column:
-        q = slerp(half(a["yaw"]), half(b["yaw"]), t)
-        along = [a[c] + (b[c] - a[c]) * t for c in "xyz"]
-        return let(q, lambda v: F.array(*along, 2 * F.atan2(v[0], v[1])))
-
-    def leg(a: Column, b: Column) -> Column:
-        d = F.sqrt(sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"), F.lit(0.0)))
-        turn = F.abs(normalised(b["yaw"] - a["yaw"]))
-        turns = F.when(turn > MIN_TURN, F.least(F.lit(4), F.greatest(F.lit(1), (turn / math.radians(how.turn)).cast("int")))).otherwise(0)
-        parts = turns + F.least(F.lit(5), (d / how.move).cast("int"))
-        inner = F.when(parts > 1, F.sequence(F.lit(1), parts - 1)).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.array(pose(a)), F.transform(inner, lambda j: between(a, b, j / parts)))
-
-    m = F.size(points)
-    few = F.greatest(m - 1, F.lit(0))
-    legs = F.flatten(F.zip_with(F.slice(points, 1, few), F.slice(points, 2, few), leg))
-    last = pose(F.element_at(points, -1))
-    cut = lambda all_, k: F.concat(F.slice(all_, 1, k), F.array_repeat(last, n - F.least(F.size(all_), k)))
-    plain = F.when(m > 0, cut(F.transform(points, pose), n)).otherwise(F.array().cast("array<array<double>>"))
-    poses = F.when((m < 2) | (n == m), plain).otherwise(cut(legs, F.greatest(n - 1, F.lit(0))))
-    return paths.select("path_id", "actions", poses.alias("poses"))
+    def spread(sizes: np.ndarray) -> np.ndarray:
+        """0, 1, ... within each run of so many."""
+        return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def along(p: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Poses of all paths and the number of each; p: points (x, y, z, yaw), m of each path, for n actions."""
+        first = np.cumsum(m) - m
+        path = np.repeat(np.arange(len(m)), m)
+        a = np.flatnonzero(path[:-1] == path[1:]) if len(path) else np.zeros(0, np.int64)
+        one, two = p[a], p[a + 1]
+        step = np.sqrt(((two[:, :3] - one[:, :3]) ** 2).sum(1))
+        turn = np.abs((two[:, 3] - one[:, 3] + math.pi) % (2 * math.pi) - math.pi)
+        turns = np.where(turn > MIN_TURN, np.clip((turn / math.radians(how.turn)).astype(int), 1, 4), 0)
+        parts = np.maximum(turns + np.minimum(5, (step / how.move).astype(int)), 1)
+        leg, j = np.repeat(np.arange(len(a)), parts), spread(parts)
+        t = j / parts[leg]
+        one, two = one[leg], two[leg]
+        dot = np.cos((two[:, 3] - one[:, 3]) / 2)
+        theta, sign = np.arccos(np.minimum(np.abs(dot), 1)), np.where(dot < 0, -1.0, 1.0)
+        near = np.abs(dot) > 0.9995
+        under = np.where(near, 1, np.sin(theta))
+        u, v = np.where(near, 1 - t, np.sin((1 - t) * theta) / under), np.where(near, t, np.sin(t * theta) / under) * sign
+        yaw = 2 * np.arctan2(u * np.sin(one[:, 3] / 2) + v * np.sin(two[:, 3] / 2), u * np.cos(one[:, 3] / 2) + v * np.cos(two[:, 3] / 2))
+        full = np.column_stack([one[:, :3] + (two[:, :3] - one[:, :3]) * t[:, None], np.where(j == 0, one[:, 3], yaw)])
+        made = np.bincount(path[a], weights=parts, minlength=len(m)).astype(np.int64)
+        out = np.where(m > 0, n, 0)
+        own, i = np.repeat(np.arange(len(m)), out), spread(out)
+        plain = (m < 2) | (n == m)
+        poses = p[(first + m - 1)[own]] if len(own) else np.zeros((0, 4))
+        hit = plain[own] & (i < m[own])
+        poses[hit] = p[(first[own] + i)[hit]]
+        hit = ~plain[own] & (i < np.minimum(made, n - 1)[own])
+        poses[hit] = full[((np.cumsum(made) - made)[own] + i)[hit]]
+        return poses, out
+
+    def run(batches):
+        for batch in batches:
+            points, acts = batch.column(1), batch.column(2)
+            m, n = (np.nan_to_num(pc.list_value_length(x).to_numpy(zero_copy_only=False)).astype(np.int64) for x in (points, acts))
+            flat = points.flatten()
+            p = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "z", "yaw")]) if len(flat) else np.zeros((0, 4))
+            poses, sizes = along(p, m, n)
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(poses) + 1, 4), pa.int32()), pa.array(poses.reshape(-1)))
+            outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([batch.column(0), acts, outer], names=["path_id", "actions", "poses"])
+
+    kind = paths.schema["path_id"].dataType.simpleString()
+    at = lambda p: F.struct(*(p[c].cast("double").alias(c) for c in ("x", "y", "z", "yaw")))
+    return paths.select("path_id", F.transform("points", at).alias("points"), "actions").mapInArrow(run, f"path_id {kind}, actions array<string>, poses array<array<double>>")
 
 
 def action_breakdown(paths: DataFrame) -> DataFrame:

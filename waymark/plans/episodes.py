@@ -259,9 +259,19 @@ def action_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(actions.action_breakdown(_paths(spark, sf_dir)), "share", "per_path", digits=6)
 
 
-@query("interpolated_poses")
+@query("interpolated_poses", f"""{ACTIONS}, q AS (SELECT path_id, seq, n, x / 100 AS x, y / 100 AS y, z, yaw, lead(x / 100) {PW} AS bx, lead(y / 100) {PW} AS b_y, lead(yaw) {PW} AS byaw FROM p),
+v AS (SELECT q.*, CASE WHEN abs(turn) > radians(15) THEN least(4, greatest(1, trunc(abs(turn) / radians(15)))) ELSE 0 END + least(5, trunc(d / 0.25)) AS parts, cos((byaw - yaw) / 2) AS dot FROM q JOIN l USING (path_id, seq)),
+t AS (SELECT *, j / greatest(parts, 1) AS t, acos(least(abs(dot), 1)) AS theta, CASE WHEN dot < 0 THEN -1 ELSE 1 END AS sign FROM (SELECT *, unnest(range(0, CAST(greatest(parts, 1) AS BIGINT))) AS j FROM v)),
+u AS (SELECT *, CASE WHEN abs(dot) > 0.9995 THEN 1 - t ELSE sin((1 - t) * theta) / sin(theta) END AS a, CASE WHEN abs(dot) > 0.9995 THEN t ELSE sin(t * theta) / sin(theta) END * sign AS b FROM t),
+f AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY seq, j) - 1 AS i, x + (bx - x) * t AS x, y + (b_y - y) * t AS y, CASE WHEN j = 0 THEN yaw ELSE 2 * atan2(a * sin(yaw / 2) + b * sin(byaw / 2), a * cos(yaw / 2) + b * cos(byaw / 2)) END AS yaw FROM u),
+k AS (SELECT path_id, len(actions) AS na, unnest(range(0, len(actions))) AS i FROM done), e AS (SELECT * FROM q WHERE seq = n - 1),
+r AS (SELECT k.path_id, k.i, CASE WHEN e.n = na OR e.n < 2 THEN g.x WHEN k.i < na - 1 THEN f.x END AS x, CASE WHEN e.n = na OR e.n < 2 THEN g.y WHEN k.i < na - 1 THEN f.y END AS y, CASE WHEN e.n = na OR e.n < 2 THEN g.yaw WHEN k.i < na - 1 THEN f.yaw END AS yaw, e.x AS ex, e.y AS ey, e.yaw AS eyaw
+  FROM k JOIN e USING (path_id) LEFT JOIN f ON f.path_id = k.path_id AND f.i = k.i LEFT JOIN q g ON g.path_id = k.path_id AND g.seq = k.i)
+SELECT path_id, CAST(i AS INTEGER) AS i, round(COALESCE(x, ex), 9) AS x, round(COALESCE(y, ey), 9) AS y, round(sin(COALESCE(yaw, eyaw)), 7) + 0 AS s, round(cos(COALESCE(yaw, eyaw)), 7) + 0 AS c FROM r""")
 def interpolated_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actions.interpolated(_paths(spark, sf_dir), actions.preset("vlnce"))
+    found = actions.interpolated(_paths(spark, sf_dir), actions.preset("vlnce")).select("path_id", F.posexplode("poses").alias("i", "p"))
+    short = lambda v, c: (F.round(v, 9 if c in "xy" else 7) + F.lit(0.0)).alias(c)
+    return found.select("path_id", "i", short(F.col("p")[0], "x"), short(F.col("p")[1], "y"), short(F.sin(F.col("p")[3]), "s"), short(F.cos(F.col("p")[3]), "c"))
 
 
 # Frames: the turns of a conversation
