@@ -49,12 +49,14 @@ def recovering(collided: Column) -> Column:
     return F.max(collided.cast("int")).over(_order().rowsBetween(-RECOVERY, 0))
 
 
-def smoothness(steps: DataFrame) -> DataFrame:
-    """(episode_id, path_smoothness): 1 / (1 + 10 * mean change of velocity) over the steps that move; 1 with fewer than two."""
+def with_turns(steps: DataFrame) -> DataFrame:
+    """steps with turned, the change of velocity since the last step that moved, of those that move."""
     lag = lambda c: F.lag(c).over(_order())
-    v = steps.withColumns({"vx": F.col("x") - lag("x"), "vy": F.col("y") - lag("y")}).where(F.hypot("vx", "vy") > 1e-6)
-    a = v.withColumn("a", F.hypot(F.col("vx") - lag("vx"), F.col("vy") - lag("vy")))
-    return a.groupBy("episode_id").agg(F.coalesce(1 / (1 + 10 * F.avg("a")), F.lit(1.0)).alias("path_smoothness"))
+    v = steps.withColumns({"vx": F.col("x") - lag("x"), "vy": F.col("y") - lag("y")})
+    moves = F.hypot("vx", "vy") > 1e-6
+    before = F.last(F.when(moves, F.struct("vx", "vy")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    v = v.withColumn("before", before)
+    return v.withColumn("turned", F.when(moves, F.hypot(F.col("vx") - F.col("before.vx"), F.col("vy") - F.col("before.vy")))).drop("vx", "vy", "before")
 
 
 # name: expression over the prepared samples of an episode
@@ -137,17 +139,23 @@ def _coverage() -> Column:
     return F.least(F.count_distinct(coarse_cell(F.col("x"), CELL), coarse_cell(F.col("y"), CELL)) / CELLS, F.lit(1.0))
 
 
+@measure("path_smoothness")
+def _smoothness() -> Column:
+    """1 / (1 + 10 * mean change of velocity) over the steps that move; 1 with fewer than two."""
+    return F.coalesce(1 / (1 + 10 * F.avg("turned")), F.lit(1.0))
+
+
 GOAL_MEASURES = ["distance_to_goal", "success", "oracle_success", "path_length", "spl", "navigation_error", "collision_count", "continuous_success_ratio", "integrated_collision_penalty", "path_smoothness"]
 NO_GOAL_MEASURES = ["collision_count", "integrated_collision_penalty", "path_smoothness", "episode_time", "explored_areas", "exploration_coverage"]
 
 
 def prepared(steps: DataFrame, goals: DataFrame | None = None, areas: dict[str, Column] | None = None) -> DataFrame:
-    """Samples with moved, recovering and, for goals, to_goal, radius, reached, oracle and close.
+    """Samples with moved, turned, recovering and, for goals, to_goal, radius, reached, oracle and close.
 
     areas: boolean columns of steps for reached, oracle and close where objects
     are known; null falls back to the distance.
     """
-    rows = with_moves(steps).withColumn("recovering", recovering(F.col("collided")))
+    rows = with_turns(with_moves(steps)).withColumn("recovering", recovering(F.col("collided")))
     if goals is None:
         return rows
     rows = with_goals(rows, goals)
@@ -161,10 +169,7 @@ def evaluated(steps: DataFrame, goals: DataFrame | None = None, names: list[str]
     """(episode_id, one column for each measure); registered ones by name, without goals those that need none."""
     names = names or (GOAL_MEASURES if goals is not None else NO_GOAL_MEASURES)
     rows = prepared(steps, goals, areas)
-    out = rows.groupBy("episode_id").agg(*(MEASURES[n]().alias(n) for n in names if n != "path_smoothness"), F.count("*").alias("n_samples"))
-    if "path_smoothness" in names:
-        out = out.join(smoothness(steps), "episode_id", "left").withColumn("path_smoothness", F.coalesce("path_smoothness", F.lit(1.0)))
-    return out.select("episode_id", *names, "n_samples")
+    return rows.groupBy("episode_id").agg(*(MEASURES[n]().alias(n) for n in names), F.count("*").alias("n_samples")).select("episode_id", *names, "n_samples")
 
 
 def stuck(steps: DataFrame, tolerance: float = 0.01) -> DataFrame:

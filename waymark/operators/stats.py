@@ -28,18 +28,18 @@ def counter(values: Column) -> Column:
 
 def trajectory_info(trajectories: DataFrame, instructions: DataFrame) -> DataFrame:
     """One row a trajectory: points, instructions, words, type counts, start-end pairs, starts and ends; empty fields do not count."""
-    pair = F.when(given("start").isNotNull() & given("end").isNotNull(), F.concat(F.col("start"), F.lit(" -> "), F.col("end")))
-    per = instructions.groupBy("scene_id", "trajectory_id").agg(
-        F.count("*").alias("total_instructions"),
-        F.sum(F.when(given("text").isNotNull(), word_count(F.col("text"))).otherwise(0)).alias("total_words"),
-        F.avg(F.when(given("text").isNotNull(), word_count(F.col("text")))).alias("avg_words"),
-        F.sort_array(F.collect_list(given("instruction_type"))).alias("types"),
-        F.sort_array(F.collect_set(pair)).alias("pairs"),
-        F.sort_array(F.collect_set(given("start"))).alias("starts"),
-        F.sort_array(F.collect_set(given("end"))).alias("ends"),
-    )
-    out = trajectories.join(per, ["scene_id", "trajectory_id"], "left").fillna(0, ["total_instructions", "total_words", "avg_words"])
-    return out.withColumn("type_counts", counter(F.col("types"))).drop("types")
+    words = F.when(given("text").isNotNull(), word_count(F.col("text")))
+    each = instructions.select("scene_id", "trajectory_id", words.alias("words"), F.struct(given("instruction_type").alias("type"), given("start").alias("start"), given("end").alias("end")).alias("item"))
+    # one list, from which all others follow, is one buffer for each trajectory
+    per = each.groupBy("scene_id", "trajectory_id").agg(
+        F.count("*").alias("total_instructions"), F.sum(F.coalesce("words", F.lit(0))).alias("total_words"), F.avg("words").alias("avg_words"), F.collect_list("item").alias("items"),
+    )
+    some = lambda f: F.array_compact(F.transform("items", f))
+    pair = lambda x: F.when(x["start"].isNotNull() & x["end"].isNotNull(), F.concat(x["start"], F.lit(" -> "), x["end"]))
+    lists = {"pairs": pair, "starts": lambda x: x["start"], "ends": lambda x: x["end"]}
+    per = per.withColumns({name: F.sort_array(F.array_distinct(some(f))) for name, f in lists.items()} | {"type_counts": counter(F.sort_array(some(lambda x: x["type"])))})
+    out = trajectories.join(per.drop("items"), ["scene_id", "trajectory_id"], "left")
+    return out.fillna(0, ["total_instructions", "total_words", "avg_words"])
 
 
 def tercile_thresholds(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
