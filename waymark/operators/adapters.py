@@ -7,9 +7,9 @@ fake client answers by rule, without a network.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +25,10 @@ PAIRS_A_CALL, RETRIES, LONGEST_PAUSE = 10, 5, 16
 LIMIT, KEPT_EVERY = 180, 5
 
 
+def _drawn(of: str, n: int) -> int:
+    return int(hashlib.md5(of.encode()).hexdigest()[:8], 16) % n
+
+
 class FakeClient:
     """Answers judgement requests (a list of pairs) and instruction requests by a hash of what is asked."""
 
@@ -35,9 +39,9 @@ class FakeClient:
         except ValueError:
             return f"I see: {asked}"
         if isinstance(pairs, list):
-            return "Here it is:\n```json\n" + json.dumps([{"start": s, "end": e, "meaningful": ["yes", False][zlib.crc32(f"{s}|{e}".encode()) % 2]} for s, e in pairs]) + "\n```"
+            return "Here it is:\n```json\n" + json.dumps([{"start": s, "end": e, "meaningful": ["yes", False][_drawn(f"{s}|{e}", 2)]} for s, e in pairs]) + "\n```"
         one = {"instruction_type": "Add_Object", "start": pairs["start"], "end": pairs["end"], "generated_instruction": f"Go from {pairs['start']} to {pairs['end']}."}
-        return json.dumps([one]) if zlib.crc32(pairs["start"].encode()) % 3 else "no idea"
+        return json.dumps([one]) if _drawn(pairs["start"], 3) else "no idea"
 
 
 def asked(rows: DataFrame, factory: Callable[[], object], messages: str = "messages", retries: int = RETRIES, pause: float = 1.0, limit: float | None = None) -> DataFrame:

@@ -198,8 +198,18 @@ def connected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.connected_items(items, grid.components(patches(spark, sf_dir), True))
 
 
-@query("safe_moves")
+@query("safe_moves", f"""WITH {CELLS}, {POINTS}, m AS (SELECT scene_id, point_id AS move_id, abs(x) AS x, abs(y) AS y, 0.1::DOUBLE / sqrt(0.02::DOUBLE) AS u FROM p),
+s AS (SELECT m.*, i, x + u * 0.01::DOUBLE * i AS a, y + u * 0.01::DOUBLE * i AS b FROM m, (SELECT unnest(range(1, 15)) AS i)),
+k AS (SELECT s.scene_id, move_id, any_value(x) AS x, any_value(y) AS y, any_value(u) AS u, COALESCE(min(i) FILTER (WHERE c.row IS NOT NULL) - 1, 14) AS k
+  FROM s LEFT JOIN c ON c.scene_id = s.scene_id AND c.row = CAST(round_even(b / 0.1::DOUBLE, 0) AS INTEGER) AND c.col = CAST(round_even(a / 0.1::DOUBLE, 0) AS INTEGER) GROUP BY s.scene_id, move_id),
+t AS (SELECT scene_id, move_id, j, dir, x + CASE dir WHEN 0 THEN -u WHEN 1 THEN u WHEN 2 THEN u ELSE -u END * 0.005::DOUBLE * j AS a, y + CASE dir WHEN 0 THEN u WHEN 1 THEN -u WHEN 2 THEN u ELSE -u END * 0.005::DOUBLE * j AS b
+  FROM k, (SELECT unnest(range(1, 11)) AS j), (SELECT unnest(range(0, 4)) AS dir) WHERE k = 0),
+f AS (SELECT t.scene_id, move_id, arg_min(a, j * 4 + dir) FILTER (WHERE c.row IS NULL) AS a, arg_min(b, j * 4 + dir) FILTER (WHERE c.row IS NULL) AS b
+  FROM t LEFT JOIN c ON c.scene_id = t.scene_id AND c.row = CAST(round_even(b / 0.1::DOUBLE, 0) AS INTEGER) AND c.col = CAST(round_even(a / 0.1::DOUBLE, 0) AS INTEGER) GROUP BY t.scene_id, move_id),
+r AS (SELECT k.scene_id, k.move_id, k.x AS ox, k.y AS oy, CASE WHEN k > 0 THEN x + u * 0.01::DOUBLE * k ELSE COALESCE(a, x) END AS x, CASE WHEN k > 0 THEN y + u * 0.01::DOUBLE * k ELSE COALESCE(b, y) END AS y FROM k LEFT JOIN f USING (scene_id, move_id))
+SELECT scene_id, move_id, round(x, 6) AS x, round(y, 6) AS y, round(sqrt((x - ox) ** 2 + (y - oy) ** 2), 6) AS moved FROM r""")
 def safe_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     moves = p.select("scene_id", F.col("point_id").alias("move_id"), F.abs("x").alias("x"), F.abs("y").alias("y"), F.lit(0.1).alias("dx"), F.lit(0.1).alias("dy"))
-    return grid.safe_moves(moves, cells(spark, sf_dir), 0.1)
+    found = grid.safe_moves(moves, cells(spark, sf_dir), 0.1)
+    return found.select("scene_id", "move_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "moved")))

@@ -15,14 +15,16 @@ from .episodes import STEPS, steps
 
 
 
-@query("judged_pairs")
+@query("judged_pairs", """SELECT source AS scene_id, 'doc_' || doc_id AS start, lang AS "end", ('0x' || substr(md5('doc_' || doc_id || '|' || COALESCE(lang, 'None')), 1, 8))::BIGINT % 2 = 0 AS meaningful, true AS answered FROM documents""")
 def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     pairs = d.select(F.col("source").alias("scene_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("start"), F.col("lang").alias("end"))
     return adapters.judged(pairs, adapters.FakeClient, "Which pairs make sense?", pause=0)
 
 
-@query("instructed_pairs")
+@query("instructed_pairs", """WITH d AS (SELECT source, 'doc_' || doc_id AS start, lang, lang IS NOT NULL AND ('0x' || substr(md5('doc_' || doc_id), 1, 8))::BIGINT % 3 > 0 AS valid FROM documents)
+SELECT source AS scene_id, start, lang AS "end", valid, '[{"instruction_type":"' || CASE WHEN valid THEN 'Add_Object' ELSE 'Default' END || '","start":"' || start || '"' || COALESCE(',"end":"' || lang || '"', '')
+  || COALESCE(',"generated_instruction":"' || CASE WHEN valid THEN 'Go' ELSE 'Navigate' END || ' from ' || start || ' to ' || lang || '."', '') || COALESCE(',"scene_id":"' || source || '"', '') || '}]' AS instructions FROM d""")
 def instructed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     pairs = d.select(F.col("source").alias("scene_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("start"), F.col("lang").alias("end"))
