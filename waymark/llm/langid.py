@@ -178,16 +178,21 @@ def counted(rows: DataFrame, by: list[str], order: int = ORDER) -> DataFrame:
 
 
 def gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lang, half, code, n) of counts, in columns."""
+    """(lang, half, code, n) of counts, in columns; equal languages are one text."""
     t = counts.withColumn("half", F.col("half") if "half" in counts.columns else F.lit(0)).select("lang", "half", "code", "n").toArrow()
-    lang = np.array(t["lang"].to_pylist(), dtype=object)
-    return lang, t["half"].to_numpy(), t["code"].to_numpy(), t["n"].to_numpy()
+    names = t["lang"].combine_chunks().dictionary_encode()
+    names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+    lang = np.array(names.dictionary.to_pylist() or [""], dtype=object)[names.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+    return lang, t["half"].to_numpy().astype(np.int8), t["code"].to_numpy(), t["n"].to_numpy()
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER, cells: int = CELLS) -> Model:
     """A model from the rows of docs(doc_id, text, lang, ...) with text and lang."""
     lang, _, code, n = gathered(counted(drawn(docs, sample), ["lang"], order))
-    return model(lang, code, n, order, cells)
+    found = model(lang, code, n, order, cells)
+    del lang, code, n
+    kernel.trim()
+    return found
 
 
 def limited(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> tuple[Model, dict[str, float]]:
@@ -202,6 +207,7 @@ def limited(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> tuple[
     lang, half, code, n = gathered(counted(some, ["lang", "half"]))
     whole = model(lang, code, n)
     other = some.sparkSession.sparkContext.broadcast([model(lang[half != h], code[half != h], n[half != h]) for h in (0, 1)])
+    del lang, half, code, n
 
     def cost(batches):
         kernel.task("language")
@@ -220,6 +226,7 @@ def limited(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> tuple[
 
     found = some.mapInArrow(cost, "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits")).collect()  # one row a language
     other.destroy()
+    kernel.trim()
     return whole, dict.fromkeys(whole.languages, float("inf")) | {r.lang: max(least, r.bits) for r in found}
 
 

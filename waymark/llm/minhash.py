@@ -113,11 +113,12 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     The members a of a hub b are dealt out FAN at a time, each lot with one copy
     of b.  diff: the elements that only one of the two sets holds, if wide is true.
     """
+    n = pairs.count()
     lots = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).alias("lots"))
-    dealt = pairs.join(lots, "b").select("a", "b", "wide", F.pmod(F.xxhash64("a"), "lots").alias("lot"))
+    dealt = pairs.join(small_or_plain(lots, n), "b").select("a", "b", "wide", F.pmod(F.xxhash64("a"), "lots").alias("lot"))
     asked = dealt.select(F.col("a").alias("node"), "b", "lot", F.when(F.col("wide"), 2).otherwise(1).alias("role"))
     asked = asked.unionByName(dealt.select(F.col("b").alias("node"), "b", "lot").distinct().withColumn("role", F.lit(0)))
-    small = small_or_plain(asked, 3 * pairs.count())  # a hub has no more lots than members
+    small = small_or_plain(asked, 3 * n)  # a hub has no more lots than members
     rows = texts.join(small, "node").repartition("b", "lot").sortWithinPartitions("b", "lot", "role").select("node", "text", "role")
 
     def run(batches):
@@ -157,7 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
 def homes_of(star: DataFrame) -> DataFrame:
     """(node, home): of the hubs with many members that a node belongs to or is, the one with the most."""
     wide = star.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") >= WIDE)
-    own = star.join(wide, "b").select(F.col("a").alias("node"), "m", "b").unionByName(wide.select(F.col("b").alias("node"), "m", "b"))
+    own = star.join(small_or_plain(wide, star.count() // WIDE), "b").select(F.col("a").alias("node"), "m", "b").unionByName(wide.select(F.col("b").alias("node"), "m", "b"))
     return own.groupBy("node").agg(F.max(F.struct("m", "b")).alias("x")).select("node", F.col("x.b").alias("home"))
 
 
