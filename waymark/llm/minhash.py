@@ -15,7 +15,8 @@
    apart from the hub (``within_clouds``), else with each other.  Pairs within a
    component cannot change the result and are never made.
 
-No list, class or component is gathered in one task or on the driver.
+No list or class is gathered in one task, and components only of so few links
+(graph.SMALL) that one task can join them; nothing of it comes to the driver.
 """
 
 from __future__ import annotations
