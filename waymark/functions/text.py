@@ -71,12 +71,14 @@ def duration_text(seconds: Column) -> Column:
     return F.when(seconds < 60, show(seconds, "s")).when(seconds < 3600, show(seconds / 60, "min")).otherwise(show(seconds / 3600, "h"))
 
 
-# JSON answers of language models
+# JSON answers of language models.  Fixed values: what may stand after an opening fence, the marked one first, and what a fence holds.
+FENCES = ("json", "")
+FENCED = r"(?s)```%s\s*(\{.*?\}|\[.*?\])\s*```"
 
 
 def json_candidates(text: Column) -> list[Column]:
     """Parts of a chatty answer that may be its JSON, in the order in which they are tried."""
-    fenced = [F.nullif(F.regexp_extract(text, f"(?s)```{kind}\\s*(\\{{.*?\\}}|\\[.*?\\])\\s*```", 1), F.lit("")) for kind in ("json", "")]
+    fenced = [F.nullif(F.regexp_extract(text, FENCED % kind, 1), F.lit("")) for kind in FENCES]
     between = []
     for a, b in ("{}", "[]"):
         start, end = F.instr(text, a), F.length(text) - F.instr(F.reverse(text), b) + 1
