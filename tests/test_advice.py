@@ -5,13 +5,14 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymark import scratch, stages
 from waymark.operators import grid, joins, selection, stats
-from waymark.plans import QUERIES
+from waymark.plans import ORACLES, QUERIES
 from waymark.sources import readers
 
 
@@ -157,3 +158,16 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         scratch.shared_dir(Session())
+
+
+def test_actions_of_turns_that_the_last_bit_decides(spark, tmp_path):
+    """Turns by exactly half a turn and by exactly 45 degrees go as in SQL, on a grid of positions that is full of them."""
+    rng = random.Random(8)
+    rows = [(i, i % 300, "click", 5.0 * rng.randrange(13), f'{{"k": {5 * rng.randrange(13)}}}', i) for i in range(6000)]
+    t = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, at long")
+    t.withColumn("ts", F.timestamp_seconds("at")).drop("at").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("action_breakdown",):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()), name

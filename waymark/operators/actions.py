@@ -100,6 +100,23 @@ def headings(points: DataFrame) -> DataFrame:
     return points.withColumn("yaw", F.atan2(nxt("y") - F.col("y"), nxt("x") - F.col("x")))
 
 
+def c_headings(points: DataFrame) -> DataFrame:
+    """headings() by the C library's arctangent, which SQL engines use too.
+
+    The JVM's may differ in the last bit.  That bit decides to which side a turn
+    by exactly half a turn goes, and how many actions a turn by a whole number of
+    them takes, so actions need the same one.
+    """
+
+    @F.arrow_udf("double")
+    def angle(dy: pa.Array, dx: pa.Array) -> pa.Array:
+        return pa.array([None if y is None or x is None else math.atan2(y, x) for y, x in zip(dy.to_pylist(), dx.to_pylist(), strict=True)], pa.float64())
+
+    nxt = lambda c: F.coalesce(F.lead(c).over(_order()), F.col(c))
+    by = points.withColumns({"dy": (nxt("y") - F.col("y")).cast("double"), "dx": (nxt("x") - F.col("x")).cast("double")})
+    return by.withColumn("yaw", angle("dy", "dx")).drop("dy", "dx")
+
+
 def discretised(points: Column, how: Preset) -> Column:
     """array<string> of actions along points: turns, then moves out of the distance gathered, a last move, STOP.
 
