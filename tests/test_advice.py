@@ -168,6 +168,6 @@ def test_actions_of_turns_that_the_last_bit_decides(spark, tmp_path):
     t.withColumn("ts", F.timestamp_seconds("at")).drop("at").write.parquet(f"{tmp_path}/events.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
-    for name in ("action_breakdown", "action_sequences"):
+    for name in ("action_sequences", "action_breakdown", "interpolated_poses"):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()), name

@@ -176,7 +176,9 @@ def interpolated(paths: DataFrame, how: Preset) -> DataFrame:
         a = np.flatnonzero(path[:-1] == path[1:]) if len(path) else np.zeros(0, np.int64)
         one, two = p[a], p[a + 1]
         step = np.sqrt(((two[:, :3] - one[:, :3]) ** 2).sum(1))
-        turn = np.abs((two[:, 3] - one[:, 3] + math.pi) % (2 * math.pi) - math.pi)
+        turn = two[:, 3] - one[:, 3]  # as normalised() rounds it
+        with np.errstate(invalid="ignore"):
+            turn = np.abs(np.where(turn > math.pi, turn - 2 * math.pi * np.ceil((turn - math.pi) / (2 * math.pi)), np.where(turn < -math.pi, turn + 2 * math.pi * np.ceil((-math.pi - turn) / (2 * math.pi)), turn)))
         turns = np.where(turn > MIN_TURN, np.clip((turn / math.radians(how.turn)).astype(int), 1, 4), 0)
         parts = np.maximum(turns + np.minimum(5, (step / how.move).astype(int)), 1)
         leg, j = np.repeat(np.arange(len(a)), parts), spread(parts)
