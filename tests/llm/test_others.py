@@ -281,6 +281,53 @@ def test_language_of_odd_rows(frame):
     assert (nothing.lang_pred, nothing.score) == ("und", 0.0)
 
 
+def test_every_document_is_learned(frame):
+    """6,000 documents of one language, each with five digits of its own; statistics and limits come from all."""
+    rows = [(i, f"the cat {i:05d}", "en") for i in range(6000)]
+    digits = np.frombuffer("".join(f"{i:05d}" for i in range(6000)).encode(), np.uint8).astype(np.int64) + 1
+    own = langid.codes(digits, np.arange(0, 30_001, 5))[4::5]
+    for m in (langid.trained(frame(rows)), langid.limited(frame(rows))[0]):
+        assert m.tables[4].find(own).all()
+    odd = [(i, f"the cat {chr(0x4E00 + i)}{chr(0x6E00 + i)}{chr(0x8E00 + i)}{chr(0x5E00 + i)}{chr(0x7E00 + i)}", "en") for i in (6000, 6001)]
+    alone = [langid.limited(frame(rows + [x]))[1]["en"] for x in odd]
+    assert langid.limited(frame(rows + odd))[1]["en"] > langid.limited(frame(rows))[1]["en"] and min(alone) > langid.limited(frame(rows))[1]["en"]
+
+
+def test_counts_are_those_of_all_lots(monkeypatch, frame):
+    """Counts that are merged and passed on in parts add up to those of all texts at once."""
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices("abcdef ", k=rng.randrange(60))), rng.choice(["x", "y"])) for i in range(300)]
+    got = {(r.lang, r.code): r.n for r in langid.counted(langid.learned(frame(rows)), ["lang"]).collect()}
+    want = {(x, int(c)): int(n) for x in "xy" for c, n in zip(*counts_of([t for _, t, lang in rows if lang == x], 4), strict=True)}
+    assert got == want
+    found, all_keys = langid.Counts(), np.random.default_rng(3).integers(0, 500, 40_000)
+    monkeypatch.setattr(langid, "GRAMS", 400)
+    for k in range(0, 40_000, 700):
+        found.add(all_keys[k : k + 700])
+    found.merge()
+    assert [x.tolist() for x in np.unique(all_keys, return_counts=True)] == [found.keys.tolist(), found.n.tolist()]
+
+
+def test_grams_beyond_the_cells_go_before_they_are_gathered(frame):
+    """The model is that of all counts narrowed at once, and the driver gets fewer of them."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["abra", "cad", "abc", "bac", "xyz", "zyx"], k=9)) + f"{rng.randrange(10**6)}", lang) for i in range(200) for lang in ("x", "y")]
+    counts = langid.counted(langid.learned(frame(rows)), ["lang"])
+    for cells in (1500, 4000, 10**6):
+        lang, _, code, n, level = langid.gathered(counts, cells)
+        narrow = langid.model(lang, code, n, cells=cells, level=level)
+        kept = langid.model(lang, code, n, cells=10**9, level=level)
+        assert narrow.bits.shape == kept.bits.shape and kept.bits.size <= cells + 2  # nothing is left to narrow
+        if cells < 10**6:
+            assert (level < 4).any() and len(code) < counts.count() and n.sum() == counts.groupBy().sum("n").first()[0]
+            t = counts.collect()
+            plain = langid.model(np.array([r.lang for r in t], dtype=object), np.array([r.code for r in t]), np.array([r.n for r in t]), cells=cells)
+            data, offsets = kernel.buffers(pa.array([x for _, x, _ in rows[:50]], pa.string()))
+            assert np.abs(narrow.lengths(data, offsets) / plain.lengths(data, offsets) - 1).max() < 0.1
+        else:
+            assert (level == 4).all() and len(code) == counts.count()
+
+
 def test_lang_and_ids_do_not_enter_predictions(frame):
     rows = [(i, "the cat and the dog " * 5, "en") for i in range(40)] + [(100 + i, "le chat et les chiens " * 5, "fr") for i in range(40)]
     m = langid.trained(frame(rows))

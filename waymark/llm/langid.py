@@ -16,10 +16,11 @@ that is as long as grams get, the escapes out of the longest context before it
 less those already in that entry.  Grams are looked up in hash tables that all
 languages share.
 
-Statistics come from a bounded sample: about ``sample`` whole documents of each
-language, drawn by a hash of doc_id.  The driver gathers one row for each
-language and gram of full length, in columns.  If languages times grams exceed
-``cells``, the rarest longer grams go until they don't, for all languages alike.
+Statistics come from every whole document that may be learned from.  If languages
+times grams exceed ``cells``, the rarest longer grams go until they don't, for
+all languages alike; what they counted still counts for the shorter ones.  That
+is settled before the driver gathers the counts, in columns: one row for each
+language and gram of full length, or for the longest that is left of it.
 """
 
 from __future__ import annotations
@@ -29,18 +30,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import small_batches, small_or_plain
+from .shared import small_batches, written
 
-#: Documents of each language that the statistics are drawn from, about.
-SAMPLE = 2000
 #: Bytes of the longest context.
 ORDER = 4
 #: Most entries of all languages together; the tables of a model take 8 bytes for each.
 CELLS = 8_000_000
+#: Different grams that a task counts before it passes their counts on; rows that it passes on at once.
+GRAMS, ROWS = 1 << 19, 8192
 UNKNOWN = "und"
 #: Number of byte values and the start of a text, which is 0; a byte counts from 1.
 RADIX = 257
@@ -144,14 +145,32 @@ def codes(symbols: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.nd
     return out
 
 
-def drawn(docs: DataFrame, sample: int) -> DataFrame:
-    """(lang, text, half) of about ``sample`` documents of each language, each in one of two halves."""
-    known = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
+def learned(docs: DataFrame) -> DataFrame:
+    """(lang, text, half) of every document with text and lang, each in one of two halves."""
+    known = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"))
-    draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    joined = known.join(small_or_plain(share, share.count()), "lang").where(draw)
-    return joined.select("lang", "text", F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).cast("int").alias("half"))
+    return known.select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).cast("int").alias("half"))
+
+
+class Counts:
+    """How often each number was seen; lots are merged once there are as many new ones as old."""
+
+    def __init__(self):
+        self.keys, self.n, self.lots, self.fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.lots.append(np.unique(keys, return_counts=True))
+        self.fresh += len(self.lots[-1][0])
+        if self.fresh > max(GRAMS // 4, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip((self.keys, self.n), *self.lots, strict=True))
+        self.lots, self.fresh = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys, self.n = keys[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def counted(rows: DataFrame, by: list[str], order: int = ORDER) -> DataFrame:
@@ -159,89 +178,145 @@ def counted(rows: DataFrame, by: list[str], order: int = ORDER) -> DataFrame:
 
     def count(batches):
         kernel.task("language")
+        groups, found = {}, Counts()
+        size = RADIX ** (order + 1)
+
+        def passed_on():
+            found.merge()
+            names = list(groups)
+            for i in range(0, len(found.keys), ROWS):
+                group, code = np.divmod(found.keys[i : i + ROWS], size)
+                lang, half = pa.array([x for x, _ in names], pa.string()).take(pa.array(group)), np.array([h for _, h in names], np.int32)[group]
+                yield pa.RecordBatch.from_arrays([lang, pa.array(half), pa.array(code), pa.array(found.n[i : i + ROWS])], names=["lang", "half", "code", "n"])
+            found.__init__()
+
         for batch in batches:
-            group = batch.column(0) if len(by) == 1 else pc.binary_join_element_wise(batch.column(0), batch.column(1).cast(pa.string()), "\0")
-            names = np.array(group.to_pylist(), dtype=object)
+            halves = batch.column(1).to_pylist() if len(by) > 1 else [0] * batch.num_rows
+            own = np.array([groups.setdefault(x, len(groups)) for x in zip(batch.column(0).to_pylist(), halves, strict=True)], dtype=np.int64)
             data, offsets = kernel.buffers(batch.column(len(by)))
             for i, j in kernel.spans(np.diff(offsets)):
-                own = kernel._LOWER[data[offsets[i] : offsets[j]]]
+                low = kernel._LOWER[data[offsets[i] : offsets[j]]]
                 off = offsets[i : j + 1] - offsets[i]
-                at = codes(own.astype(np.int64) + 1, off, order)
-                row = np.repeat(names[i:j], np.diff(off))
-                for name in sorted(set(names[i:j])):
-                    found, n = np.unique(at[row == name], return_counts=True)
-                    lang, half = name.rsplit("\0", 1) if len(by) > 1 else (name, "0")
-                    size = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array([int(half)] * size, pa.int32()), pa.array(found), pa.array(n)], names=["lang", "half", "code", "n"])
+                found.add(codes(low.astype(np.int64) + 1, off, order) + np.repeat(own[i:j] * size, np.diff(off)))
+                if len(found.keys) > GRAMS:
+                    yield from passed_on()
+        yield from passed_on()
+        kernel.trim()
 
     return rows.select(*by, "text").mapInArrow(count, "lang string, half int, code long, n long").groupBy(*by, "code").agg(F.sum("n").alias("n"))
 
 
-def gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lang, half, code, n) of counts, in columns; equal languages are one text."""
-    t = counts.withColumn("half", F.col("half") if "half" in counts.columns else F.lit(0)).select("lang", "half", "code", "n").toArrow()
+def narrowed(counts: DataFrame, cells: int, order: int = ORDER) -> DataFrame:
+    """counts with level: the longest gram, less one, that is left of a code when languages times grams are at most ``cells``.
+
+    Codes end up as that gram, their counts added up.
+    """
+    by = [c for c in counts.columns if c not in ("code", "n")]
+    gram = lambda k: F.pmod(F.col("code"), F.lit(RADIX ** (k + 1)))
+    each = counts.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), gram(k).alias("gram")) for k in range(order + 1)))).alias("g"))
+    totals = each.groupBy("g.k", "g.gram").agg(F.sum("n").alias("total"))
+    # as many rows as there are different totals, which is some root of the bytes
+    often = totals.groupBy(F.when(F.col("k") > 1, F.col("total")).otherwise(-1).alias("total")).agg(F.count("*").alias("grams")).collect()
+    languages = max(1, counts.select("lang").distinct().count())
+    spare = cells // languages - (order + 1) - sum(r.grams for r in often if r.total < 0)  # every length has a start
+    least = 0
+    for r in sorted((r for r in often if r.total >= 0), key=lambda r: -r.total):
+        spare -= r.grams
+        if spare < 0:
+            least = r.total + 1
+            break
+    if not least:
+        return counts.withColumn("level", F.lit(order))
+    of = lambda k: F.sum("n").over(Window.partitionBy(gram(k)))
+    rows, level = counts, F.lit(min(1, order))
+    for k in range(2, order + 1):
+        rows, level = rows.withColumn(f"total_{k}", of(k)), F.when(F.col(f"total_{k}") >= least, k).otherwise(level)
+    rows = rows.withColumn("level", level)
+    left = F.element_at(F.array(*(gram(k) for k in range(order + 1))), F.col("level") + 1)
+    return rows.select(*by, "level", left.alias("code"), "n").groupBy(*by, "level", "code").agg(F.sum("n").alias("n"))
+
+
+def gathered(counts: DataFrame, cells: int = CELLS, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lang, half, code, n, level) of counts, in columns; equal languages are one text."""
+    t = narrowed(written(counts, "grams"), cells, order)
+    t = t.select("lang", (F.col("half") if "half" in t.columns else F.lit(0)).cast("byte").alias("half"), "code", "n", F.col("level").cast("byte").alias("level")).toArrow()
     names = t["lang"].combine_chunks().dictionary_encode()
     names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
     lang = np.array(names.dictionary.to_pylist() or [""], dtype=object)[names.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
-    return lang, t["half"].to_numpy().astype(np.int8), t["code"].to_numpy(), t["n"].to_numpy()
+    return lang, t["half"].to_numpy(), t["code"].to_numpy(), t["n"].to_numpy(), t["level"].to_numpy()
 
 
-def trained(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER, cells: int = CELLS) -> Model:
+def trained(docs: DataFrame, order: int = ORDER, cells: int = CELLS) -> Model:
     """A model from the rows of docs(doc_id, text, lang, ...) with text and lang."""
-    lang, _, code, n = gathered(counted(drawn(docs, sample), ["lang"], order))
-    found = model(lang, code, n, order, cells)
-    del lang, code, n
+    lang, _, code, n, level = gathered(counted(learned(docs), ["lang"], order), cells, order)
+    found = model(lang, code, n, order, cells, level)
+    del lang, code, n, level
     kernel.trim()
     return found
 
 
-def limited(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> tuple[Model, dict[str, float]]:
+def limited(docs: DataFrame, least: float = 0.0, cells: int = CELLS) -> tuple[Model, dict[str, float]]:
     """The model of trained() and the most bits a byte that a text of each language costs, at least ``least``.
 
-    Each drawn document is coded by a model of the half that it is not in.  No
+    Each document is coded by a model of the half that it is not in.  No
     document that this finds to be in its language costs more than the limit; a
     language none of whose documents are found so is learned from too little to
     have one: infinity.
     """
-    some = drawn(docs, sample)
-    lang, half, code, n = gathered(counted(some, ["lang", "half"]))
-    whole = model(lang, code, n)
-    other = some.sparkSession.sparkContext.broadcast([model(lang[half != h], code[half != h], n[half != h]) for h in (0, 1)])
-    del lang, half, code, n
+    some = learned(docs)
+    lang, half, code, n, level = gathered(counted(some, ["lang", "half"]), cells)
+    # the halves of a language as languages of their own, so that all share the tables
+    names = sorted(set(lang.tolist()))
+    by_half = np.array([[f"{h}{x}" for x in names] for h in (0, 1)], dtype=object)
+    at = {x: k for k, x in enumerate(names)}
+    which = by_half[half, np.fromiter((at[x] for x in lang), np.int64, len(lang))] if names else lang
+    other = some.sparkSession.sparkContext.broadcast(model(which, code, n, cells=2 * cells, level=level))
+    del which
+    kernel.trim()
 
     def cost(batches):
         kernel.task("language")
+        m = other.value
+        by = [np.array([x[0] == str(1 - h) for x in m.languages], dtype=bool) for h in (0, 1)]
         for batch in batches:
             data, offsets = kernel.buffers(batch.column(1))
             langs, halves = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(2).to_numpy()
             best, short = np.full(len(langs), None, dtype=object), np.zeros(len(langs))
-            for h, m in enumerate(other.value):
-                if m.languages and (halves == h).any():
-                    bits = m.lengths(data, offsets)
-                    best = np.where(halves == h, np.array(m.languages, dtype=object)[bits.argmin(axis=1)], best)
-                    short = np.where(halves == h, bits.min(axis=1), short)
+            bits = m.lengths(data, offsets)
+            for h in (0, 1):
+                if by[h].any():
+                    of = np.array([x[1:] for x, own in zip(m.languages, by[h], strict=True) if own], dtype=object)
+                    best = np.where(halves == h, of[bits[:, by[h]].argmin(axis=1)], best)
+                    short = np.where(halves == h, bits[:, by[h]].min(axis=1), short)
             size = np.diff(offsets)
             own = (best == langs) & (size > 0)
             yield pa.RecordBatch.from_arrays([pa.array(langs[own], pa.string()), pa.array(short[own] / size[own], pa.float64())], names=["lang", "bits"])
 
     found = some.mapInArrow(cost, "lang string, bits double").groupBy("lang").agg(F.max("bits").alias("bits")).collect()  # one row a language
     other.destroy()
+    # after the other has gone, as the driver need not hold both
+    whole = model(lang, code, n, cells=cells, level=level)
+    del lang, half, code, n, level
     kernel.trim()
     return whole, dict.fromkeys(whole.languages, float("inf")) | {r.lang: max(least, r.bits) for r in found}
 
 
-def model(lang: np.ndarray, code: np.ndarray, n: np.ndarray, order: int = ORDER, cells: int = CELLS) -> Model:
-    """The model of counts n of codes() of each language; rows of one language and code are added up."""
+def model(lang: np.ndarray, code: np.ndarray, n: np.ndarray, order: int = ORDER, cells: int = CELLS, level: np.ndarray | None = None) -> Model:
+    """The model of counts n of codes() of each language; rows of one language and code are added up.
+
+    level: as narrowed() has it, of each row; a row counts for grams up to that length.
+    """
     languages = sorted(set(lang.tolist()))
     if not languages:
         return Model([], [Table(np.zeros(1, np.int64), 1)], np.zeros((0, 2), np.float32), np.zeros((0, 2), np.float32))
     of = {x: k for k, x in enumerate(languages)}
-    who = np.array([of[x] for x in lang.tolist()], dtype=np.int64)
-    code, n = code.astype(np.int64), n.astype(np.float64)
+    who = np.fromiter((of[x] for x in lang), np.int32, len(lang))
+    code, n = code.astype(np.int64, copy=False), n.astype(np.float64)
+    level = np.full(len(code), order, np.int8) if level is None else level
     # codes of the grams of each length, and the places of each without its first and without its last symbol
-    levels = [np.unique(np.concatenate([[0], code % RADIX**k])) for k in range(1, order + 2)]
+    levels = [np.unique(np.concatenate([[0], code[level >= k] % RADIX ** (k + 1)])) for k in range(order + 1)]
     if len(languages) * sum(map(len, levels)) > cells:
-        total = [np.bincount(np.searchsorted(g, code % RADIX ** (k + 1)), weights=n, minlength=len(g)) for k, g in enumerate(levels)]
+        total = [np.bincount(np.searchsorted(g, code[level >= k] % RADIX ** (k + 1)), weights=n[level >= k], minlength=len(g)) for k, g in enumerate(levels)]
         spare = max(0, cells // len(languages) - len(levels[0]) - (len(levels[1]) if order else 0))
         often = np.sort(np.concatenate(total[2:]))[::-1] if order > 1 else np.zeros(0)
         least = often[spare] + 1 if spare < len(often) else 0
@@ -258,17 +333,17 @@ def model(lang: np.ndarray, code: np.ndarray, n: np.ndarray, order: int = ORDER,
     bits, escapes = np.zeros((len(languages), entries), np.float32), np.zeros((len(languages), entries), np.float32)
     for k in range(len(languages)):
         own = who == k
-        _unfold(code[own], n[own], levels, before, after, first, bits[k], escapes[k])
+        _unfold(code[own], n[own], level[own], levels, before, after, first, bits[k], escapes[k])
     return Model(languages, [Table(g, f) for g, f in zip(levels, first, strict=True)], bits, escapes)
 
 
-def _unfold(code, n, levels, before, after, first, bits, escapes) -> None:
+def _unfold(code, n, level, levels, before, after, first, bits, escapes) -> None:
     """Fills one language's code lengths and escapes from its counts."""
     shorter, out = None, None  # code lengths of the grams one symbol shorter; escapes out of them as contexts
     for k, grams in enumerate(levels):
         at = np.searchsorted(grams, code % RADIX ** (k + 1))
         at[at == len(grams)] = 0
-        known = grams[at] == code % RADIX ** (k + 1)
+        known = (grams[at] == code % RADIX ** (k + 1)) & (level >= k)
         count = np.bincount(at[known], weights=n[known], minlength=len(grams))
         count[0] = 0  # nothing is ever followed by a start
         where = slice(first[k], first[k] + len(grams))
@@ -349,10 +424,10 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_byte), learned from docs(doc_id, text, lang, ...) that are not held out.
 
     A null doc_id is not held out.
     """
-    m = trained(docs.where(~held_out("doc_id")), sample)
+    m = trained(docs.where(~held_out("doc_id")))
     return predicted(docs.select("doc_id", "text"), m).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
