@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import clear, fresh_path, scratch, shared_dir, written
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_ROWS", "Columns", "clear", "fresh_path", "scratch", "shared_dir", "small_batches", "small_or_plain", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_ROWS", "Columns", "clear", "fresh_path", "heap_given_back", "scratch", "shared_dir", "small_batches", "small_or_plain", "written"]
 
 #: A side with at most this many narrow rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -38,6 +38,17 @@ def small_or_plain(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= limit else df
 
 
+def heap_given_back(spark: SparkSession) -> None:
+    """Has executors collect garbage, so that the heap that earlier work left empty goes back to the system.
+
+    Else it stays, and memory that later work takes outside of the heap comes on
+    top.  Short tasks, a few for each core, reach all executors that are idle; one
+    that none of them reaches keeps its heap and loses nothing.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 class Columns:
     """The columns of a table under names of our own, so that none of a caller's can clash with one of ours."""
 
