@@ -171,3 +171,24 @@ def test_actions_of_turns_that_the_last_bit_decides(spark, tmp_path):
     for name in ("action_sequences", "action_breakdown", "interpolated_poses"):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()), name
+
+
+def test_actions_of_distances_that_the_last_bit_decides(spark, tmp_path):
+    """Legs of one to four whole moves in any direction, picked where a product and the C library's power differ at the border, go as in SQL."""
+    rng = random.Random(9)
+    rows, near = [], 0
+    while near < 8:
+        turn, far = rng.uniform(0, 2 * math.pi), 25.0 * rng.randrange(1, 5)
+        x, y = 500 + far * math.cos(turn), 300 + far * math.sin(turn)
+        dx, dy = x / 100 - 5, y / 100 - 3
+        if math.sqrt(dx * dx + dy * dy) // 0.25 != math.sqrt(math.pow(dx, 2) + math.pow(dy, 2)) // 0.25:
+            near += 1
+            # a later leg of 12.4 moves tells which one got the move
+            rows += [(4 * near + i, near, "click", float(a), f'{{"k": {b!r}}}', i) for i, (a, b) in enumerate([(500, 300), (x, y), (x, y + 10), (x + 300, y + 10)])]
+    t = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, at long")
+    t.withColumn("ts", F.timestamp_seconds("at")).drop("at").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("action_sequences",):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()), name

@@ -117,17 +117,42 @@ def c_headings(points: DataFrame) -> DataFrame:
     return by.withColumn("yaw", angle("dy", "dx")).drop("dy", "dx")
 
 
-def discretised(points: Column, how: Preset) -> Column:
+def _c_length(*by: pa.Array) -> pa.Array:
+    """Root of the sum of squares, these by the C library's power."""
+    squares = [pc.power(b, 2.0) for b in by]
+    total = squares[0]
+    for s in squares[1:]:
+        total = pc.add(total, s)
+    return pc.sqrt(total)
+
+
+def c_lengths(points: DataFrame) -> DataFrame:
+    """points with d, the distance to the next one (null at the last), by the C library's power, which SQL engines use too.
+
+    It is not always the product rounded.  The last bit decides how many moves
+    a distance by a whole number of them takes.
+    """
+
+    @F.arrow_udf("double")
+    def length(dx: pa.Array, dy: pa.Array, dz: pa.Array) -> pa.Array:
+        return _c_length(dx, dy, dz)
+
+    by = {f"d{c}": (F.lead(c).over(_order()) - F.col(c)).cast("double") for c in "xyz"}
+    return points.withColumns(by).withColumn("d", length(*by)).drop(*by)
+
+
+def discretised(points: Column, how: Preset, measured: bool = False) -> Column:
     """array<string> of actions along points: turns, then moves out of the distance gathered, a last move, STOP.
 
-    A path of fewer than two points only stops.
+    A path of fewer than two points only stops.  measured: points have d, the
+    distance to the next one.
     """
     turn, cap = math.radians(how.turn), min(50, 2 * how.most)
     n = F.size(points)
     legs = F.zip_with(
         F.slice(points, 1, F.greatest(n - 1, F.lit(0))), F.slice(points, 2, F.greatest(n - 1, F.lit(0))),
         lambda a, b: F.struct(
-            F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]) + (b["z"] - a["z"]) * (b["z"] - a["z"])).alias("d"),
+            (a["d"] if measured else F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]) + (b["z"] - a["z"]) * (b["z"] - a["z"]))).alias("d"),
             normalised(b["yaw"] - a["yaw"]).alias("turn"),
         ),
     )
@@ -151,9 +176,9 @@ def discretised(points: Column, how: Preset) -> Column:
     return F.when(n < 2, F.array(F.lit("STOP"))).otherwise(F.aggregate(legs, start, step, close))
 
 
-def as_arrays(points: DataFrame) -> DataFrame:
-    """(path_id, points array) of the long table, in path order."""
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "x", "y", "z", "yaw")))
+def as_arrays(points: DataFrame, *more: str) -> DataFrame:
+    """(path_id, points array) of the long table, in path order; more: further columns of a point."""
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "x", "y", "z", "yaw", *more)))
     return points.groupBy("path_id").agg(ordered.alias("points"))
 
 
