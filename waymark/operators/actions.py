@@ -200,7 +200,7 @@ def interpolated(paths: DataFrame, how: Preset) -> DataFrame:
         path = np.repeat(np.arange(len(m)), m)
         a = np.flatnonzero(path[:-1] == path[1:]) if len(path) else np.zeros(0, np.int64)
         one, two = p[a], p[a + 1]
-        step = np.sqrt(((two[:, :3] - one[:, :3]) ** 2).sum(1))
+        step = _c_length(*(pa.array(two[:, c] - one[:, c]) for c in range(3))).to_numpy()  # as c_lengths() has it
         turn = two[:, 3] - one[:, 3]  # as normalised() rounds it
         with np.errstate(invalid="ignore"):
             turn = np.abs(np.where(turn > math.pi, turn - 2 * math.pi * np.ceil((turn - math.pi) / (2 * math.pi)), np.where(turn < -math.pi, turn + 2 * math.pi * np.ceil((-math.pi - turn) / (2 * math.pi)), turn)))
