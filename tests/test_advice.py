@@ -192,3 +192,17 @@ def test_actions_of_distances_that_the_last_bit_decides(spark, tmp_path):
     for name in ("action_sequences", "action_breakdown", "interpolated_poses"):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()), name
+
+
+def test_actions_of_unknown_places_and_users(spark, tmp_path):
+    """After an unknown place the rest last known decides on the last move, and events without a user only stop, as in SQL."""
+    rows = [(i, u, "click", None if u == 2 and i == 3 else 30.0 * i, '{"k": 5}' if u != 1 or i != 2 else "{}", i) for u in (1, 2, 3, None) for i in range(5)]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    rows += [(100 + i, 4, "click", x, '{"k": 5}', i) for i, x in enumerate([0.0, 20.0, None])]
+    t = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, at long")
+    t.withColumn("ts", F.timestamp_seconds("at")).drop("at").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("action_sequences", "action_breakdown"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall())), name

@@ -144,8 +144,9 @@ def c_lengths(points: DataFrame) -> DataFrame:
 def discretised(points: Column, how: Preset, measured: bool = False) -> Column:
     """array<string> of actions along points: turns, then moves out of the distance gathered, a last move, STOP.
 
-    A path of fewer than two points only stops.  measured: points have d, the
-    distance to the next one.
+    A path of fewer than two points only stops.  Where a distance is not known, as
+    many moves are made as a leg may have, and the rest last known decides on the
+    last move.  measured: points have d, the distance to the next one.
     """
     turn, cap = math.radians(how.turn), min(50, 2 * how.most)
     n = F.size(points)
@@ -156,7 +157,7 @@ def discretised(points: Column, how: Preset, measured: bool = False) -> Column:
             normalised(b["yaw"] - a["yaw"]).alias("turn"),
         ),
     )
-    start = F.struct(F.array().cast("array<string>").alias("actions"), F.lit(0.0).alias("rest"))
+    start = F.struct(F.array().cast("array<string>").alias("actions"), F.lit(0.0).alias("rest"), F.lit(0.0).alias("known"))
 
     def step(state: Column, leg: Column) -> Column:
         angle, rest = leg["turn"], state["rest"] + leg["d"]
@@ -166,11 +167,11 @@ def discretised(points: Column, how: Preset, measured: bool = False) -> Column:
         left = F.aggregate(F.array_repeat(F.lit(how.move), moves), rest, lambda a, m: a - m)
         name = F.when(angle > 0, F.lit("TURN_LEFT")).otherwise(F.lit("TURN_RIGHT"))
         done = F.concat(state["actions"], F.array_repeat(name, turns), F.array_repeat(F.lit("MOVE_FORWARD"), moves))
-        go = F.struct(done.alias("actions"), left.alias("rest"))
+        go = F.struct(done.alias("actions"), left.alias("rest"), F.coalesce(left, state["known"]).alias("known"))
         return F.when(F.size(state["actions"]) >= cap, state).otherwise(go)
 
     def close(state: Column) -> Column:
-        last = F.when(state["rest"] > how.move * 0.5, F.array(F.lit("MOVE_FORWARD"))).otherwise(F.array().cast("array<string>"))
+        last = F.when(state["known"] > how.move * 0.5, F.array(F.lit("MOVE_FORWARD"))).otherwise(F.array().cast("array<string>"))
         return F.concat(state["actions"], last, F.array(F.lit("STOP")))
 
     return F.when(n < 2, F.array(F.lit("STOP"))).otherwise(F.aggregate(legs, start, step, close))
