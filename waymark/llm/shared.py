@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import clear, fresh_path, scratch, shared_dir, written
+from ..scratch import clear, fresh_path, native_given_back, scratch, shared_dir, written
 
 __all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_ROWS", "Columns", "clear", "fresh_path", "heap_given_back", "scratch", "shared_dir", "small_batches", "small_or_plain", "written"]
 
@@ -39,7 +39,7 @@ def small_or_plain(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Dat
 
 
 def heap_given_back(spark: SparkSession) -> None:
-    """Has executors collect garbage, so that the heap that earlier work left empty goes back to the system.
+    """Has executors and the driver collect garbage, so that the heap that earlier work left empty goes back to the system.
 
     Else it stays, and memory that later work takes outside of the heap comes on
     top.  Short tasks, a few for each core, reach all executors that are idle; one
@@ -47,6 +47,8 @@ def heap_given_back(spark: SparkSession) -> None:
     """
     n = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+    spark._jvm.System.gc()
+    native_given_back(spark)
 
 
 class Columns:

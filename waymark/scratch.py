@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -53,6 +54,33 @@ def clear(spark: SparkSession, path: str | None = None) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def native_given_back(spark: SparkSession) -> None:
+    """Has the driver's JVM give the native memory back that it has freed.
+
+    Each plan that is compiled takes and frees some; the C library keeps what was
+    freed, so that the driver grows over a session whatever its tables hold.  A JVM
+    without the command for it, or with another C library, keeps its memory.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    named = jvm.java.lang.Class.forName
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    try:
+        # by reflection, as the server's own class is not open to calls
+        kinds = [named(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = array(jvm.java.lang.Object, name, "systemTrimNativeHeap", array(jvm.java.lang.Object), array(jvm.java.lang.String))
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        pass
+
+
 class Stage:
     """Deletes, at its end, the tables written within it but for those it was told to keep."""
 
@@ -91,4 +119,5 @@ def written(df: DataFrame, name: str, few: bool = True) -> DataFrame:
     finally:
         if few:
             spark.conf.set(key, before)
+    native_given_back(spark)
     return spark.read.schema(df.schema).parquet(path)
