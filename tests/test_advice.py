@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark import scratch, stages
-from waymark.operators import grid, joins, selection, stats
+from waymark.operators import actions, grid, joins, selection, stats
 from waymark.plans import ORACLES, QUERIES
 from waymark.sources import readers
 
@@ -206,3 +206,49 @@ def test_actions_of_unknown_places_and_users(spark, tmp_path):
     for name in ("action_sequences", "action_breakdown"):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall())), name
+
+
+def test_action_breakdown_of_whole_paths(spark, tmp_path):
+    """A turn after 200 moves and the moves after it count, and long random paths go as in SQL."""
+    there = [(1, 50.0 * i, 0.0) for i in range(101)] + [(1, 5000.0, 50.0 * i) for i in range(1, 51)] + [(2, 7.0, 7.0)]
+    rng = random.Random(10)
+    wild = [(u, rng.choice([rng.uniform(0, 300), 5.0 * rng.randrange(60)]), rng.uniform(0, 300)) for u in range(3, 9) for _ in range(50 * u)]
+    for name, places in (("there", there), ("wild", wild)):
+        rows = [(i, u, "click", x, f'{{"k": {y!r}}}', i) for i, (u, x, y) in enumerate(places)]
+        t = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, at long")
+        t.withColumn("ts", F.timestamp_seconds("at")).drop("at").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        df = QUERIES["action_breakdown"](spark, f"{tmp_path}/{name}")
+        got = df.collect()
+        if name == "there":
+            assert {r.action: r.n for r in got} == {"TURN_LEFT": 4, "MOVE_FORWARD": 300, "TURN_RIGHT": 4, "STOP": 2}
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{name}/events.parquet/*.parquet'")
+        assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['action_breakdown']})").fetchall()), name
+
+
+@pytest.mark.parametrize("name", sorted(actions.PRESETS))
+def test_counts_of_a_plain_walk(spark, name):
+    """Each path's counts, by a plain loop without an end at the most actions; places and headings that are not known are among them."""
+    rng, how = random.Random(name), actions.preset(name)
+    paths = {i: [(rng.uniform(0, 3), rng.uniform(0, 3), 0.5, rng.uniform(-3.1, 3.1)) for _ in range(n)] for i, n in enumerate([1, 2, 3, 60, 150, 400])}
+    paths[6] = [*paths[3][:30], (None, 1.0, 0.5, None), *paths[3][30:]]
+    rows = [(i, s, *p) for i, path in paths.items() for s, p in enumerate(path)]
+    points = actions.c_lengths(spark.createDataFrame(rows, "path_id int, seq int, x double, y double, z double, yaw double"))
+    got = {r.path_id: r.counts for r in actions.counted(points, how).collect()}
+    for i, path in paths.items():
+        want, rest, known = {"STOP": 1}, 0.0, 0.0
+        for a, b in zip(path, path[1:]):
+            turn = None if a[3] is None or b[3] is None else math.remainder(b[3] - a[3], 2 * math.pi)
+            if turn is not None and abs(turn) > math.radians(15):
+                side = "TURN_LEFT" if turn > 0 else "TURN_RIGHT"
+                want[side] = want.get(side, 0) + min(4, max(1, int(abs(turn) / math.radians(how.turn))))
+            rest = None if rest is None or None in a[:3] + b[:3] else rest + math.sqrt(sum(math.pow(q - p, 2) for p, q in zip(a[:3], b[:3])))
+            moves = 5 if rest is None else min(5, int(rest / how.move))
+            for _ in range(moves if rest is not None else 0):
+                rest -= how.move
+            known = known if rest is None else rest
+            if moves:
+                want["MOVE_FORWARD"] = want.get("MOVE_FORWARD", 0) + moves
+        if known > how.move * 0.5:
+            want["MOVE_FORWARD"] = want.get("MOVE_FORWARD", 0) + 1
+        assert got[i] == want, i

@@ -141,14 +141,32 @@ def c_lengths(points: DataFrame) -> DataFrame:
     return points.withColumns(by).withColumn("d", length(*by)).drop(*by)
 
 
+def _turns(angle: Column, how: Preset) -> Column:
+    """Turns of a leg by its angle; none where that is not known."""
+    # bounded before the cast, which refuses what an int cannot hold
+    return F.when(F.abs(angle) > MIN_TURN, F.least(F.lit(4.0), F.greatest(F.lit(1.0), F.abs(angle) / math.radians(how.turn))).cast("int")).otherwise(0)
+
+
+def _moves(rest: Column, how: Preset) -> Column:
+    """Moves of a leg out of the distance gathered; as many as a leg may have where that is not known."""
+    return F.least(F.lit(5.0), rest / how.move).cast("int")
+
+
+def _left(rest: Column, moves: Column, how: Preset) -> Column:
+    # subtracted one by one, as rounding then is that of a walk
+    return F.aggregate(F.array_repeat(F.lit(how.move), moves), rest, lambda a, m: a - m)
+
+
 def discretised(points: Column, how: Preset, measured: bool = False) -> Column:
     """array<string> of actions along points: turns, then moves out of the distance gathered, a last move, STOP.
 
     A path of fewer than two points only stops.  Where a distance is not known, as
     many moves are made as a leg may have, and the rest last known decides on the
-    last move.  measured: points have d, the distance to the next one.
+    last move.  Legs after the one that reaches the most actions of the preset make
+    none; counted() has those of the whole path.  measured: points have d, the
+    distance to the next one.
     """
-    turn, cap = math.radians(how.turn), min(50, 2 * how.most)
+    cap = min(50, 2 * how.most)
     n = F.size(points)
     legs = F.zip_with(
         F.slice(points, 1, F.greatest(n - 1, F.lit(0))), F.slice(points, 2, F.greatest(n - 1, F.lit(0))),
@@ -161,10 +179,8 @@ def discretised(points: Column, how: Preset, measured: bool = False) -> Column:
 
     def step(state: Column, leg: Column) -> Column:
         angle, rest = leg["turn"], state["rest"] + leg["d"]
-        turns = F.when(F.abs(angle) > MIN_TURN, F.least(F.lit(4), F.greatest(F.lit(1), (F.abs(angle) / turn).cast("int")))).otherwise(0)
-        moves = F.least(F.lit(5), (rest / how.move).cast("int"))
-        # subtracted one by one, as rounding then is that of a walk
-        left = F.aggregate(F.array_repeat(F.lit(how.move), moves), rest, lambda a, m: a - m)
+        turns, moves = _turns(angle, how), _moves(rest, how)
+        left = _left(rest, moves, how)
         name = F.when(angle > 0, F.lit("TURN_LEFT")).otherwise(F.lit("TURN_RIGHT"))
         done = F.concat(state["actions"], F.array_repeat(name, turns), F.array_repeat(F.lit("MOVE_FORWARD"), moves))
         go = F.struct(done.alias("actions"), left.alias("rest"), F.coalesce(left, state["known"]).alias("known"))
@@ -177,6 +193,36 @@ def discretised(points: Column, how: Preset, measured: bool = False) -> Column:
     return F.when(n < 2, F.array(F.lit("STOP"))).otherwise(F.aggregate(legs, start, step, close))
 
 
+def counted(points: DataFrame, how: Preset) -> DataFrame:
+    """(path_id, counts map<string, bigint>) of the actions along whole paths, however many they are.
+
+    points: the long table with d, the distance to the next one, as c_lengths() has
+    it.  The rules are those of discretised(), without its end at the most actions
+    of the preset.  Turns are added up; only the distances are kept in path order.
+    """
+    nxt = lambda c: F.lead(c).over(_order())
+    turn = normalised(nxt("yaw") - F.col("yaw"))
+    leg = F.when(nxt("seq").isNotNull(), F.struct("seq", "d"))
+    legs = points.select("path_id", turn.alias("turn"), leg.alias("leg")).withColumn("turns", _turns(F.col("turn"), how))
+    sums = legs.groupBy("path_id").agg(
+        F.sum(F.when(F.col("turn") > 0, F.col("turns")).otherwise(0)).alias("left"),
+        F.sum(F.when(F.col("turn") > 0, 0).otherwise(F.col("turns"))).alias("right"),
+        F.sort_array(F.collect_list("leg")).alias("legs"),
+    )
+    start = F.struct(F.lit(0).cast("long").alias("moves"), F.lit(0.0).alias("rest"), F.lit(0.0).alias("known"))
+
+    def step(state: Column, leg: Column) -> Column:
+        rest = state["rest"] + leg["d"]
+        moves = _moves(rest, how)
+        left = _left(rest, moves, how)
+        return F.struct((state["moves"] + moves).alias("moves"), left.alias("rest"), F.coalesce(left, state["known"]).alias("known"))
+
+    last = lambda state: state["moves"] + F.when(state["known"] > how.move * 0.5, 1).otherwise(0)
+    found = {"TURN_LEFT": F.col("left"), "TURN_RIGHT": F.col("right"), "MOVE_FORWARD": F.aggregate("legs", start, step, last), "STOP": F.lit(1).cast("long")}
+    counts = F.create_map(*(x for name, n in found.items() for x in (F.lit(name), n)))
+    return sums.select("path_id", F.map_filter(counts, lambda _, n: n > 0).alias("counts"))
+
+
 def as_arrays(points: DataFrame, *more: str) -> DataFrame:
     """(path_id, points array) of the long table, in path order; more: further columns of a point."""
     ordered = F.sort_array(F.collect_list(F.struct("seq", "x", "y", "z", "yaw", *more)))
@@ -245,9 +291,9 @@ def interpolated(paths: DataFrame, how: Preset) -> DataFrame:
 
 
 def action_breakdown(paths: DataFrame) -> DataFrame:
-    """(action, n, share, per_path) over paths(path_id, actions)."""
+    """(action, n, share, per_path) over paths(path_id, counts), as counted() has them."""
     n_paths = paths.agg(F.count("*").alias("paths"))
-    each = paths.select(F.explode("actions").alias("action")).groupBy("action").agg(F.count("*").alias("n"))
+    each = paths.select(F.explode("counts").alias("action", "k")).groupBy("action").agg(F.sum("k").alias("n"))
     total = each.agg(F.sum("n").alias("total"))
     return each.join(F.broadcast(total)).join(F.broadcast(n_paths)).select("action", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("n") / F.col("paths")).alias("per_path"))
 
